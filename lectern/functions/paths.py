@@ -29,7 +29,7 @@ def semester_from_path(path: Column) -> Column:
 
     def sem_at(i):
         part = F.element_at(parts, i)
-        first = F.array_position(parts, part)  # 1-based first equal part
+        first = F.array_position(parts, part).cast("int")  # 1-based first equal part
         return (F.when(part.rlike(_SEM), F.regexp_extract(part, _SEM, 1).cast("int"))
                 .when(_is_bare_under_data(parts, part, first - 2), part.cast("int")))
 

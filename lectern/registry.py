@@ -156,3 +156,155 @@ def q_slides_covered(spark, d):
     c = _chunks(spark, d).where(F.col("chunk_part").isNull())
     return c.select("doc_id", "chunk_no", F.col("slide_number").cast("long").alias("slide_number"),
                     F.array_join(F.transform("slides_covered", lambda x: x.cast("string")), ",").alias("slides"))
+
+
+# ====================================================================== metadata
+from lectern.functions import paths as P  # noqa: E402
+from lectern.operators import enrich as EN  # noqa: E402
+from lectern.operators import links as LK  # noqa: E402
+from lectern.functions import links as LF  # noqa: E402
+
+BASE_URL = "https://portal.example/"
+
+
+def _discovered(spark, d):
+    return fx.file_paths(spark, d).where(P.is_document_path(F.col("path")))
+
+
+def _resources(spark, d):
+    return LK.download_plan(LK.all_resources(fx.subject_pages(spark, d)))
+
+
+@query("file_discovery")
+def q_file_discovery(spark, d):
+    return _discovered(spark, d).select("doc_id", "path").orderBy("path")
+
+
+@query("content_hash")
+def q_content_hash(spark, d):
+    return fx.file_paths(spark, d).select("doc_id", "path", F.md5(F.col("text")).alias("md5"))
+
+
+@query("meta_semester")
+def q_meta_semester(spark, d):
+    return fx.file_paths(spark, d).select("doc_id", P.semester_from_path(F.col("path")).alias("semester"))
+
+
+@query("meta_subject")
+def q_meta_subject(spark, d):
+    return fx.file_paths(spark, d).select("doc_id", P.subject_from_path(F.col("path")).alias("subject"))
+
+
+@query("meta_unit_filename")
+def q_meta_unit_filename(spark, d):
+    f = fx.file_paths(spark, d).select("doc_id", T.basename(F.col("path")).alias("source_filename"))
+    return f.select("doc_id", "source_filename", P.unit_from_filename(F.col("source_filename")).alias("unit_number"))
+
+
+@query("meta_unit_content")
+def q_meta_unit_content(spark, d):
+    return fx.file_elements(spark, d).select("doc_id", F.col("element_no").cast("long").alias("element_no"),
+                                             P.unit_from_content(F.col("text")).alias("unit_number"))
+
+
+@query("enrich_elements")
+def q_enrich_elements(spark, d):
+    el = fx.file_elements(spark, d).where(P.is_document_path(F.col("path")))
+    e = EN.enrich(el, LK.manifest_order(_resources(spark, d)))
+    return e.select("doc_id", F.col("element_no").cast("long").alias("element_no"), "semester", "subject",
+                    "unit_number", "slide_number", "source_filename", "source_url")
+
+
+@query("manifest_lookup")
+def q_manifest_lookup(spark, d):
+    f = EN.path_metadata(_discovered(spark, d))
+    m = EN.manifest_urls(LK.manifest_order(_resources(spark, d)))
+    j = f.join(m, (f["semester"] == m["m_semester"]) & (f["source_filename"] == m["m_file"]), "left")
+    return j.select("doc_id", "semester", "source_filename",
+                    F.coalesce(F.col("manifest_url"), F.lit("")).alias("source_url"))
+
+
+@query("metadata_flatten")
+def q_metadata_flatten(spark, d):
+    c = _chunks(spark, d)
+    js = F.when(F.col("slides_covered").isNotNull(), EN.int_list_text(F.col("slides_covered")))
+    return c.select("doc_id", "chunk_no",
+                    EN.flatten_scalar(F.col("chunk_part")).alias("chunk_part"),
+                    EN.flatten_scalar(F.col("slide_number")).alias("slide_number"),
+                    EN.flatten_scalar(js).alias("slides_covered"),
+                    F.array_join(F.transform(EN.parse_int_list(EN.flatten_scalar(js)), lambda x: x.cast("string")),
+                                 ",").alias("slides_parsed"))
+
+
+@query("safe_name")
+def q_safe_name(spark, d):
+    p = load(spark, d, "part")
+    nm = T.safe_name(F.col("p_name"))
+    path = F.concat(F.lit("semester_"), (F.col("p_size") % 8 + 1).cast("string"), F.lit("/"),
+                    T.safe_name(F.col("p_brand")), F.lit("/"),
+                    F.coalesce(F.nullif(nm, F.lit("")), F.concat(F.lit("id"), F.col("p_partkey").cast("string"))))
+    return p.select("p_partkey", nm.alias("safe_name"), path.alias("target_path"))
+
+
+# ====================================================================== links / manifest
+def _anchors(spark, d):
+    return LK.anchors(fx.subject_pages(spark, d))
+
+
+@query("drive_id")
+def q_drive_id(spark, d):
+    a = _anchors(spark, d).where(F.col("href").isNotNull())
+    did = LF.drive_id(F.col("href"))
+    return a.select("page_id", F.col("pos").cast("long").alias("pos"), did["drive_id"].alias("drive_id"),
+                    did["drive_type"].alias("drive_type"))
+
+
+@query("resource_class")
+def q_resource_class(spark, d):
+    a = _anchors(spark, d)
+    name = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("Resource"))
+    return a.select("page_id", F.col("pos").cast("long").alias("pos"), LF.resource_class(name).alias("resource_type"))
+
+
+@query("viewer_target")
+def q_viewer_target(spark, d):
+    a = _anchors(spark, d).where(F.col("href").isNotNull() & LF.is_viewer_link(F.col("href")))
+    return a.select("page_id", F.col("pos").cast("long").alias("pos"), LF.viewer_target(F.col("href")).alias("target"))
+
+
+@query("page_links")
+def q_page_links(spark, d):
+    r = LK.page_resources(fx.subject_pages(spark, d))
+    return r.select("page_id", F.col("strategy").cast("long").alias("strategy"), F.col("pos").cast("long").alias("pos"),
+                    "name", "resource_type", "drive_url", "drive_id", "drive_type")
+
+
+@query("subject_links")
+def q_subject_links(spark, d):
+    s = LK.subject_links(fx.subject_pages(spark, d), BASE_URL)
+    return s.select("page_id", F.col("pos").cast("long").alias("pos"), "name", "url")
+
+
+@query("link_union_dedup")
+def q_link_union_dedup(spark, d):
+    r = LK.all_resources(fx.subject_pages(spark, d))
+    return r.select("page_id", F.col("strategy").cast("long").alias("strategy"), F.col("pos").cast("long").alias("pos"),
+                    "name", "resource_type", "drive_id")
+
+
+@query("manifest_totals")
+def q_manifest_totals(spark, d):
+    return LK.manifest_totals(fx.subject_pages(spark, d), _resources(spark, d))
+
+
+@query("manifest_nested")
+def q_manifest_nested(spark, d):
+    m = LK.manifest_subjects(fx.subject_pages(spark, d), _resources(spark, d))
+    return m.select("page_id", "name", "semester", "url", F.size("resources").cast("long").alias("n_resources"),
+                    F.array_join(F.transform("resources", lambda x: x["name"]), "|").alias("resource_names"),
+                    F.size(F.filter("resources", lambda x: x["downloaded"])).cast("long").alias("n_downloaded"))
+
+
+@query("path_hash_map")
+def q_path_hash_map(spark, d):
+    return LK.path_hash_map(_resources(spark, d))
