@@ -308,3 +308,175 @@ def q_manifest_nested(spark, d):
 @query("path_hash_map")
 def q_path_hash_map(spark, d):
     return LK.path_hash_map(_resources(spark, d))
+
+
+# ====================================================================== knowledge base
+from lectern.operators import kb as KB  # noqa: E402
+
+
+@query("kb_flatten")
+def q_kb_flatten(spark, d):
+    return KB.flatten_kb(fx.kb(spark, d))
+
+
+@query("subjects_per_semester")
+def q_subjects_per_semester(spark, d):
+    s = KB.subjects_per_semester(fx.kb(spark, d))
+    return s.select("semester", "n_subjects", F.array_join("subjects", ", ").alias("subjects"))
+
+
+@query("kb_catalog")
+def q_kb_catalog(spark, d):
+    KB.register_catalog(spark, KB.flatten_kb(fx.kb(spark, d)), "kb_docs")
+    return spark.sql(KB.CATALOG_SQL.format(view="kb_docs"))
+
+
+# ====================================================================== dialog
+from lectern.functions import dialog as DG  # noqa: E402
+from lectern.operators import history as HI  # noqa: E402
+
+
+def _requests_with_history(spark, d, n=None):
+    p = DEFAULT
+    req = fx.requests(spark, d)
+    h = HI.previous_messages(fx.messages(spark, d), n or p.history_prompt, targets=req)
+    return req.join(h, ["conv_id", "turn"])
+
+
+def _rewritten(r, candidate=None):
+    """rewrite_query: generic -> template; clear without history -> enhanced;
+    otherwise the model candidate (validated) or the enhanced question."""
+    has_hist = F.size("history") > 0
+    enhanced = DG.with_subject_prefix(F.col("query"), F.col("subject"))
+    fallback = enhanced if candidate is None else DG.validate_rewrite(candidate, F.col("subject"), enhanced)
+    return F.coalesce(DG.rewrite_rule(F.col("query"), F.col("subject"), has_hist), fallback)
+
+
+@query("history_last5")
+def q_history_last5(spark, d):
+    r = _requests_with_history(spark, d)
+    txt = F.array_join(F.transform("history", lambda x: F.concat(DG.role_label(x["role"]), F.lit(": "), x["content"])), "\n")
+    return r.select("conv_id", "turn", F.size("history").cast("long").alias("n_hist"), txt.alias("history_text"))
+
+
+@query("history_last3")
+def q_history_last3(spark, d):
+    r = _requests_with_history(spark, d)
+    return r.select("conv_id", "turn", HI.rewrite_context(F.col("history"), DEFAULT.history_rewrite).alias("context"))
+
+
+@query("transcript")
+def q_transcript(spark, d):
+    r = _requests_with_history(spark, d)
+    return r.select("conv_id", "turn", HI.history_section(F.col("history")).alias("section"))
+
+
+@query("cache_key")
+def q_cache_key(spark, d):
+    r = _requests_with_history(spark, d)
+    return r.select("conv_id", "turn", T.cache_key(_rewritten(r), F.col("semester"), F.col("subject"),
+                                                   F.col("history")).alias("key"))
+
+
+@query("query_generic")
+def q_query_generic(spark, d):
+    r = fx.requests(spark, d)
+    g = DG.is_generic(F.col("query"), F.col("subject"))
+    return r.select("conv_id", "turn", g.alias("is_generic"),
+                    F.when(g, DG.generic_rewrite(F.col("subject"))).alias("rewritten"))
+
+
+@query("query_prefix")
+def q_query_prefix(spark, d):
+    r = fx.requests(spark, d)
+    return r.select("conv_id", "turn", DG.with_subject_prefix(F.col("query"), F.col("subject")).alias("enhanced"))
+
+
+@query("query_clear")
+def q_query_clear(spark, d):
+    r = fx.requests(spark, d)
+    return r.select("conv_id", "turn",
+                    DG.is_clear(DG.with_subject_prefix(F.col("query"), F.col("subject"))).alias("is_clear"))
+
+
+def _next_reply(spark, d):
+    m = fx.messages(spark, d)
+    return m.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("candidate"))
+
+
+@query("rewrite_validate")
+def q_rewrite_validate(spark, d):
+    r = _requests_with_history(spark, d).join(_next_reply(spark, d), ["conv_id", "turn"], "left")
+    return r.select("conv_id", "turn", _rewritten(r, F.col("candidate")).alias("rewritten"))
+
+
+@query("filter_note")
+def q_filter_note(spark, d):
+    r = fx.requests(spark, d)
+    return r.select("conv_id", "turn", DG.filter_note(F.col("subject"), F.col("semester")).alias("note"))
+
+
+# ====================================================================== cache
+from lectern.operators import cache as CA  # noqa: E402
+
+CACHE_SPLIT = "2024-01-15 00:00:00"
+
+
+@query("cache_replay")
+def q_cache_replay(spark, d):
+    return CA.replay(fx.cache_requests(spark, d), DEFAULT.cache_ttl_seconds).select(
+        "event_id", "hit", "stored_at_us")
+
+
+@query("cache_lookup")
+def q_cache_lookup(spark, d):
+    ev = fx.cache_requests(spark, d)
+    split = F.lit(CACHE_SPLIT).cast("timestamp")
+    cache = (ev.where(F.col("ts") < split).groupBy("key").agg(F.max("ts").alias("stored_at"))
+             .withColumn("expires_at", F.col("stored_at") + F.expr(f"INTERVAL {DEFAULT.cache_ttl_seconds} SECONDS"))
+             .withColumn("response", F.lit("cached answer")))
+    out = CA.lookup(ev.where(F.col("ts") >= split), cache)
+    return out.select("event_id", "hit")
+
+
+# ====================================================================== incremental ingest
+from lectern.operators import incremental as INC  # noqa: E402
+
+
+def _snapshot_files(spark, d, which):
+    return INC.fingerprint(fx.snapshot(spark, d, which).where(P.is_document_path(F.col("path"))))
+
+
+def _records(files, version):
+    el = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return el.select(F.concat(F.col("path"), F.lit("#"), (F.col("pos") + 1).cast("string")).alias("record_id"),
+                     "path", F.lit(version).cast("long").alias("version"), F.md5("line").alias("content_md5"))
+
+
+@query("unchanged_antijoin")
+def q_unchanged_antijoin(spark, d):
+    a = _snapshot_files(spark, d, "A")
+    b = _snapshot_files(spark, d, "B")
+    return INC.changed_files(b, a.select("path", "md5")).select("doc_id", "path", "md5")
+
+
+@query("upsert_latest")
+def q_upsert_latest(spark, d):
+    a = _snapshot_files(spark, d, "A")
+    b = _snapshot_files(spark, d, "B")
+    store = _records(a, 1)
+    updates = _records(INC.changed_files(b, a.select("path", "md5")), 2)
+    return INC.replace_files(store, updates).select("record_id", "version", "content_md5")
+
+
+@query("rebuild_counts")
+def q_rebuild_counts(spark, d):
+    kb_docs = KB.flatten_kb(fx.kb(spark, d)).select(F.lit(1).alias("is_kb"))
+    el = fx.file_elements(spark, d).where(P.is_document_path(F.col("path")))
+    chunks = chunking.chunk_elements(el.select(F.col("path").alias("file"), F.col("element_no").alias("ord"), "text"))
+    u = kb_docs.unionByName(chunks.select(F.lit(0).alias("is_kb")))
+    return u.agg(F.sum("is_kb").cast("long").alias("n_kb_docs"),
+                 F.sum(1 - F.col("is_kb")).cast("long").alias("n_file_chunks"),
+                 F.count(F.lit(1)).alias("n_total")) \
+        .withColumn("n_batches", INC.batch_counts(F.col("n_total"), DEFAULT.embed_batch))
