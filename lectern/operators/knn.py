@@ -32,7 +32,7 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str):
+def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str, post_norm):
     def run(batches):
         qb = bq.value
         qm, qids = qb["m"], qb["ids"]
@@ -45,7 +45,12 @@ def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is
             if rb.num_rows == 0:
                 continue
             flat = rb.column("__vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            cm = _unit_rows(flat.reshape(-1, dim))
+            raw = flat.reshape(-1, dim)
+            if post_norm:
+                cm = raw
+                cn = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+            else:
+                cm = _unit_rows(raw)
             cid = rb.column("__cid").to_numpy(zero_copy_only=False)
             if id_is_str:
                 cid = np.asarray(cid, dtype=str)
@@ -57,6 +62,10 @@ def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is
             for lo in range(0, rb.num_rows, step):
                 hi = min(rb.num_rows, lo + step)
                 sims = qm @ cm[lo:hi].T
+                if post_norm:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sims = sims / (qb["n"][:, None] * cn[None, lo:hi])
+                    sims[~np.isfinite(sims)] = np.nan
                 ok = ~np.isnan(sims)
                 if min_score is not None:
                     ok &= sims >= min_score
@@ -104,7 +113,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
              query_semester: str | None = None, query_subject: str | None = None,
              corpus_semester: str = "semester", corpus_subject: str = "subject",
              min_score: float | None = None, exclude_self: bool = False,
-             carry: list[str] | None = None) -> DataFrame:
+             carry: list[str] | None = None, normalize: str = "rows") -> DataFrame:
     """Top-k corpus rows per query by cosine similarity (exact).
 
     ``query_semester``/``query_subject`` name optional per-query filter columns
@@ -112,6 +121,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     applied before the top-k. ``min_score`` drops rows below the floor; since
     the top-k of the rows above a floor equals the floor applied to the top-k,
     this is the same as thresholding afterwards (F2), only cheaper.
+    ``normalize="rows"`` scales vectors to unit length before the product;
+    ``"after"`` divides the raw dot product by both norms (bit-exact for
+    integer count vectors, whose dot products are exact in float64).
+    Rows whose vector is NULL or not of the common dimension are ignored.
     Output: ``query_id, <corpus_id>, similarity (raw double), *carry``.
     """
     spark = corpus.sparkSession
@@ -126,7 +139,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
         qcols.append(F.coalesce(F.col(query_semester).cast("long"), F.lit(0)).alias("sem"))
     if has_subj:
         qcols.append(F.col(query_subject).alias("subj"))
-    qdf = queries.select(*qcols)
+    qdf = queries.select(*qcols).where(F.col("vec").isNotNull())
 
     cols = [F.col(corpus_id).alias("__cid"), F.col(corpus_vec).alias("__vec")]
     if has_sem:
@@ -134,7 +147,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     if has_subj:
         cols.append(F.col(corpus_subject).alias("__subj"))
     cols += [F.col(c) for c in carry]
-    cdf = corpus.select(*cols)
+    post_norm = normalize == "after"
+    cdf = corpus.select(*cols).where(F.col("__vec").isNotNull())
     cschema = cdf.schema
     out_schema = T.StructType([cschema["__cid"]] + [cschema[c] for c in carry] + [
         T.StructField("__qid", queries.schema[query_id].dataType, True),
@@ -146,6 +160,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     first = qdf.select(F.size("vec").alias("d")).where(F.col("d") > 0).limit(1).collect()
     if first:
         dim = int(first[0]["d"])
+    qdf = qdf.where(F.size("vec") == dim)
+    cdf = cdf.where(F.size("__vec") == dim)
     rows_per_block = max(1, min(params.knn_query_block, params.knn_max_block_bytes // (8 * dim + 64)))
     nblocks = max(1, math.ceil(nq / rows_per_block))
 
@@ -157,7 +173,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
             continue
         m = np.asarray(tbl.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False),
                        np.float64).reshape(-1, dim)
-        payload = {"m": _unit_rows(m), "ids": np.array(tbl.column("qid").to_pylist(), dtype=object)}
+        payload = {"m": m if post_norm else _unit_rows(m),
+                   "n": np.sqrt(np.einsum("ij,ij->i", m, m)),
+                   "ids": np.array(tbl.column("qid").to_pylist(), dtype=object)}
         if all(isinstance(x, int) for x in payload["ids"]):
             payload["ids"] = payload["ids"].astype(np.int64)
         if has_sem:
@@ -175,7 +193,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
             payload["codes"] = codes
         bq = spark.sparkContext.broadcast(payload)
         results.append(cdf.mapInArrow(
-            _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str), out_schema))
+            _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str, post_norm),
+            out_schema))
 
     if not results:
         return spark.createDataFrame([], out_schema).select(

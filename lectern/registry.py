@@ -480,3 +480,78 @@ def q_rebuild_counts(spark, d):
                  F.sum(1 - F.col("is_kb")).cast("long").alias("n_file_chunks"),
                  F.count(F.lit(1)).alias("n_total")) \
         .withColumn("n_batches", INC.batch_counts(F.col("n_total"), DEFAULT.embed_batch))
+
+
+# ====================================================================== RAG over document chunks
+from lectern.operators import embed as EM  # noqa: E402
+
+# Requests retrieve over hashed bag-of-words vectors of document chunks with
+# the default cut-offs (threshold 0.60, isolation floor 0.55, gap 0.10, cap 3).
+RAG = DEFAULT
+
+
+def _chunk_store(spark, d):
+    c = _chunks(spark, d)
+    did = F.col("doc_id")
+    return c.select(
+        F.concat_ws("_", did.cast("string"), F.col("chunk_no").cast("string"),
+                    F.coalesce(F.col("chunk_part"), F.lit(0)).cast("string")).alias("chunk_id"),
+        "doc_id", "content",
+        (did % 8 + 1).cast("int").alias("semester"),
+        F.concat(F.lit("subject_"), (did % 10).cast("string")).alias("subject"),
+        F.lit(0).alias("unit_number"), F.lit("").alias("unit_name"),
+        F.coalesce(F.col("slide_number"), F.lit(0)).alias("slide_number"),
+        F.concat(F.lit("doc_"), did.cast("string"), F.lit(".txt")).alias("source_filename"))
+
+
+def _rag_requests(spark, d):
+    r = _requests_with_history(spark, d)
+    r = r.select("conv_id", "turn", "query", "semester", "subject", "history",
+                 _rewritten(r).alias("rewritten"),
+                 (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"))
+    return EM.hashed_embedding(r, ["query_id"], "rewritten")
+
+
+_STORE_META = ["doc_id", "content", "semester", "subject", "unit_number", "unit_name", "slide_number",
+               "source_filename"]
+
+
+def _rag_hits(spark, d, p: Params = RAG):
+    store = EM.hashed_embedding(_chunk_store(spark, d), ["chunk_id"], "content")
+    req = _rag_requests(spark, d)
+    hits = knn_join(req, store, p.top_k, p, corpus_id="chunk_id", query_semester="semester",
+                    query_subject="subject", min_score=p.threshold, carry=_STORE_META, normalize="after")
+    return retrieval.precision_filter(retrieval.threshold(hits, p), p), req
+
+
+def _rag_answers(spark, d):
+    hits, req = _rag_hits(spark, d)
+    ctx = retrieval.context_blocks(hits)
+    src = retrieval.source_records(hits)
+    return req.join(ctx, "query_id", "left").join(src, "query_id", "left")
+
+
+@query("prompt")
+def q_prompt(spark, d):
+    a = _rag_answers(spark, d)
+    pr = DG.build_prompt(F.lit(DG.DEFAULT_SYSTEM_PROMPT), F.col("query"), F.coalesce(F.col("context_text"), F.lit("")),
+                         F.col("subject"), F.col("semester"), HI.history_section(F.col("history")))
+    return a.select("conv_id", "turn", pr.alias("prompt"))
+
+
+@query("response_record")
+def q_response_record(spark, d):
+    a = _rag_answers(spark, d)
+    srcs = F.coalesce(F.col("sources"), F.array())
+    return a.select(
+        "conv_id", "turn", F.col("rewritten").alias("rewritten_query"),
+        F.lit(False).alias("was_cached"), F.lit(False).alias("should_refuse"),
+        F.size(srcs).cast("long").alias("n_sources"),
+        F.array_join(F.transform(srcs, lambda x: F.concat(x["citation"], F.lit(" @ "),
+                                                          F.format_number(x["similarity_score"], 4))), " || ")
+        .alias("sources_text"))
+
+
+@query("hash_embed")
+def q_hash_embed(spark, d):
+    return EM.hashed_counts(load(spark, d, "documents"), ["doc_id"], "text")
