@@ -555,3 +555,38 @@ def q_response_record(spark, d):
 @query("hash_embed")
 def q_hash_embed(spark, d):
     return EM.hashed_counts(load(spark, d, "documents"), ["doc_id"], "text")
+
+
+# ====================================================================== streaming (rows-only checks)
+from lectern.streaming import cache_stream as STC  # noqa: E402
+from lectern.streaming import common as STM  # noqa: E402
+from lectern.streaming import history_stream as STH  # noqa: E402
+from lectern.streaming import ingest_stream as STI  # noqa: E402
+
+
+@query("stream_cache")
+def q_stream_cache(spark, d):
+    ev = STM.table_stream(spark, d, "events")
+    req = ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                    F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_type")).alias("key"))
+    out = STC.cache_stream(req, DEFAULT.cache_ttl_seconds)
+    return STM.run_to_parquet(out, spark, "stream_cache").select("event_id", "hit", "stored_at_us")
+
+
+@query("stream_history")
+def q_stream_history(spark, d):
+    m = STM.table_stream(spark, d, "conversations")
+    return STM.run_to_parquet(STH.history_stream(m, DEFAULT.history_prompt), spark, "stream_history")
+
+
+_RECORD_SCHEMA = "record_id string, path string, version long, content_md5 string"
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    docs = STM.table_stream(spark, d, "documents")
+    i = F.col("doc_id")
+    # same path derivation as fixtures.file_paths, applied to the stream
+    files = fx.file_paths_of(docs).where(P.is_document_path(F.col("path")))
+    base = STM.run_dir(spark, "stream_ingest")
+    return STI.run_ingest(files, base, _records, _RECORD_SCHEMA).select("record_id", "version", "content_md5")

@@ -53,7 +53,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- files / elements
 def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic file path per document (variants by doc_id, see FIXTURES.md)."""
-    d = load(spark, sf_dir, "documents")
+    return file_paths_of(load(spark, sf_dir, "documents"))
+
+
+def file_paths_of(d: DataFrame) -> DataFrame:
+    """``file_paths`` for any documents frame (batch or stream)."""
     i = F.col("doc_id")
     s = (i % 8 + 1).cast("string")
     u = (i % 5 + 1).cast("string")
