@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 Tokenizer = Callable[[Column], Column]
 
-# Python's str.strip() analogue (ASCII whitespace; Spark's trim() only strips ' ').
-_EDGE_WS = r"^\s+|\s+$"
+# Python's str.strip() analogue over the regex class \s (ASCII whitespace;
+# plain trim() strips only ' ').
+WS = " \t\n\x0b\f\r"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_WS, "")
+    return F.trim(c, F.lit(WS))
+
+
+def non_blank(c: Column) -> Column:
+    """the text has at least one token."""
+    return c.rlike(r"\S")
 
 
 def words(c: Column) -> Column:
@@ -27,7 +33,10 @@ def words(c: Column) -> Column:
 
 
 def token_count(c: Column, tokenizer: Tokenizer = words) -> Column:
-    """Number of tokens of a text."""
+    """Number of tokens of a text (no token array for the default tokenizer)."""
+    if tokenizer is words:
+        s = strip(c)
+        return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"\s+"))).cast("long")
     return F.size(tokenizer(c)).cast("long")
 
 

@@ -23,13 +23,16 @@ overlap prefix is fetched by an equi-join on a dense element index (at most
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import Tokenizer, detokenize, strip, words
+from lectern.functions.text import Tokenizer, detokenize, non_blank, strip, token_count, words
 from lectern.params import DEFAULT, Params
+from lectern.session import ensure_checkpoint_dir
 
 CLOSED = -1
 
@@ -38,29 +41,52 @@ def _n_states(p: Params) -> int:
     return max(p.chunk_size, p.chunk_overlap + p.max_chunk_tokens) + 2  # CLOSED, 0..max
 
 
-def _fold_scalar(ns, state, p: Params):
-    """Fold one block from a known entry state. Returns per-element chunk and
-    segment numbers (relative), kinds, and the exit state / totals."""
+def _fold_scalar(ns, state, p: Params, seg_local: bool = True):
+    """Fold one block from a known entry state.
+
+    Returns per-element relative chunk and segment numbers, split flags, the
+    overlap plan of each chunk start (``ov_n`` = how many preceding elements
+    hold the last ``overlap`` tokens of the segment, ``ov_b`` = segment tokens
+    before the chunk, -1 if not known inside this block), and the exit state.
+    ``seg_local`` tells whether the open segment (if any) began in this block.
+    """
     C, O, M = p.chunk_size, p.chunk_overlap, p.max_chunk_tokens
     m = len(ns)
     cs = np.empty(m, np.int64)
     segs = np.empty(m, np.int64)
     split = np.zeros(m, np.bool_)
+    ov_n = np.zeros(m, np.int64)
+    ov_b = np.zeros(m, np.int64)
     bt, c, seg = state, 0, 0
+    ends = []          # cumulative token ends of this block's part of the open segment
     for i, n in enumerate(ns):
         if n > M:
             c += 1
             seg += 1
             bt = CLOSED
             split[i] = True
+            ends = []
+            seg_local = True
         elif bt >= 0 and bt + n <= C:
             bt += n
+            ends.append((ends[-1] if ends else 0) + n)
         else:
-            bt = (min(O, bt) if bt >= 0 else 0) + n
+            if bt >= 0:   # flush: the new chunk starts with the segment's last O tokens
+                before = ends[-1] if ends else 0
+                if seg_local or before > O:
+                    ov_n[i] = len(ends) - bisect_right(ends, before - O)
+                    ov_b[i] = before
+                else:     # the segment began in an earlier block: fetch O+1, decide later
+                    ov_n[i] = O + 1
+                    ov_b[i] = -1
+                bt = min(O, bt) + n
+            else:
+                bt = n
             c += 1
+            ends.append((ends[-1] if ends else 0) + n)
         cs[i] = c
         segs[i] = seg
-    return cs, segs, split, bt, c, seg
+    return cs, segs, split, bt, c, seg, ov_n, ov_b
 
 
 def _fold_table(ns, p: Params):
@@ -87,7 +113,7 @@ def _summaries(p: Params):
         def emit(file, blk, ns):
             nsl = len(ns)
             if blk == 0:
-                _, _, split, bt, c, _ = _fold_scalar(ns, CLOSED, p)
+                _, _, split, bt, c, _, _, _ = _fold_scalar(ns, CLOSED, p)
                 end, cnt = [int(bt)], [int(c)]
                 nseg = int(split.sum())
             else:
@@ -128,32 +154,39 @@ def _rows_to_batch(rows):
 
 
 def _replay(p: Params):
+    """Per-element fold of each (file, block) group from its resolved entry state.
+    A group may span Arrow batches; it is buffered (at most ``chunk_block``
+    elements) and folded once complete."""
+    names = ["file", "ord", "chunk_no", "seg", "k", "is_split", "ov_n", "ov_b"]
+
+    def fold_group(g):
+        file, blk, ords, ns, (st0, c0, g0, k0) = g
+        st = CLOSED if st0 is None else st0
+        local = blk == 0 or st == CLOSED
+        cs, segs, split, _, _, _, on, ob = _fold_scalar(ns, st, p, local)
+        m = len(ns)
+        return [pa.array([file] * m, pa.string()), pa.array(ords, pa.int64()), pa.array(cs + (c0 or 0)),
+                pa.array(segs + (g0 or 0)), pa.array(np.arange(1, m + 1) + (k0 or 0)), pa.array(split),
+                pa.array(on), pa.array(ob)]
+
     def run(batches):
+        cur = None
         for rb in batches:
             t = rb.to_pydict()
-            files, blks, ords, ns = t["file"], t["blk"], t["ord"], t["n"]
-            s0, c0, g0, k0 = t["start_state"], t["c_off"], t["seg_off"], t["k_off"]
-            m = len(files)
-            out_c = np.empty(m, np.int64)
-            out_g = np.empty(m, np.int64)
-            out_k = np.empty(m, np.int64)
-            out_s = np.zeros(m, np.bool_)
-            i = 0
-            while i < m:
-                j = i
-                while j < m and files[j] == files[i] and blks[j] == blks[i]:
-                    j += 1
-                st = CLOSED if s0[i] is None else s0[i]
-                cs, segs, split, _, _, _ = _fold_scalar(ns[i:j], st, p)
-                out_c[i:j] = cs + (c0[i] or 0)
-                out_g[i:j] = segs + (g0[i] or 0)
-                out_k[i:j] = np.arange(1, j - i + 1) + (k0[i] or 0)
-                out_s[i:j] = split
-                i = j
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(files, pa.string()), pa.array(ords, pa.int64()), pa.array(out_c),
-                 pa.array(out_g), pa.array(out_k), pa.array(out_s)],
-                names=["file", "ord", "chunk_no", "seg", "k", "is_split"])
+            out = []
+            for f, b, o, n, s0, c0, g0, k0 in zip(t["file"], t["blk"], t["ord"], t["n"], t["start_state"],
+                                                  t["c_off"], t["seg_off"], t["k_off"]):
+                if cur is not None and (cur[0] != f or cur[1] != b):
+                    out.append(fold_group(cur))
+                    cur = None
+                if cur is None:
+                    cur = (f, b, [], [], (s0, c0, g0, k0))
+                cur[2].append(o)
+                cur[3].append(n)
+            for cols in out:
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        if cur is not None:
+            yield pa.RecordBatch.from_arrays(fold_group(cur), names=names)
     return run
 
 
@@ -161,15 +194,21 @@ def assign_chunks(slides: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """W1 fold: ``(file, ord, n)`` with n >= 1 -> ``(file, ord, chunk_no, seg, k, is_split)``.
 
     ``chunk_no`` counts chunks per file from 1; ``seg`` numbers segments;
-    ``k`` is the dense 1-based index of the element among non-blank elements.
+    ``k`` is the dense 1-based index of the element among non-blank elements;
+    ``ov_n``/``ov_b`` give, on a chunk's first element, how many preceding
+    elements its overlap needs and the segment tokens before it (-1: unknown).
     Blocks are hash-partitioned by ``(file, blk)`` so a huge file spreads over tasks.
     """
     p = params
     spark = slides.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    # The fold runs twice over (file, ord, n); materialise that small integer
+    # table once in the shared checkpoint folder instead of re-reading text.
     ints = (slides.select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
                           F.col("n").cast("long").alias("n"))
-            .withColumn("blk", F.floor((F.col("ord") - 1) / p.chunk_block).cast("long")))
+            .withColumn("blk", F.floor((F.col("ord") - 1) / p.chunk_block).cast("long"))
+            .checkpoint(eager=True))
     blocked = ints.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
 
     summ = blocked.select("file", "blk", "n").mapInArrow(_summaries(p), _SUMMARY_SCHEMA)
@@ -200,7 +239,7 @@ def assign_chunks(slides: DataFrame, params: Params = DEFAULT) -> DataFrame:
     replay_in = (with_starts.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
                  .select("file", "blk", "ord", "n", "start_state", "c_off", "seg_off", "k_off"))
     return replay_in.mapInArrow(
-        _replay(p), "file string, ord long, chunk_no long, seg long, k long, is_split boolean")
+        _replay(p), "file string, ord long, chunk_no long, seg long, k long, is_split boolean, ov_n long, ov_b long")
 
 
 def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, params: Params = DEFAULT,
@@ -209,28 +248,31 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
 
     Output: ``file, chunk_no, chunk_part, total_parts, content, n_tokens,
     slide_number, slides_covered, *meta`` (meta of the chunk's first element).
+    Token arrays are built only where text is cut (windows, overlap tails);
+    counting uses ``regexp_count`` for the default tokenizer.
     """
     p = params
+    O = p.chunk_overlap
     meta_cols = list(meta_cols or [])
-    el = (elements.select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
-                          strip(F.col("text")).alias("text"), *meta_cols)
-          .withColumn("tok", tokenizer(F.col("text")))
-          .withColumn("n", F.size("tok").cast("long"))
-          .where(F.col("n") > 0))  # F3
+    el = (elements.where(non_blank(F.col("text")))  # F3
+          .select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
+                  strip(F.col("text")).alias("text"), *meta_cols)
+          .withColumn("n", token_count(F.col("text"), tokenizer)))
     fold = assign_chunks(el.select("file", "ord", "n"), p)
     tagged = el.join(fold, ["file", "ord"])
 
     # Forced windows of an oversized element.
-    stride = p.chunk_size - p.chunk_overlap
-    big = tagged.where("is_split")
+    stride = p.chunk_size - O
+    big = tagged.where("is_split").withColumn("tok", tokenizer(F.col("text")))
     starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(stride))
+    win = F.slice("tok", F.col("start") + 1, p.chunk_size)
     windows = (big.select("file", "chunk_no", "ord", "tok", *meta_cols,
                           F.posexplode(starts).alias("pos", "start"), F.size(starts).alias("total_parts"))
                .select("file", "chunk_no",
                        (F.col("pos") + 1).cast("int").alias("chunk_part"),
                        F.col("total_parts").cast("int").alias("total_parts"),
-                       detokenize(F.slice("tok", F.col("start") + 1, p.chunk_size)).alias("content"),
-                       F.size(F.slice("tok", F.col("start") + 1, p.chunk_size)).cast("long").alias("n_tokens"),
+                       detokenize(win).alias("content"),
+                       F.size(win).cast("long").alias("n_tokens"),
                        F.col("ord").cast("int").alias("slide_number"),
                        F.lit(None).cast("array<int>").alias("slides_covered"),
                        *meta_cols))
@@ -239,40 +281,41 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
     own = (normal.groupBy("file", "chunk_no")
            .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("parts"),
                 F.sum("n").alias("own_tokens"), F.min("k").alias("k_first"), F.first("seg").alias("seg"),
+                F.max("ov_n").alias("ov_n"), F.min_by("ov_b", "ord").alias("ov_b"),
                 F.min_by(F.struct(*meta_cols), F.col("ord")).alias("meta") if meta_cols else F.lit(None).alias("meta")))
 
-    # The overlap prefix = last `overlap` tokens of the segment before the chunk.
-    O = p.chunk_overlap
-    prev_src = normal.select(
-        "file", "seg", "k", "n",
-        F.slice("tok", F.greatest(F.col("n") - O, F.lit(0)).cast("int") + 1, O).alias("tail"),
-        F.when(F.col("n") <= O, F.col("text")).alias("small_text"))
-    want = own.select("file", "chunk_no", "seg", "k_first",
-                      F.explode(F.sequence(F.lit(1), F.lit(O))).alias("j")) \
-        .select("file", "chunk_no", "seg", (F.col("k_first") - F.col("j")).alias("k"))
-    prev = (want.join(prev_src, ["file", "seg", "k"])
+    # The overlap prefix = last `overlap` tokens of the segment before the
+    # chunk; the fold says exactly which predecessors hold them (usually 1-2).
+    want = (own.where(F.col("ov_n") > 0)
+            .select("file", "chunk_no", "seg", "k_first", F.explode(F.sequence(F.lit(1), F.col("ov_n"))).alias("j"))
+            .select("file", "chunk_no", "seg", (F.col("k_first") - F.col("j")).alias("k")))
+    prev_src = normal.select("file", "seg", "k", "n", "text")
+    fetched = want.join(prev_src, ["file", "seg", "k"]).withColumn("tok", tokenizer(F.col("text")))
+    prev = (fetched.select("file", "chunk_no", "k", "n",
+                           F.slice("tok", F.greatest(F.size("tok") - O, F.lit(0)).cast("int") + 1, O).alias("tail"),
+                           F.when(F.col("n") <= O, F.col("text")).alias("small_text"))
             .groupBy("file", "chunk_no")
             .agg(F.sort_array(F.collect_list(F.struct("k", "n", "tail", "small_text"))).alias("prev")))
-    tot = F.aggregate(F.col("prev"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    fetched_tot = F.aggregate(F.col("prev"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    before = F.when(F.col("ov_b") >= 0, F.col("ov_b")).otherwise(fetched_tot)
     raw = F.array_join(F.transform("prev", lambda x: x["small_text"]), "\n\n")
     flat = F.flatten(F.transform("prev", lambda x: x["tail"]))
     tail = detokenize(F.slice(flat, F.greatest(F.size(flat) - O, F.lit(0)) + 1, O))
-    overlap = prev.select("file", "chunk_no",
-                          F.when(tot <= O, raw).otherwise(tail).alias("overlap_text"),
-                          F.least(tot, F.lit(O)).alias("overlap_tokens"))
 
     own_text = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
     slides = F.filter(F.transform("parts", lambda x: x["ord"].cast("int")), lambda s: s > 0)  # F4
-    normal_chunks = (own.join(overlap, ["file", "chunk_no"], "left")
-                     .select("file", "chunk_no",
-                             F.lit(None).cast("int").alias("chunk_part"),
-                             F.lit(None).cast("int").alias("total_parts"),
-                             F.concat_ws("\n\n", F.col("overlap_text"), own_text).alias("content"),
-                             (F.col("own_tokens") + F.coalesce(F.col("overlap_tokens"), F.lit(0))).cast("long")
-                             .alias("n_tokens"),
-                             F.element_at(slides, 1).alias("slide_number"),
-                             slides.alias("slides_covered"),
-                             *[F.col("meta")[c].alias(c) for c in meta_cols]))
+    j = own.join(prev, ["file", "chunk_no"], "left")
+    overlap_text = F.when(F.col("prev").isNull(), F.lit(None)).when(before <= O, raw).otherwise(tail)
+    overlap_tokens = F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.least(before, F.lit(O)))
+    normal_chunks = j.select(
+        "file", "chunk_no",
+        F.lit(None).cast("int").alias("chunk_part"),
+        F.lit(None).cast("int").alias("total_parts"),
+        F.concat_ws("\n\n", overlap_text, own_text).alias("content"),
+        (F.col("own_tokens") + overlap_tokens).cast("long").alias("n_tokens"),
+        F.element_at(slides, 1).alias("slide_number"),
+        slides.alias("slides_covered"),
+        *[F.col("meta")[c].alias(c) for c in meta_cols])
     return normal_chunks.unionByName(windows)
 
 

@@ -140,7 +140,7 @@ def _chunks(spark, d):
 
 @query("chunk_assign")
 def q_chunk_assign(spark, d):
-    el = _lines(spark, d).select("file", "ord", T.token_count(T.strip(F.col("text"))).alias("n")).where("n > 0")
+    el = _lines(spark, d).where(T.non_blank(F.col("text"))).select("file", "ord", T.token_count(F.col("text")).alias("n"))
     return chunking.assign_chunks(el).select(
         F.col("file").cast("long").alias("doc_id"), F.col("ord").alias("element_no"), "chunk_no")
 
