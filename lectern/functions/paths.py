@@ -13,7 +13,7 @@ _BARE = r"^\d+$"
 
 def _is_bare_under_data(parts: Column, part: Column, parent_idx: Column) -> Column:
     """A bare number whose parent (at ``parent_idx``, 0-based) contains 'data'."""
-    parent = F.element_at(parts, parent_idx + 1)
+    parent = F.try_element_at(parts, parent_idx + 1)
     return part.rlike(_BARE) & (parent_idx >= 0) & F.lower(parent).contains("data")
 
 
@@ -28,13 +28,13 @@ def semester_from_path(path: Column) -> Column:
     idx = F.sequence(F.lit(1), F.size(parts))
 
     def sem_at(i):
-        part = F.element_at(parts, i)
+        part = F.try_element_at(parts, i)
         first = F.array_position(parts, part).cast("int")  # 1-based first equal part
         return (F.when(part.rlike(_SEM), F.regexp_extract(part, _SEM, 1).cast("int"))
                 .when(_is_bare_under_data(parts, part, first - 2), part.cast("int")))
 
     found = F.filter(F.transform(idx, sem_at), lambda v: v.isNotNull())
-    return F.coalesce(F.element_at(found, -1), F.lit(0))
+    return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0))
 
 
 def subject_from_path(path: Column) -> Column:
@@ -45,12 +45,12 @@ def subject_from_path(path: Column) -> Column:
     idx = F.sequence(F.lit(1), n)
 
     def subj_at(i):
-        part = F.element_at(parts, i)
+        part = F.try_element_at(parts, i)
         is_sem = part.rlike(_SEM) | _is_bare_under_data(parts, part, i - 2)
-        return F.when(is_sem & (i + 1 < n), F.element_at(parts, i + 1))
+        return F.when(is_sem & (i + 1 < n), F.try_element_at(parts, i + 1))
 
     found = F.filter(F.transform(idx, subj_at), lambda v: v.isNotNull())
-    return F.when(F.size(found) > 0, subject_display(F.element_at(found, 1))).otherwise(F.lit("unknown"))
+    return F.when(F.size(found) > 0, subject_display(F.try_element_at(found, F.lit(1)))).otherwise(F.lit("unknown"))
 
 
 # File-name unit patterns, tried in this order; first match wins.
@@ -89,7 +89,7 @@ def unit_from_content(text: Column) -> Column:
     arabic = F.when(low.rlike(UNIT_CONTENT_ARABIC),
                     F.regexp_extract(low, UNIT_CONTENT_ARABIC, 1).cast("int"))
     roman = F.when(low.rlike(UNIT_CONTENT_ROMAN),
-                   F.element_at(roman_map, F.regexp_extract(low, UNIT_CONTENT_ROMAN, 1)))
+                   F.try_element_at(roman_map, F.regexp_extract(low, UNIT_CONTENT_ROMAN, 1)))
     module = F.when(low.rlike(UNIT_CONTENT_MODULE),
                     F.regexp_extract(low, UNIT_CONTENT_MODULE, 1).cast("int"))
     return F.coalesce(arabic, roman, module, F.lit(0))
