@@ -57,8 +57,10 @@ def _fold_scalar(ns, state, p: Params, seg_local: bool = True):
     split = np.zeros(m, np.bool_)
     ov_n = np.zeros(m, np.int64)
     ov_b = np.zeros(m, np.int64)
+    targets = [[] for _ in range(m)]   # later chunks (relative numbers) whose overlap uses element i
     bt, c, seg = state, 0, 0
     ends = []          # cumulative token ends of this block's part of the open segment
+    first = 0          # block index of the first element in `ends`
     for i, n in enumerate(ns):
         if n > M:
             c += 1
@@ -66,6 +68,7 @@ def _fold_scalar(ns, state, p: Params, seg_local: bool = True):
             bt = CLOSED
             split[i] = True
             ends = []
+            first = i + 1
             seg_local = True
         elif bt >= 0 and bt + n <= C:
             bt += n
@@ -76,6 +79,8 @@ def _fold_scalar(ns, state, p: Params, seg_local: bool = True):
                 if seg_local or before > O:
                     ov_n[i] = len(ends) - bisect_right(ends, before - O)
                     ov_b[i] = before
+                    for e in range(i - ov_n[i], i):
+                        targets[e].append(c + 1)
                 else:     # the segment began in an earlier block: fetch O+1, decide later
                     ov_n[i] = O + 1
                     ov_b[i] = -1
@@ -86,7 +91,7 @@ def _fold_scalar(ns, state, p: Params, seg_local: bool = True):
             ends.append((ends[-1] if ends else 0) + n)
         cs[i] = c
         segs[i] = seg
-    return cs, segs, split, bt, c, seg, ov_n, ov_b
+    return cs, segs, split, bt, c, seg, ov_n, ov_b, targets
 
 
 def _fold_table(ns, p: Params):
@@ -113,7 +118,7 @@ def _summaries(p: Params):
         def emit(file, blk, ns):
             nsl = len(ns)
             if blk == 0:
-                _, _, split, bt, c, _, _, _ = _fold_scalar(ns, CLOSED, p)
+                _, _, split, bt, c, _, _, _, _ = _fold_scalar(ns, CLOSED, p)
                 end, cnt = [int(bt)], [int(c)]
                 nseg = int(split.sum())
             else:
@@ -157,17 +162,18 @@ def _replay(p: Params):
     """Per-element fold of each (file, block) group from its resolved entry state.
     A group may span Arrow batches; it is buffered (at most ``chunk_block``
     elements) and folded once complete."""
-    names = ["file", "ord", "chunk_no", "seg", "k", "is_split", "ov_n", "ov_b"]
+    names = ["file", "ord", "chunk_no", "seg", "k", "is_split", "ov_n", "ov_b", "ov_targets"]
 
     def fold_group(g):
         file, blk, ords, ns, (st0, c0, g0, k0) = g
         st = CLOSED if st0 is None else st0
         local = blk == 0 or st == CLOSED
-        cs, segs, split, _, _, _, on, ob = _fold_scalar(ns, st, p, local)
+        cs, segs, split, _, _, _, on, ob, tg = _fold_scalar(ns, st, p, local)
         m = len(ns)
-        return [pa.array([file] * m, pa.string()), pa.array(ords, pa.int64()), pa.array(cs + (c0 or 0)),
+        off = c0 or 0
+        return [pa.array([file] * m, pa.string()), pa.array(ords, pa.int64()), pa.array(cs + off),
                 pa.array(segs + (g0 or 0)), pa.array(np.arange(1, m + 1) + (k0 or 0)), pa.array(split),
-                pa.array(on), pa.array(ob)]
+                pa.array(on), pa.array(ob), pa.array([[x + off for x in t] for t in tg], pa.list_(pa.int64()))]
 
     def run(batches):
         cur = None
@@ -191,12 +197,18 @@ def _replay(p: Params):
 
 
 def assign_chunks(slides: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    return _assign(slides, params)[0]
+
+
+def _assign(slides: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, bool]:
     """W1 fold: ``(file, ord, n)`` with n >= 1 -> ``(file, ord, chunk_no, seg, k, is_split)``.
 
     ``chunk_no`` counts chunks per file from 1; ``seg`` numbers segments;
     ``k`` is the dense 1-based index of the element among non-blank elements;
     ``ov_n``/``ov_b`` give, on a chunk's first element, how many preceding
-    elements its overlap needs and the segment tokens before it (-1: unknown).
+    elements its overlap needs and the segment tokens before it (-1: unknown);
+    ``ov_targets`` lists the later chunks whose overlap uses this element (when
+    known inside the block; chunks with ``ov_b = -1`` fetch theirs by join).
     Blocks are hash-partitioned by ``(file, blk)`` so a huge file spreads over tasks.
     """
     p = params
@@ -235,11 +247,14 @@ def assign_chunks(slides: DataFrame, params: Params = DEFAULT) -> DataFrame:
               .select("file", F.inline(F.aggregate("blocks", acc0, step)["starts"]))
               .where(F.col("blk") > 0))
 
+    blk_max = ints.agg(F.max("blk")).first()[0] or 0
     with_starts = ints.join(starts, ["file", "blk"], "left")
     replay_in = (with_starts.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
                  .select("file", "blk", "ord", "n", "start_state", "c_off", "seg_off", "k_off"))
-    return replay_in.mapInArrow(
-        _replay(p), "file string, ord long, chunk_no long, seg long, k long, is_split boolean, ov_n long, ov_b long")
+    out = replay_in.mapInArrow(
+        _replay(p), "file string, ord long, chunk_no long, seg long, k long, is_split boolean, ov_n long, "
+                    "ov_b long, ov_targets array<long>")
+    return out, blk_max > 0
 
 
 def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, params: Params = DEFAULT,
@@ -248,8 +263,12 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
 
     Output: ``file, chunk_no, chunk_part, total_parts, content, n_tokens,
     slide_number, slides_covered, *meta`` (meta of the chunk's first element).
-    Token arrays are built only where text is cut (windows, overlap tails);
-    counting uses ``regexp_count`` for the default tokenizer.
+
+    After the integer fold, every element is routed to its own chunk and to
+    the later chunks whose overlap it feeds, so own text, overlap text and
+    forced windows come out of a single ``groupBy(file, chunk_no)`` (a chunk
+    holds at most ``chunk_size`` own elements plus ``overlap`` predecessors).
+    Token arrays are built only where text is cut.
     """
     p = params
     O = p.chunk_overlap
@@ -258,64 +277,75 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
           .select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
                   strip(F.col("text")).alias("text"), *meta_cols)
           .withColumn("n", token_count(F.col("text"), tokenizer)))
-    fold = assign_chunks(el.select("file", "ord", "n"), p)
+    fold, multi_block = _assign(el.select("file", "ord", "n"), p)
     tagged = el.join(fold, ["file", "ord"])
 
-    # Forced windows of an oversized element.
+    # Route: role 0 = own element of `chunk_no`, role 1 = overlap element of a later chunk.
+    routed = tagged.select(
+        "file", "ord", "k", "n", "text", "is_split", "ov_n", "ov_b", *meta_cols,
+        F.explode(F.concat(
+            F.array(F.struct(F.col("chunk_no").alias("target"), F.lit(0).alias("role"))),
+            F.transform(F.col("ov_targets"), lambda t: F.struct(t.alias("target"), F.lit(1).alias("role")))
+        )).alias("r"))
+    if multi_block:
+        # chunks whose segment began in an earlier block: fetch O+1 predecessors by join
+        want = (tagged.where(F.col("ov_b") < 0)
+                .select("file", "seg", F.col("chunk_no").alias("target"),
+                        F.explode(F.sequence(F.lit(1), F.col("ov_n"))).alias("j"), "k")
+                .select("file", "seg", "target", (F.col("k") - F.col("j")).alias("k")))
+        extra = (want.join(tagged.where(~F.col("is_split")).drop("ov_targets"), ["file", "seg", "k"])
+                 .select("file", "ord", "k", "n", "text", "is_split", "ov_n", "ov_b", *meta_cols,
+                         F.struct(F.col("target"), F.lit(1).alias("role")).alias("r")))
+        routed = routed.unionByName(extra)
+    routed = routed.select("*", F.col("r.target").alias("chunk_no"), F.col("r.role").alias("role")).drop("r")
+
+    part = F.struct("role", "k", "ord", "n", "text", "is_split", "ov_b", *meta_cols)
+    g = routed.groupBy("file", "chunk_no").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    own = F.filter("parts", lambda x: x["role"] == 0)
+    prev = F.filter("parts", lambda x: x["role"] == 1)
+    g = g.select("file", "chunk_no", own.alias("own"), prev.alias("prev"))
+    first = F.col("own")[0]
+
+    # An oversized element is a chunk of its own, cut into windows.
     stride = p.chunk_size - O
-    big = tagged.where("is_split").withColumn("tok", tokenizer(F.col("text")))
-    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(stride))
+    big = g.where(first["is_split"]).withColumn("tok", tokenizer(first["text"]))
+    starts = F.sequence(F.lit(0), F.size("tok") - 1, F.lit(stride))
     win = F.slice("tok", F.col("start") + 1, p.chunk_size)
-    windows = (big.select("file", "chunk_no", "ord", "tok", *meta_cols,
+    windows = (big.select("file", "chunk_no", "tok", F.col("own")[0].alias("e"),
                           F.posexplode(starts).alias("pos", "start"), F.size(starts).alias("total_parts"))
                .select("file", "chunk_no",
                        (F.col("pos") + 1).cast("int").alias("chunk_part"),
                        F.col("total_parts").cast("int").alias("total_parts"),
                        detokenize(win).alias("content"),
                        F.size(win).cast("long").alias("n_tokens"),
-                       F.col("ord").cast("int").alias("slide_number"),
+                       F.col("e.ord").cast("int").alias("slide_number"),
                        F.lit(None).cast("array<int>").alias("slides_covered"),
-                       *meta_cols))
-
-    normal = tagged.where(~F.col("is_split"))
-    own = (normal.groupBy("file", "chunk_no")
-           .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("parts"),
-                F.sum("n").alias("own_tokens"), F.min("k").alias("k_first"), F.first("seg").alias("seg"),
-                F.max("ov_n").alias("ov_n"), F.min_by("ov_b", "ord").alias("ov_b"),
-                F.min_by(F.struct(*meta_cols), F.col("ord")).alias("meta") if meta_cols else F.lit(None).alias("meta")))
-
-    # The overlap prefix = last `overlap` tokens of the segment before the
-    # chunk; the fold says exactly which predecessors hold them (usually 1-2).
-    want = (own.where(F.col("ov_n") > 0)
-            .select("file", "chunk_no", "seg", "k_first", F.explode(F.sequence(F.lit(1), F.col("ov_n"))).alias("j"))
-            .select("file", "chunk_no", "seg", (F.col("k_first") - F.col("j")).alias("k")))
-    prev_src = normal.select("file", "seg", "k", "n", "text")
-    fetched = want.join(prev_src, ["file", "seg", "k"]).withColumn("tok", tokenizer(F.col("text")))
-    prev = (fetched.select("file", "chunk_no", "k", "n",
-                           F.slice("tok", F.greatest(F.size("tok") - O, F.lit(0)).cast("int") + 1, O).alias("tail"),
-                           F.when(F.col("n") <= O, F.col("text")).alias("small_text"))
-            .groupBy("file", "chunk_no")
-            .agg(F.sort_array(F.collect_list(F.struct("k", "n", "tail", "small_text"))).alias("prev")))
-    fetched_tot = F.aggregate(F.col("prev"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    before = F.when(F.col("ov_b") >= 0, F.col("ov_b")).otherwise(fetched_tot)
-    raw = F.array_join(F.transform("prev", lambda x: x["small_text"]), "\n\n")
-    flat = F.flatten(F.transform("prev", lambda x: x["tail"]))
+                       *[F.col("e")[c].alias(c) for c in meta_cols]))
+
+    # overlap = last O tokens of the segment before the chunk (raw text if it has <= O tokens).
+    normal = g.where(~first["is_split"])
+    fetched_tot = F.aggregate("prev", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    before = F.when(first["ov_b"] >= 0, first["ov_b"]).otherwise(fetched_tot)
+    raw = F.array_join(F.transform("prev", lambda x: x["text"]), "\n\n")
+    tails = F.transform("prev", lambda x: F.slice(tokenizer(x["text"]),
+                                                  F.greatest(x["n"] - O, F.lit(0)).cast("int") + 1, O))
+    flat = F.flatten(tails)
     tail = detokenize(F.slice(flat, F.greatest(F.size(flat) - O, F.lit(0)) + 1, O))
-
-    own_text = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
-    slides = F.filter(F.transform("parts", lambda x: x["ord"].cast("int")), lambda s: s > 0)  # F4
-    j = own.join(prev, ["file", "chunk_no"], "left")
-    overlap_text = F.when(F.col("prev").isNull(), F.lit(None)).when(before <= O, raw).otherwise(tail)
-    overlap_tokens = F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.least(before, F.lit(O)))
-    normal_chunks = j.select(
+    has_prev = F.size("prev") > 0
+    overlap_text = F.when(~has_prev, F.lit(None)).when(before <= O, raw).otherwise(tail)
+    overlap_tokens = F.when(~has_prev, F.lit(0)).otherwise(F.least(before, F.lit(O)))
+    own_text = F.array_join(F.transform("own", lambda x: x["text"]), "\n\n")
+    own_tokens = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    slides = F.filter(F.transform("own", lambda x: x["ord"].cast("int")), lambda s: s > 0)  # F4
+    normal_chunks = normal.select(
         "file", "chunk_no",
         F.lit(None).cast("int").alias("chunk_part"),
         F.lit(None).cast("int").alias("total_parts"),
         F.concat_ws("\n\n", overlap_text, own_text).alias("content"),
-        (F.col("own_tokens") + overlap_tokens).cast("long").alias("n_tokens"),
+        (own_tokens + overlap_tokens).cast("long").alias("n_tokens"),
         F.element_at(slides, 1).alias("slide_number"),
         slides.alias("slides_covered"),
-        *[F.col("meta")[c].alias(c) for c in meta_cols])
+        *[first[c].alias(c) for c in meta_cols])
     return normal_chunks.unionByName(windows)
 
 

@@ -3,9 +3,10 @@
 Default embedder: hashed bag of words, computed JVM-side. Each lower-cased
 word goes to bucket ``int(md5(word)[:8], 16) % dim``; the vector holds the
 integer counts (cosine is scale-free, so callers normalise at scoring time,
-which keeps integer dot products exact). Words are exploded and pre-aggregated
-per (id, bucket) before the shuffle, so a huge text costs at most ``dim`` rows
-per task, and the per-id group holds at most ``dim`` entries.
+which keeps integer dot products exact). The dense vector is computed row by
+row (no shuffle, no grouping); the sparse ``(id, bucket, count)`` form explodes
+words and pre-aggregates per (id, bucket) map-side, so a huge text costs at
+most ``dim`` rows per task.
 
 ``embed_with`` is the hook for a real model: ``mapInPandas`` calls the model
 on batches of ``Params.embed_batch`` texts; a failed batch is kept with a NULL
@@ -34,16 +35,33 @@ def hashed_counts(df: DataFrame, id_cols: list[str], text_col: str, dim: int = D
     return toks.groupBy(*id_cols, hash_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def bucket_array(text, dim: int = DEFAULT.embed_dim):
+    """Sorted bucket ids of a text's lower-cased words."""
+    return F.sort_array(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), 0),
+                                    lambda t: hash_bucket(t, dim)))
+
+
+def counts_from_buckets(b, dim: int = DEFAULT.embed_dim):
+    """Dense counts from a sorted bucket array column: each bucket's count is the
+    span between its first and last position. NULL when there are no words."""
+    rb = F.reverse(b)
+    n = F.size(b)
+
+    def count(i):
+        first = F.array_position(b, i)
+        return F.when(first > 0, n - F.array_position(rb, i) + 2 - first).otherwise(F.lit(0)).cast("double")
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count))
+
+
 def hashed_embedding(df: DataFrame, id_cols: list[str], text_col: str, dim: int = DEFAULT.embed_dim,
                      out_col: str = "embedding") -> DataFrame:
-    """Dense form: ``df`` plus ``array<double>`` of bucket counts (NULL for texts without words)."""
-    sparse = hashed_counts(df, id_cols, text_col, dim)
-    dense = (sparse.groupBy(*id_cols)
-             .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "count"))).alias("_m"))
-             .select(*id_cols, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                           lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
-                     .alias(out_col)))
-    return df.join(dense, id_cols, "left")
+    """Dense form: ``df`` plus ``array<double>`` of bucket counts (NULL for texts
+    without words), row by row. The bucket array is materialised as its own
+    column first so the per-bucket lambdas read it instead of re-hashing."""
+    tmp = "__buckets"
+    return (df.withColumn(tmp, bucket_array(F.col(text_col), dim))
+            .withColumn(out_col, counts_from_buckets(F.col(tmp), dim)).drop(tmp))
 
 
 def embed_with(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]],

@@ -24,6 +24,23 @@ from pyspark.sql import types as T
 from lectern.params import DEFAULT, Params
 
 
+def _matrix(vec: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list<float|double> Arrow column as a float64 matrix; rows that are
+    NULL or not of length ``dim`` become NaN (and so never match). Validation is
+    done here rather than by a Spark filter, so no predicate is pushed into (and
+    re-evaluates) the expression that produced the vectors."""
+    if isinstance(vec, pa.ChunkedArray):
+        vec = vec.combine_chunks()
+    offs = vec.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = np.diff(offs)
+    ok = (lens == dim) & vec.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full((len(vec), dim), np.nan)
+    if ok.any():
+        vals = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        out[ok] = vals[offs[:-1][ok][:, None] + np.arange(dim)]
+    return out
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -44,8 +61,7 @@ def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            flat = rb.column("__vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            raw = flat.reshape(-1, dim)
+            raw = _matrix(rb.column("__vec"), dim)
             if post_norm:
                 cm = raw
                 cn = np.sqrt(np.einsum("ij,ij->i", raw, raw))
@@ -139,7 +155,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
         qcols.append(F.coalesce(F.col(query_semester).cast("long"), F.lit(0)).alias("sem"))
     if has_subj:
         qcols.append(F.col(query_subject).alias("subj"))
-    qdf = queries.select(*qcols).where(F.col("vec").isNotNull())
+    qdf = queries.select(*qcols)
 
     cols = [F.col(corpus_id).alias("__cid"), F.col(corpus_vec).alias("__vec")]
     if has_sem:
@@ -148,20 +164,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
         cols.append(F.col(corpus_subject).alias("__subj"))
     cols += [F.col(c) for c in carry]
     post_norm = normalize == "after"
-    cdf = corpus.select(*cols).where(F.col("__vec").isNotNull())
+    cdf = corpus.select(*cols)
     cschema = cdf.schema
     out_schema = T.StructType([cschema["__cid"]] + [cschema[c] for c in carry] + [
         T.StructField("__qid", queries.schema[query_id].dataType, True),
         T.StructField("similarity", T.DoubleType(), True)])
 
     # Size check of the query side before anything is broadcast.
-    nq = qdf.count()
-    dim = params.embed_dim
-    first = qdf.select(F.size("vec").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    if first:
-        dim = int(first[0]["d"])
-    qdf = qdf.where(F.size("vec") == dim)
-    cdf = cdf.where(F.size("__vec") == dim)
+    probe = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    nq, dim = int(probe["n"]), int(probe["d"] or params.embed_dim)
     rows_per_block = max(1, min(params.knn_query_block, params.knn_max_block_bytes // (8 * dim + 64)))
     nblocks = max(1, math.ceil(nq / rows_per_block))
 
@@ -171,8 +182,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
         tbl = part.toArrow()  # bounded: at most rows_per_block rows (checked above)
         if tbl.num_rows == 0:
             continue
-        m = np.asarray(tbl.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False),
-                       np.float64).reshape(-1, dim)
+        m = _matrix(tbl.column("vec"), dim)
         payload = {"m": m if post_norm else _unit_rows(m),
                    "n": np.sqrt(np.einsum("ij,ij->i", m, m)),
                    "ids": np.array(tbl.column("qid").to_pylist(), dtype=object)}

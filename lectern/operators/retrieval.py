@@ -119,3 +119,17 @@ def source_records(hits: DataFrame) -> DataFrame:
     return (with_citation(hits).groupBy("query_id")
             .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), src.alias("s")))).alias("_s"))
             .select("query_id", F.transform("_s", lambda x: x["s"]).alias("sources")))
+
+
+def answer_parts(hits: DataFrame) -> DataFrame:
+    """A8 + P31 in one aggregation: per query ``n_hits, context_text, sources``."""
+    h = with_citation(hits)
+    src = F.struct(
+        F.col("slide_number"), F.col("subject"), F.col("unit_name"), F.col("unit_number"),
+        F.col("semester"), F.col("source_filename"), F.col("citation"), F.col("similarity_score"))
+    parts = F.sort_array(F.collect_list(F.struct("rank", "citation", "content", src.alias("s"))))
+    g = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), parts.alias("_p"))
+    blocks = F.transform("_p", lambda x: F.concat(F.lit("[Source "), x["rank"].cast("string"), F.lit(": "),
+                                                  x["citation"], F.lit("]\n"), x["content"]))
+    return g.select("query_id", "n_hits", F.array_join(blocks, "\n\n---\n\n").alias("context_text"),
+                    F.transform("_p", lambda x: x["s"]).alias("sources"))

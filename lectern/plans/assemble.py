@@ -17,9 +17,7 @@ def assemble(requests: DataFrame, hits: DataFrame, system_prompt: str = dialog.D
     final hits -> ``prompt``, ``sources`` and the response record (P30-P32).
     ``answer`` maps the prompt column to an answer column (e.g. a pandas UDF
     calling a model); without it the answer is NULL."""
-    ctx = retrieval.context_blocks(hits)
-    src = retrieval.source_records(hits)
-    a = requests.join(ctx, "query_id", "left").join(src, "query_id", "left")
+    a = requests.join(retrieval.answer_parts(hits), "query_id", "left")
     prompt = dialog.build_prompt(F.lit(system_prompt), F.col("query"), F.coalesce(F.col("context_text"), F.lit("")),
                                  F.col("subject"), F.col("semester"), history.history_section(F.col("history")))
     a = a.withColumn("prompt", prompt)

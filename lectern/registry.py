@@ -526,9 +526,7 @@ def _rag_hits(spark, d, p: Params = RAG):
 
 def _rag_answers(spark, d):
     hits, req = _rag_hits(spark, d)
-    ctx = retrieval.context_blocks(hits)
-    src = retrieval.source_records(hits)
-    return req.join(ctx, "query_id", "left").join(src, "query_id", "left")
+    return req.join(retrieval.answer_parts(hits), "query_id", "left")
 
 
 @query("prompt")
