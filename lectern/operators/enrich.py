@@ -29,6 +29,29 @@ def manifest_urls(resources: DataFrame) -> DataFrame:
             .agg(F.min_by("source_page_url", "ord").alias("manifest_url")))
 
 
+def enrich_files(files: DataFrame, resources: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """P1-P3 + J1 once per FILE (not per element): path metadata and the
+    manifest source URL ('' when absent)."""
+    f = path_metadata(files, path)
+    if resources is None:
+        return f.withColumn("source_url", F.lit(""))
+    m = manifest_urls(resources)
+    j = f.join(m, (f["semester"] == m["m_semester"]) & (f["source_filename"] == m["m_file"]), "left")
+    return (j.drop("m_semester", "m_file")
+            .withColumn("source_url", F.coalesce(F.col("manifest_url"), F.lit(""))).drop("manifest_url"))
+
+
+def explode_elements(files_meta: DataFrame, text) -> DataFrame:
+    """S4 + P6 + P7 on enriched files: ordered line elements with the unit taken
+    from the file name, else from the element's own text (P4)."""
+    e = files_meta.select("*", F.posexplode(F.split(text, "\n")).alias("_pos", "element_text"))
+    return (e.withColumn("element_no", (F.col("_pos") + 1).cast("int"))
+            .withColumn("slide_number", F.col("element_no"))
+            .withColumn("unit_number", F.when(F.col("unit_from_name") != 0, F.col("unit_from_name"))
+                        .otherwise(P.unit_from_content(F.col("element_text"))))
+            .drop("_pos"))
+
+
 def enrich(elements: DataFrame, resources: DataFrame | None = None) -> DataFrame:
     """Per element: slide number (P6 = ordinal), unit from the file name or,
     when that is 0, from the element's own text (P4), and the source URL

@@ -36,50 +36,75 @@ def anchors(pages: DataFrame) -> DataFrame:
                     _attr(F.col("tag"), "data-file").alias("data_file"))
 
 
-def _resource(df, strategy: int, name, url, kind_default=None):
+def _items(pages: DataFrame) -> DataFrame:
+    """One row per anchor, iframe and script URL of a page, from ONE projection
+    of the page (three tag lists tagged with kind and 1-based position)."""
+    script_body = F.array_join(F.regexp_extract_all("html", F.lit(SCRIPT), 1), "\n")
+    lists = [("a", F.regexp_extract_all("html", F.lit(ANCHOR), 0)),
+             ("f", F.regexp_extract_all("html", F.lit(IFRAME), 0)),
+             ("s", F.regexp_extract_all(script_body, F.lit(SCRIPT_URL), 0))]
+    def tagger(kind):
+        return lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("int").alias("pos"), x.alias("tag"))
+
+    items = F.concat(*[F.transform(arr, tagger(k)) for k, arr in lists])
+    keep = [c for c in ("subject", "semester", "url") if c in pages.columns]
+    return pages.select("page_id", *keep, F.explode(items).alias("t")).select(
+        "page_id", *keep, "t.kind", "t.pos", "t.tag")
+
+
+def _candidate(strategy: int, name, rtype, url, data_file):
     d = L.drive_id(url)
-    return df.select(
-        "page_id", F.lit(strategy).alias("strategy"), "pos", name.alias("name"),
-        (L.resource_class(name) if kind_default is None else F.lit(kind_default)).alias("resource_type"),
-        url.alias("drive_url"), d["drive_id"].alias("drive_id"), d["drive_type"].alias("drive_type"),
-        (F.col("data_file") if "data_file" in df.columns else F.lit(None).cast("string")).alias("data_file"))
+    return F.struct(F.lit(strategy).alias("strategy"), name.alias("name"), rtype.alias("resource_type"),
+                    url.alias("drive_url"), d["drive_id"].alias("drive_id"), d["drive_type"].alias("drive_type"),
+                    data_file.alias("data_file"))
+
+
+def _resources(pages: DataFrame) -> DataFrame:
+    """P15 strategies 1-4 as candidate rows (before J5)."""
+    it = _items(pages)
+    tag = F.col("tag")
+    is_a, is_f, is_s = F.col("kind") == "a", F.col("kind") == "f", F.col("kind") == "s"
+    href = _attr(tag, "href")
+    text = strip(L.unescape(F.regexp_replace(F.regexp_extract(tag, r"(?is)^<a\s[^>]*>(.*)</a>$", 1), r"<[^>]*>", "")))
+    name = F.coalesce(F.nullif(text, F.lit("")), F.lit("Resource"))
+    data_file = _attr(tag, "data-file")
+    src = _attr(tag, "src")
+    none = F.lit(None).cast("string")
+    c1 = F.when(is_a & href.isNotNull() & href.rlike(DRIVE_HOST),
+                _candidate(1, name, L.resource_class(name), href, data_file))
+    c2 = F.when(is_a & href.isNotNull() & L.is_viewer_link(href),
+                _candidate(2, name, L.resource_class(name), L.viewer_target(href), data_file))
+    kind3 = L.drive_id(src)["drive_type"]
+    c3 = F.when(is_f & src.isNotNull() & src.contains("drive.google.com"),
+                _candidate(3, F.concat(F.lit("Embedded "), F.coalesce(kind3, F.lit("resource"))), F.lit("other"),
+                           src, none))
+    kind4 = L.drive_id(tag)["drive_type"]
+    c4 = F.when(is_s & L.drive_id(tag)["drive_id"].isNotNull(),
+                _candidate(4, F.concat(F.lit("Script-embedded "), F.coalesce(kind4, F.lit("resource"))),
+                           F.lit("other"), tag, none))
+    keep = [c for c in ("subject", "semester", "url") if c in pages.columns]
+    cands = F.filter(F.array(c1, c2, c3, c4), lambda x: x.isNotNull())
+    return (it.select("page_id", *keep, "pos", F.explode(cands).alias("r"))
+            .select("page_id", *keep, "r.strategy", "pos", "r.name", "r.resource_type", "r.drive_url",
+                    "r.drive_id", "r.drive_type", "r.data_file"))
 
 
 def page_resources(pages: DataFrame) -> DataFrame:
     """P15 strategies 1-3: drive anchors, viewer anchors, drive iframes (bag union)."""
-    a = anchors(pages).where(F.col("href").isNotNull())
-    name = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("Resource"))
-    s1 = _resource(a.where(F.col("href").rlike(DRIVE_HOST)), 1, name, F.col("href"))
-    s2 = _resource(a.where(L.is_viewer_link(F.col("href"))), 2, name, L.viewer_target(F.col("href")))
-    fr = (pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(IFRAME), 0)).alias("pos", "tag"))
-          .select("page_id", (F.col("pos") + 1).cast("int").alias("pos"), _attr(F.col("tag"), "src").alias("src"))
-          .where(F.col("src").contains("drive.google.com")))
-    kind = L.drive_id(F.col("src"))["drive_type"]
-    s3 = _resource(fr, 3, F.concat(F.lit("Embedded "), F.coalesce(kind, F.lit("resource"))), F.col("src"), "other")
-    return s1.unionByName(s2).unionByName(s3)
-
-
-def script_resources(pages: DataFrame, seen: DataFrame) -> DataFrame:
-    """P15 strategy 4 with J5: drive URLs inside scripts whose id is new to the
-    page (anti join against strategies 1-3), first occurrence per id kept."""
-    body = F.array_join(F.regexp_extract_all("html", F.lit(SCRIPT), 1), "\n")
-    u = (pages.select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(SCRIPT_URL), 0)).alias("pos", "url"))
-         .select("page_id", (F.col("pos") + 1).cast("int").alias("pos"), "url"))
-    d = L.drive_id(F.col("url"))
-    u = u.select("*", d["drive_id"].alias("did"), d["drive_type"].alias("dtype")).where(F.col("did").isNotNull())
-    u = u.join(seen.select("page_id", F.col("drive_id").alias("did")).where(F.col("did").isNotNull()).distinct(),
-               ["page_id", "did"], "left_anti")
-    w = Window.partitionBy("page_id", "did").orderBy("pos")
-    u = u.withColumn("first", F.row_number().over(w)).where(F.col("first") == 1)
-    name = F.concat(F.lit("Script-embedded "), F.coalesce(F.col("dtype"), F.lit("resource")))
-    return _resource(u, 4, name, F.col("url"), "other")
+    return _resources(pages).where(F.col("strategy") < 4)
 
 
 def all_resources(pages: DataFrame) -> DataFrame:
-    """Strategies 1-3 (bag) then 4 (set-minus), with the page's subject."""
-    s = page_resources(pages)
-    res = s.unionByName(script_resources(pages, s))
-    return res.join(pages.select("page_id", "subject", "semester", F.col("url").alias("source_page_url")), "page_id")
+    """U2 + J5: strategies 1-3 (bag) then script URLs whose drive id is new to the
+    page (first occurrence kept), with the page's subject. One window over
+    ``(page_id, drive_id)`` replaces the anti-join, so pages are read once."""
+    r = _resources(pages)
+    w_id = Window.partitionBy("page_id", "drive_id")
+    w_s4 = Window.partitionBy("page_id", "drive_id", F.col("strategy") == 4).orderBy("pos")
+    r = (r.withColumn("_seen", F.max(F.when(F.col("strategy") < 4, 1).otherwise(0)).over(w_id))
+         .withColumn("_first", F.row_number().over(w_s4)))
+    keep = (F.col("strategy") < 4) | ((F.col("_seen") == 0) & (F.col("_first") == 1))
+    return r.where(keep).drop("_seen", "_first").withColumnRenamed("url", "source_page_url")
 
 
 def subject_links(pages: DataFrame, base_url: str) -> DataFrame:

@@ -209,19 +209,16 @@ def q_meta_unit_content(spark, d):
 
 @query("enrich_elements")
 def q_enrich_elements(spark, d):
-    el = fx.file_elements(spark, d).where(P.is_document_path(F.col("path")))
-    e = EN.enrich(el, LK.manifest_order(_resources(spark, d)))
+    files = EN.enrich_files(_discovered(spark, d), LK.manifest_order(_resources(spark, d)))
+    e = EN.explode_elements(files, F.concat(fx.unit_prefix(F.col("doc_id")), F.col("text")))
     return e.select("doc_id", F.col("element_no").cast("long").alias("element_no"), "semester", "subject",
                     "unit_number", "slide_number", "source_filename", "source_url")
 
 
 @query("manifest_lookup")
 def q_manifest_lookup(spark, d):
-    f = EN.path_metadata(_discovered(spark, d))
-    m = EN.manifest_urls(LK.manifest_order(_resources(spark, d)))
-    j = f.join(m, (f["semester"] == m["m_semester"]) & (f["source_filename"] == m["m_file"]), "left")
-    return j.select("doc_id", "semester", "source_filename",
-                    F.coalesce(F.col("manifest_url"), F.lit("")).alias("source_url"))
+    f = EN.enrich_files(_discovered(spark, d).drop("text"), LK.manifest_order(_resources(spark, d)))
+    return f.select("doc_id", "semester", "source_filename", "source_url")
 
 
 @query("metadata_flatten")
