@@ -69,9 +69,9 @@ def replay(requests: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "t
     """``(rid, key, ts)`` -> ``event_id, key, t_us, hit, stored_at_us`` (the
     store that answered a hit, or the row's own time for a miss)."""
     spark = requests.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = requests.select(F.col(rid).cast("long").alias("event_id"), F.col(key).cast("string").alias("key"),
                         F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"))
+    nparts = max(spark.sparkContext.defaultParallelism, 1)  # CPU-bound fold: one slice per core
     r = r.repartition(nparts, "key").sortWithinPartitions("key", "t_us", "event_id")
     return r.mapInArrow(_fold(int(ttl_seconds) * 1_000_000),
                         "event_id long, key string, t_us long, hit boolean, stored_at_us long")

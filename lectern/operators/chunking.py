@@ -213,42 +213,49 @@ def _assign(slides: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, boo
     """
     p = params
     spark = slides.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
+    # The fold is CPU-bound Python per element: spread it over every core rather
+    # than letting byte-based coalescing pack the small integer table into a few tasks.
+    nparts = max(spark.sparkContext.defaultParallelism, 1)
     # The fold runs twice over (file, ord, n); materialise that small integer
     # table once in the shared checkpoint folder instead of re-reading text.
     ints = (slides.select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
                           F.col("n").cast("long").alias("n"))
             .withColumn("blk", F.floor((F.col("ord") - 1) / p.chunk_block).cast("long"))
             .checkpoint(eager=True))
-    blocked = ints.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
-
-    summ = blocked.select("file", "blk", "n").mapInArrow(_summaries(p), _SUMMARY_SCHEMA)
-    # Compose block tables per file in order (one small row per block, JVM-side).
-    acc0 = F.struct(F.lit(CLOSED).cast("long").alias("state"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("k"),
-                    F.array().cast("array<struct<blk:long,start_state:long,c_off:long,seg_off:long,k_off:long>>")
-                    .alias("starts"))
-
-    def step(acc, b):
-        idx = F.when(F.size(b["end_state"]) == 1, F.lit(1)).otherwise(acc["state"] + 2)
-        here = F.struct(b["blk"].alias("blk"), acc["state"].alias("start_state"), acc["c"].alias("c_off"),
-                        acc["seg"].alias("seg_off"), acc["k"].alias("k_off"))
-        return F.struct(F.element_at(b["end_state"], idx.cast("int")).alias("state"),
-                        (acc["c"] + F.element_at(b["n_chunks"], idx.cast("int"))).alias("c"),
-                        (acc["seg"] + b["n_segs"]).alias("seg"),
-                        (acc["k"] + b["n_elems"]).alias("k"),
-                        F.concat(acc["starts"], F.array(here)).alias("starts"))
-
-    starts = (summ.groupBy("file")
-              .agg(F.sort_array(F.collect_list(F.struct("blk", "end_state", "n_chunks", "n_segs", "n_elems")))
-                   .alias("blocks"))
-              .where(F.size("blocks") > 1)
-              .select("file", F.inline(F.aggregate("blocks", acc0, step)["starts"]))
-              .where(F.col("blk") > 0))
-
     blk_max = ints.agg(F.max("blk")).first()[0] or 0
-    with_starts = ints.join(starts, ["file", "blk"], "left")
+    if blk_max == 0:
+        # every file fits in one block: all blocks start closed at offset 0
+        with_starts = ints.select("*", *[F.lit(None).cast("long").alias(c)
+                                         for c in ("start_state", "c_off", "seg_off", "k_off")])
+    else:
+        blocked = ints.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
+
+        summ = blocked.select("file", "blk", "n").mapInArrow(_summaries(p), _SUMMARY_SCHEMA)
+        # Compose block tables per file in order (one small row per block, JVM-side).
+        acc0 = F.struct(F.lit(CLOSED).cast("long").alias("state"), F.lit(0).cast("long").alias("c"),
+                        F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("k"),
+                        F.array().cast("array<struct<blk:long,start_state:long,c_off:long,seg_off:long,k_off:long>>")
+                        .alias("starts"))
+
+        def step(acc, b):
+            idx = F.when(F.size(b["end_state"]) == 1, F.lit(1)).otherwise(acc["state"] + 2)
+            here = F.struct(b["blk"].alias("blk"), acc["state"].alias("start_state"), acc["c"].alias("c_off"),
+                            acc["seg"].alias("seg_off"), acc["k"].alias("k_off"))
+            return F.struct(F.element_at(b["end_state"], idx.cast("int")).alias("state"),
+                            (acc["c"] + F.element_at(b["n_chunks"], idx.cast("int"))).alias("c"),
+                            (acc["seg"] + b["n_segs"]).alias("seg"),
+                            (acc["k"] + b["n_elems"]).alias("k"),
+                            F.concat(acc["starts"], F.array(here)).alias("starts"))
+
+        starts = (summ.groupBy("file")
+                  .agg(F.sort_array(F.collect_list(F.struct("blk", "end_state", "n_chunks", "n_segs", "n_elems")))
+                       .alias("blocks"))
+                  .where(F.size("blocks") > 1)
+                  .select("file", F.inline(F.aggregate("blocks", acc0, step)["starts"]))
+                  .where(F.col("blk") > 0))
+
+        with_starts = ints.join(starts, ["file", "blk"], "left")
     replay_in = (with_starts.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
                  .select("file", "blk", "ord", "n", "start_state", "c_off", "seg_off", "k_off"))
     out = replay_in.mapInArrow(

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,29 +37,37 @@ def hashed_counts(df: DataFrame, id_cols: list[str], text_col: str, dim: int = D
 
 
 def bucket_array(text, dim: int = DEFAULT.embed_dim):
-    """Sorted bucket ids of a text's lower-cased words."""
-    return F.sort_array(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), 0),
-                                    lambda t: hash_bucket(t, dim)))
+    """Bucket ids of a text's lower-cased words."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), 0), lambda t: hash_bucket(t, dim))
+
+
+def _bincount_udf(dim: int):
+    @F.pandas_udf("array<double>")
+    def bincount(b: pd.Series) -> pd.Series:
+        # one np.bincount over the whole Arrow batch: row r, bucket j -> r * dim + j
+        lens = b.map(lambda x: 0 if x is None else len(x)).to_numpy(np.int64)
+        n = len(b)
+        out = [None] * n
+        if lens.sum():
+            vals = np.concatenate([np.asarray(x, np.int64) for x in b if x is not None and len(x)])
+            rows = np.repeat(np.arange(n), lens)
+            counts = np.bincount(rows * dim + vals, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            for r in np.flatnonzero(lens):
+                out[r] = counts[r]
+        return pd.Series(out, dtype=object)
+    return bincount
 
 
 def counts_from_buckets(b, dim: int = DEFAULT.embed_dim):
-    """Dense counts from a sorted bucket array column: each bucket's count is the
-    span between its first and last position. NULL when there are no words."""
-    rb = F.reverse(b)
-    n = F.size(b)
-
-    def count(i):
-        first = F.array_position(b, i)
-        return F.when(first > 0, n - F.array_position(rb, i) + 2 - first).otherwise(F.lit(0)).cast("double")
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count))
+    """Dense counts of a bucket-id array column (NULL when there are no words)."""
+    return _bincount_udf(dim)(b)
 
 
 def hashed_embedding(df: DataFrame, id_cols: list[str], text_col: str, dim: int = DEFAULT.embed_dim,
                      out_col: str = "embedding") -> DataFrame:
     """Dense form: ``df`` plus ``array<double>`` of bucket counts (NULL for texts
-    without words), row by row. The bucket array is materialised as its own
-    column first so the per-bucket lambdas read it instead of re-hashing."""
+    without words), row by row with no shuffle: words are hashed JVM-side, and
+    each Arrow batch of bucket lists is counted with one ``np.bincount``."""
     tmp = "__buckets"
     return (df.withColumn(tmp, bucket_array(F.col(text_col), dim))
             .withColumn(out_col, counts_from_buckets(F.col(tmp), dim)).drop(tmp))
