@@ -30,3 +30,21 @@ def test_no_cartesian_anywhere(spark):
 def test_history_is_equi_join_not_window(spark):
     p = plan(QUERIES["history_last5"](spark, SF_SMALL))
     assert "Window " not in p.replace("WindowGroupLimit", "")
+
+
+def test_metadata_filter_prunes_partitions_and_pushes_down(spark):
+    import tempfile
+
+    from lectern.operators.retrieval import metadata_predicate
+    from lectern.sources import fixtures as fx
+    from lectern.sources import store
+    base = tempfile.mkdtemp(prefix="lectern-store-")
+    store.write_version(fx.vectors(spark, SF_SMALL), base, partition_by=["semester"])
+    s = spark.read.parquet(f"{base}/v=1")
+    p = plan(s.where(metadata_predicate(semester=3, subject="subject_1")).select("chunk_id", "embedding"))
+    assert "PartitionFilters: [isnotnull(semester" in p and "(semester#" in p
+    assert "PushedFilters: [IsNotNull(subject), EqualTo(subject,subject_1)]" in p
+    assert "ReadSchema: struct<chunk_id:bigint,embedding:array<float>,subject:string>" in p
+    # no filter at all when neither applies (F1: semester 0, blank subject)
+    p0 = plan(s.where(metadata_predicate(semester=0, subject="  ")))
+    assert "PushedFilters: []" in p0
