@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.params import DEFAULT, Params
 
@@ -77,7 +78,9 @@ def embed_with(df: DataFrame, text_col: str, model: Callable[[list[str]], list[l
                params: Params = DEFAULT, out_col: str = "embedding") -> DataFrame:
     """U2 hook: call ``model`` on batches of texts inside executors (Arrow batches)."""
     size = params.embed_batch
-    schema = df.schema.add(out_col, "array<double>").add("embed_error", "string")
+    schema = T.StructType(list(df.schema.fields) + [
+        T.StructField(out_col, T.ArrayType(T.DoubleType()), True),
+        T.StructField("embed_error", T.StringType(), True)])
 
     def run(it):
         for pdf in it:
