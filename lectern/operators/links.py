@@ -26,11 +26,12 @@ def _attr(tag, name: str):
     return F.when(tag.rlike(pat), L.unescape(F.regexp_extract(tag, pat, 1)))
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """Every ``<a>`` of every page: ``page_id, pos (1-based), href, text, data_file``."""
-    a = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "tag"))
+def anchors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every ``<a>`` of every page: ``page_id, *keep, pos (1-based), href, text, data_file``."""
+    a = pages.select("page_id", *keep,
+                     F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "tag"))
     inner = F.regexp_extract(F.col("tag"), r"(?is)^<a\s[^>]*>(.*)</a>$", 1)
-    return a.select("page_id", (F.col("pos") + 1).cast("int").alias("pos"),
+    return a.select("page_id", *keep, (F.col("pos") + 1).cast("int").alias("pos"),
                     _attr(F.col("tag"), "href").alias("href"),
                     strip(L.unescape(F.regexp_replace(inner, r"<[^>]*>", ""))).alias("text"),
                     _attr(F.col("tag"), "data-file").alias("data_file"))
@@ -109,23 +110,22 @@ def all_resources(pages: DataFrame) -> DataFrame:
 
 def subject_links(pages: DataFrame, base_url: str) -> DataFrame:
     """Anchors to ``/semesters/{n}/subjects/...`` of the page's semester.
-    Name = anchor text, else the URL-decoded tail; fallback rule only for
-    pages where the primary rule found nothing."""
-    a = anchors(pages.select("page_id", "html", "semester")).join(
-        pages.select("page_id", "semester"), "page_id").where(F.col("href").isNotNull())
+    Name = anchor text, else the URL-decoded tail; the looser fallback rule
+    applies only to pages where the primary rule found nothing (one window per
+    page instead of an anti-join, so pages are read once)."""
+    a = anchors(pages, keep=("semester",)).where(F.col("href").isNotNull())
     marker = F.concat(F.lit("/semesters/"), F.col("semester").cast("string"), F.lit("/subjects/"))
     after = F.get(F.split(F.col("href"), "/subjects/"), 1)
     tail = F.regexp_replace(F.coalesce(F.try_url_decode(after), after), r"^/+|/+$", "")
-    primary = (a.where(F.col("href").contains(marker))
-               .select("page_id", "pos", F.coalesce(F.nullif(F.col("text"), F.lit("")), tail).alias("name"),
-                       L.absolutize(F.col("href"), base_url).alias("url"), "semester")
-               .where(F.coalesce(F.col("name"), F.lit("")) != ""))
+    pname = F.coalesce(F.nullif(F.col("text"), F.lit("")), tail)
+    primary = F.col("href").contains(marker) & (F.coalesce(pname, F.lit("")) != "")
     sem_dir = F.concat(F.lit("/semesters/"), F.col("semester").cast("string"), F.lit("/"))
-    fallback = (a.join(primary.select("page_id").distinct(), "page_id", "left_anti")
-                .where(F.col("href").contains(sem_dir) & F.col("href").contains("/subjects/") & (F.col("text") != ""))
-                .select("page_id", "pos", F.col("text").alias("name"),
-                        L.absolutize(F.col("href"), base_url).alias("url"), "semester"))
-    return primary.unionByName(fallback)
+    fallback = F.col("href").contains(sem_dir) & F.col("href").contains("/subjects/") & (F.col("text") != "")
+    a = a.withColumn("_p", primary).withColumn(
+        "_page_has_p", F.max(F.col("_p").cast("int")).over(Window.partitionBy("page_id")))
+    return (a.where(F.col("_p") | ((F.col("_page_has_p") == 0) & fallback))
+            .select("page_id", "pos", F.when(F.col("_p"), pname).otherwise(F.col("text")).alias("name"),
+                    L.absolutize(F.col("href"), base_url).alias("url"), "semester"))
 
 
 def download_plan(resources: DataFrame) -> DataFrame:
