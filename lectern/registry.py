@@ -335,9 +335,7 @@ from lectern.operators import history as HI  # noqa: E402
 
 def _requests_with_history(spark, d, n=None):
     p = DEFAULT
-    req = fx.requests(spark, d)
-    h = HI.previous_messages(fx.messages(spark, d), n or p.history_prompt, targets=req)
-    return req.join(h, ["conv_id", "turn"])
+    return HI.previous_messages(fx.messages(spark, d), n or p.history_prompt, targets=fx.requests(spark, d))
 
 
 def _rewritten(r, candidate=None):
