@@ -232,27 +232,64 @@ def _assign(slides: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, boo
         blocked = ints.repartition(nparts, "file", "blk").sortWithinPartitions("file", "blk", "ord")
 
         summ = blocked.select("file", "blk", "n").mapInArrow(_summaries(p), _SUMMARY_SCHEMA)
-        # Compose block tables per file in order (one small row per block, JVM-side).
-        acc0 = F.struct(F.lit(CLOSED).cast("long").alias("state"), F.lit(0).cast("long").alias("c"),
-                        F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("k"),
-                        F.array().cast("array<struct<blk:long,start_state:long,c_off:long,seg_off:long,k_off:long>>")
-                        .alias("starts"))
-
-        def step(acc, b):
-            idx = F.when(F.size(b["end_state"]) == 1, F.lit(1)).otherwise(acc["state"] + 2)
-            here = F.struct(b["blk"].alias("blk"), acc["state"].alias("start_state"), acc["c"].alias("c_off"),
-                            acc["seg"].alias("seg_off"), acc["k"].alias("k_off"))
-            return F.struct(F.element_at(b["end_state"], idx.cast("int")).alias("state"),
-                            (acc["c"] + F.element_at(b["n_chunks"], idx.cast("int"))).alias("c"),
-                            (acc["seg"] + b["n_segs"]).alias("seg"),
-                            (acc["k"] + b["n_elems"]).alias("k"),
-                            F.concat(acc["starts"], F.array(here)).alias("starts"))
-
-        starts = (summ.groupBy("file")
-                  .agg(F.sort_array(F.collect_list(F.struct("blk", "end_state", "n_chunks", "n_segs", "n_elems")))
-                       .alias("blocks"))
-                  .where(F.size("blocks") > 1)
-                  .select("file", F.inline(F.aggregate("blocks", acc0, step)["starts"]))
+        # Two-level composition, JVM-side, every group bounded: (1) blocks are
+        # composed into one table per super-block; (2) super-block tables are
+        # folded per file from the closed state; (3) each super-block replays
+        # its blocks from its entry state to give every block its start.
+        G = max(p.chunk_superblock, 1)
+        n_states = _n_states(p)
+        summ = summ.withColumn("sblk", F.floor(F.col("blk") / G).cast("long"))
+        start_t = "struct<blk:long,start_state:long,c_off:long,seg_off:long,k_off:long>"
+
+        def idx(state, table):
+            return F.when(F.size(table) == 1, F.lit(1)).otherwise(state + 2).cast("int")
+
+        def fold_starts(blocks, acc0):
+            def step(acc, b):
+                i = idx(acc["state"], b["end_state"])
+                here = F.struct(b["blk"].alias("blk"), acc["state"].alias("start_state"),
+                                acc["c"].alias("c_off"), acc["seg"].alias("seg_off"), acc["k"].alias("k_off"))
+                return F.struct(F.element_at(b["end_state"], i).alias("state"),
+                                (acc["c"] + F.element_at(b["n_chunks"], i)).alias("c"),
+                                (acc["seg"] + b["n_segs"]).alias("seg"),
+                                (acc["k"] + b["n_elems"]).alias("k"),
+                                F.concat(acc["starts"], F.array(here)).alias("starts"))
+            return F.aggregate(blocks, acc0, step)["starts"]
+
+        def acc_from(state, c, seg, k):
+            return F.struct(state.cast("long").alias("state"), c.cast("long").alias("c"),
+                            seg.cast("long").alias("seg"), k.cast("long").alias("k"),
+                            F.array().cast(f"array<{start_t}>").alias("starts"))
+
+        def table_of(blocks):
+            # entry state s -> (exit state, chunks opened); scalar when the super-block holds block 0
+            def run_from(s):
+                def st(acc, b):
+                    i = idx(acc["state"], b["end_state"])
+                    return F.struct(F.element_at(b["end_state"], i).alias("state"),
+                                    (acc["c"] + F.element_at(b["n_chunks"], i)).alias("c"))
+                return F.aggregate(blocks, F.struct(s.cast("long").alias("state"), F.lit(0).cast("long").alias("c")), st)
+            scalar = F.size(blocks[0]["end_state"]) == 1
+            states = F.when(scalar, F.array(F.lit(CLOSED).cast("long"))).otherwise(
+                F.sequence(F.lit(CLOSED).cast("long"), F.lit(n_states - 2).cast("long")))
+            runs = F.transform(states, run_from)
+            return (F.transform(runs, lambda r: r["state"]), F.transform(runs, lambda r: r["c"]))
+
+        blocks = F.sort_array(F.collect_list(F.struct("blk", "end_state", "n_chunks", "n_segs", "n_elems")))
+        sb = summ.groupBy("file", "sblk").agg(blocks.alias("blocks"),
+                                               F.sum("n_segs").alias("n_segs"), F.sum("n_elems").alias("n_elems"))
+        ends, counts = table_of(F.col("blocks"))
+        sb = sb.select("file", "sblk", "blocks", "n_segs", "n_elems", ends.alias("end_state"),
+                       counts.alias("n_chunks"))
+        sb_starts = (sb.groupBy("file")
+                     .agg(F.sort_array(F.collect_list(F.struct(F.col("sblk").alias("blk"), "end_state", "n_chunks",
+                                                               "n_segs", "n_elems"))).alias("sbs"))
+                     .select("file", F.inline(fold_starts(F.col("sbs"), acc_from(F.lit(CLOSED), F.lit(0), F.lit(0),
+                                                                                  F.lit(0)))))
+                     .withColumnRenamed("blk", "sblk"))
+        starts = (sb.join(sb_starts, ["file", "sblk"])
+                  .select("file", F.inline(fold_starts(F.col("blocks"), acc_from(
+                      F.col("start_state"), F.col("c_off"), F.col("seg_off"), F.col("k_off")))))
                   .where(F.col("blk") > 0))
 
         with_starts = ints.join(starts, ["file", "blk"], "left")

@@ -17,8 +17,10 @@ class Params:
     chunk_size: int = 200
     chunk_overlap: int = 30
     max_chunk_tokens: int = 300
-    # Elements per block of the parallel chunk fold (bounds one task's group).
+    # Elements per block of the parallel chunk fold (bounds one task's group),
+    # and blocks per super-block of its two-level composition.
     chunk_block: int = 65536
+    chunk_superblock: int = 4096
 
     # Retrieval.
     top_k: int = 8

@@ -22,30 +22,51 @@ MANIFEST = T.StructType([
     T.StructField("total_downloaded", T.IntegerType()), T.StructField("subjects", T.ArrayType(SUBJECT))])
 
 
-def write_manifest(subjects: DataFrame, totals: DataFrame, path: str, scraped_at: str) -> None:
-    """Write subjects (rows of SUBJECT) and the totals row as one manifest
-    document per output file; the subject array is built by ``collect_list``
-    in a single global group, which is the manifest's own shape (one document)."""
-    s = subjects.select(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUBJECT.fields]).alias("s"))
-    agg = s.agg(F.collect_list("s").alias("subjects"), F.lit(1).alias("_k"))
-    t = totals.select(*[F.col(c).cast("int").alias(c) for c in totals.columns], F.lit(1).alias("_k"))
-    (agg.join(t, "_k")
-        .select(F.lit(scraped_at).alias("scraped_at"), "total_semesters_scraped", "total_subjects",
-                "total_resources", "total_downloaded", "subjects")
-        .coalesce(1).write.mode("overwrite").json(path))
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """Read a manifest (multi-line JSON allowed); ``None`` when it does not exist."""
+def write_manifest(subjects: DataFrame, totals: DataFrame, path: str, scraped_at: str,
+                   order: str = "page_id") -> None:
+    """Write a manifest as two JSON folders: ``subjects`` (JSON lines, one
+    subject per line with its nested resources and its manifest position
+    ``subject_index``) and ``totals`` (one line with ``scraped_at`` and the
+    A2 counts). No step gathers the whole manifest into one row or task."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SUBJECT.fields]
+    subjects.select(F.col(order).cast("long").alias("subject_index"), *cols) \
+        .write.mode("overwrite").json(f"{path}/subjects")
+    totals.select(F.lit(scraped_at).alias("scraped_at"), *[F.col(c).cast("int").alias(c) for c in totals.columns]) \
+        .write.mode("overwrite").json(f"{path}/totals")
+
+
+SUBJECT_LINE = T.StructType([T.StructField("subject_index", T.LongType())] + SUBJECT.fields)
+TOTALS = T.StructType([f for f in MANIFEST.fields if f.name != "subjects"])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """``(totals, subjects)`` of a manifest; ``None`` when it does not exist."""
+    if not _exists(spark, f"{path}/subjects"):
+        return None
+    return (spark.read.schema(TOTALS).json(f"{path}/totals"),
+            spark.read.schema(SUBJECT_LINE).json(f"{path}/subjects"))
+
+
+def read_manifest_document(spark: SparkSession, path: str) -> DataFrame | None:
+    """A single nested manifest document (as other tools write it), multi-line JSON allowed."""
+    if not _exists(spark, path):
         return None
     return spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
 
 
-def manifest_resources(manifest: DataFrame) -> DataFrame:
-    """Flatten a manifest to resource rows with their manifest order ``ord``."""
-    s = manifest.select(F.posexplode("subjects").alias("si", "s"))
-    r = s.select("si", F.posexplode("s.resources").alias("ri", "r"))
-    return r.select((F.col("si") * 1_000_000 + F.col("ri")).alias("ord"), "r.*")
+def manifest_resources(subjects: DataFrame) -> DataFrame:
+    """Flatten subject lines to resource rows with their manifest order ``ord``."""
+    r = subjects.select("subject_index", F.posexplode("resources").alias("ri", "r"))
+    return r.select((F.col("subject_index") * 1_000_000 + F.col("ri")).alias("ord"), "r.*")
+
+
+def document_resources(manifest: DataFrame) -> DataFrame:
+    """Flatten a single nested manifest document the same way."""
+    s = manifest.select(F.posexplode("subjects").alias("subject_index", "s"))
+    return manifest_resources(s.select("subject_index", "s.resources"))

@@ -59,10 +59,10 @@ def random_file(rng):
     return els
 
 
-@pytest.mark.parametrize("block", [65536, 3])
-def test_chunker_matches_simulation(spark, block):
-    rng = random.Random(7 + block)
-    p = Params(chunk_block=block)
+@pytest.mark.parametrize("block,superblock", [(65536, 4096), (3, 4096), (3, 2), (2, 3)])
+def test_chunker_matches_simulation(spark, block, superblock):
+    rng = random.Random(7 + block + superblock)
+    p = Params(chunk_block=block, chunk_superblock=superblock)
     files = {f"f{i}": random_file(rng) for i in range(60)}
     rows = [(f, o, t) for f, els in files.items() for o, t in els]
     df = spark.createDataFrame(rows, "file string, ord long, text string")

@@ -29,10 +29,14 @@ def test_manifest_roundtrip_and_versions(spark):
     res, subjects, totals = discovery.build_manifest(pages)
     base = tempfile.mkdtemp(prefix="lectern-manifest-")
     manifest.write_manifest(subjects, totals, base + "/m", "2026-01-01T00:00:00")
-    m = manifest.read_manifest(spark, base + "/m")
-    assert m.count() == 1
-    flat = manifest.manifest_resources(m)
+    t, subj = manifest.read_manifest(spark, base + "/m")
+    tr = t.first()
+    assert t.count() == 1 and tr["scraped_at"] == "2026-01-01T00:00:00"
+    assert tr["total_resources"] == res.count() and subj.count() == pages.count()
+    flat = manifest.manifest_resources(subj)
     assert flat.count() == res.count()
+    got = [r["drive_id"] for r in flat.orderBy("ord").collect()]
+    assert got == [r["drive_id"] for r in res.orderBy("ord").collect()]   # manifest order kept
     assert manifest.read_manifest(spark, base + "/missing") is None
     v1 = store.write_version(flat, base + "/store")
     v2 = store.rebuild(flat.limit(3), base + "/store")
