@@ -1,8 +1,8 @@
 """Benchmark: run the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is executed in full through the ``noop`` sink (no collect), once
-warm-up excluded per query family is not attempted: numbers are cold,
-end-to-end wall seconds. Prints one JSON line.
+Each query is executed once, in full, through the ``noop`` sink (no collect to
+the driver). There is no warm-up run: numbers are cold end-to-end wall seconds
+per query in one session. Prints one JSON line.
 """
 
 from __future__ import annotations

@@ -197,6 +197,7 @@ def _replay(p: Params):
 
 
 def assign_chunks(slides: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """W1 fold only: ``(file, ord, n)`` -> per-element chunk numbers (see ``_assign``)."""
     return _assign(slides, params)[0]
 
 
