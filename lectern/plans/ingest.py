@@ -12,12 +12,14 @@ STORE_META = ["semester", "subject", "unit_number", "unit_name", "slide_number",
               "source_url", "source_type"]
 
 
-def file_chunks(elements: DataFrame, resources: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
-    """Tag ``elements(path, element_no, text)`` (P1-P7, J1) and chunk per file."""
-    tagged = enrich.enrich(elements, resources)
+def file_chunks(files: DataFrame, resources: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Tag ``files(path, text)`` once per file (P1-P3, J1), cut them into
+    elements (S4, P4-P7) and chunk per file (W1)."""
+    tagged = enrich.explode_elements(enrich.enrich_files(files, resources), F.col("text"))
     meta = ["semester", "subject", "unit_number", "source_filename", "source_url"]
     ch = chunking.chunk_elements(tagged.select(F.col("path").alias("file"), F.col("element_no").alias("ord"),
-                                               "text", *meta), meta_cols=meta, params=params)
+                                               F.col("element_text").alias("text"), *meta),
+                                 meta_cols=meta, params=params)
     return ch.select(
         F.concat_ws("_", F.col("file"), F.col("slide_number").cast("string"), F.col("chunk_no").cast("string"),
                     F.coalesce(F.col("chunk_part"), F.lit(0)).cast("string")).alias("chunk_id"),  # P23
@@ -36,10 +38,11 @@ def kb_chunks(kb_table: DataFrame, institution: str = kb.DEFAULT_INSTITUTION) ->
         F.col("source_type"))
 
 
-def ingest(elements: DataFrame, kb_table: DataFrame | None = None, resources: DataFrame | None = None,
+def ingest(files: DataFrame, kb_table: DataFrame | None = None, resources: DataFrame | None = None,
            params: Params = DEFAULT) -> DataFrame:
-    """U1 (KB) + chunked files, embedded with the default hashed embedder."""
-    rows = file_chunks(elements, resources, params)
+    """KB documents U chunked files (``files(path, text)``), embedded with the
+    default hashed embedder (U2)."""
+    rows = file_chunks(files, resources, params)
     if kb_table is not None:
         rows = kb_chunks(kb_table).unionByName(rows, allowMissingColumns=True)  # U-union 1
     return embed.hashed_embedding(rows, ["chunk_id"], "content", params.embed_dim)
