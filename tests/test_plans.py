@@ -48,3 +48,17 @@ def test_metadata_filter_prunes_partitions_and_pushes_down(spark):
     # no filter at all when neither applies (F1: semester 0, blank subject)
     p0 = plan(s.where(metadata_predicate(semester=0, subject="  ")))
     assert "PushedFilters: []" in p0
+
+
+def test_every_query_reads_the_given_tables_and_returns_scalars(spark):
+    import __spark_entry__ as entry
+    from pyspark.sql import types as T
+    for name, fn in entry.queries().items():
+        if name.startswith("stream_"):
+            continue  # streaming jobs run eagerly and are checked in test_cache_stream
+        df = fn(spark, SF_SMALL)
+        p = df._jdf.queryExecution().optimizedPlan().toString() + plan(df)
+        # either a scan of the given tables, or the checkpoint that cut their lineage
+        assert "sf0.001" in p or "Scan ExistingRDD" in p, name
+        for f in df.schema.fields:
+            assert not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)), (name, f.name)
