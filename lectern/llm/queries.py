@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_count, chat, langid, quality, sharding, topk
+from lectern.llm import bpe_count, chat, langid, minhash, quality, sharding, topk
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,10 @@ def op6(spark, sf_dir):
     return bpe_count.count_tokens(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7(spark, sf_dir):
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), n_words=4, percent=80)
+
+
 def op10(spark, sf_dir):
     return topk.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op4_language_id": op4,
     "op5_quality_rules": op5,
     "op6_token_counts": op6,
+    "op7_minhash_dedup": op7,
     "op8_chat_format": chat.op8,
     "op10_va_top_k": op10,
 }
