@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_count, chat, langid, minhash, quality, sharding, topk
+from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, sharding, topk
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -37,6 +37,7 @@ QUERIES = {
     "op6_token_counts": op6,
     "op7_minhash_dedup": op7,
     "op8_chat_format": chat.op8,
+    "op9_soft_mixing": mixing.op9,
     "op10_va_top_k": op10,
 }
 
