@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, sharding, topk
+from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, sentencepiece_fst, sharding, topk
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op3(spark, sf_dir):
+    return sentencepiece_fst.token_digest(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op4(spark, sf_dir):
     return langid.identify(load(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10(spark, sf_dir):
 
 QUERIES = {
     "op1_jump_shards": sharding.op1,
+    "op3_sentencepiece": op3,
     "op4_language_id": op4,
     "op5_quality_rules": op5,
     "op6_token_counts": op6,
