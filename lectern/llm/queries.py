@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, sentencepiece_fst, sharding, topk
+from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, repeats, sentencepiece_fst, sharding, topk
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +36,7 @@ def op10(spark, sf_dir):
 
 QUERIES = {
     "op1_jump_shards": sharding.op1,
+    "op2_suffix_dedup": repeats.op2,
     "op3_sentencepiece": op3,
     "op4_language_id": op4,
     "op5_quality_rules": op5,
