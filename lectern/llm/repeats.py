@@ -4,7 +4,7 @@ A byte goes if a string of ``depth`` bytes that covers it also starts at another
 corpus, the same document included. Equal strings have the same smallest hash of their K-byte
 substrings, so all places of a string meet under that fingerprint: maximal runs of places with
 one fingerprint are the units, and only runs whose fingerprint occurs again go on (a lossless
-routing, which cuts nothing that could match). Equal runs are one text with a weight. The texts of a
+routing, which cuts nothing that could match), or whose text repeats itself. Equal runs are one text with a weight. The texts of a
 fingerprint go to one shard, whose suffix order and common prefixes (``induced_sort``) tell which
 places repeat. Intervals then return to their documents by key.
 
@@ -45,9 +45,20 @@ def _minimum_filter(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - step)], x[width - step:])
 
 
+def _periodic(x: np.ndarray, span: int) -> np.ndarray:
+    """Places where a hash comes again within ``span - 1`` places, looked up at every 128th place. Two equal
+    strings that start fewer than ``span`` places apart make more than 128 consecutive such places."""
+    if len(x) < 2:
+        return np.zeros(0, np.int64)
+    ahead = np.lib.stride_tricks.sliding_window_view(np.append(x[1:], np.zeros(span - 1, np.uint64)), span - 1)
+    hit = [np.flatnonzero((ahead[a:a + (1 << 19):128] == x[a:a + (1 << 19):128, None]).any(axis=1)) * 128 + a
+           for a in range(0, len(x), 1 << 19)]
+    return np.concatenate(hit)
+
+
 def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray | None = None):
-    """(fingerprint, content hash, first place, end of text) of the runs of a text's places; the places of a
-    run are [first, end - depth]. Texts are read in pieces that overlap by depth - 1 bytes."""
+    """(fingerprint, content hash, first place, end of text, own) of the runs of a text's places; the places of a
+    run are [first, end - depth], and ``own`` is false only if no two of them start equal strings. Texts are read in pieces that overlap by depth - 1 bytes."""
     out = []
     n = len(buf)
     for at in range(0, max(n - depth + 1, 0), PIECE):
@@ -55,7 +66,9 @@ def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray
         pw, inv = words._powers(len(b) + 1)
         pre = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(words._BYTE[b] * pw[:len(b)], out=pre[1:])
-        low = _minimum_filter(words.mix((pre[gram:] - pre[:-gram]) * inv[:len(b) - gram + 1]), depth - gram + 1)
+        x = words.mix((pre[gram:] - pre[:-gram]) * inv[:len(b) - gram + 1])
+        width = depth - gram + 1
+        low = _minimum_filter(x, width)
         cut = np.flatnonzero(low[1:] != low[:-1]) + 1
         first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(low)]])
         if (end - first).max() > RUN:
@@ -63,6 +76,11 @@ def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray
             first = np.concatenate(parts)
             end = np.append(first[1:], len(low))
         fp = low[first]
+        own = end - first >= width
+        near = _periodic(x, width)
+        if len(near):
+            at_or_after = near[np.minimum(np.searchsorted(near, first), len(near) - 1)]
+            own |= (at_or_after >= first) & (at_or_after < end - 1 + depth)
         if hot is not None and len(hot):
             is_hot = np.isin(fp, hot)
             if is_hot.any():
@@ -70,12 +88,13 @@ def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray
                 single = np.repeat(is_hot, size)
                 step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 first, end, fp = np.repeat(first, size) + step, np.repeat(end, size), np.repeat(fp, size)
+                own = np.repeat(own, size) & ~single
                 end[single] = first[single] + 1
                 whole = words.mix((pre[first[single] + depth] - pre[first[single]]) * inv[first[single]])
                 fp[single] = words.mix(fp[single] ^ whole)
         stop = end - 1 + depth
         ctx = words.mix((pre[stop] - pre[first]) * inv[first] + (stop - first).astype(np.uint64))
-        out.append((fp.view(np.int64), ctx.view(np.int64), first + at, stop + at))
+        out.append((fp.view(np.int64), ctx.view(np.int64), first + at, stop + at, own))
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
@@ -86,10 +105,10 @@ def key_columns(id_col: str, text_col: str) -> list[Column]:
 
 
 def place_runs(docs: DataFrame, depth: int, gram: int, hot: np.ndarray | None) -> DataFrame:
-    """(fp, ctx, did, th, first, stop) of every run of every text."""
+    """(fp, ctx, first, stop, own, did, th) of every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "ctx", "first", "stop", "did", "th"]
+        names = ["fp", "ctx", "first", "stop", "own", "did", "th"]
 
         def block(held: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
@@ -110,7 +129,7 @@ def place_runs(docs: DataFrame, depth: int, gram: int, hot: np.ndarray | None) -
                 yield block(held)
 
     return (docs.select("text", "did", "th").where(F.octet_length("text") >= depth)
-            .mapInArrow(run, "fp long, ctx long, first long, stop long, did long, th long"))
+            .mapInArrow(run, "fp long, ctx long, first long, stop long, own boolean, did long, th long"))
 
 
 def _sort_shard(depth: int):
@@ -153,8 +172,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot_pl
     if len(hot):
         placed = written(place_runs(docs, depth, gram, hot.view(np.uint64)), "runs")
     # texts of fingerprints that occur again, with their weight
-    again = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")) \
-                  .where("n > 1").select("fp", (F.col("c0") < F.col("c1")).alias("several"))
+    again = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"),
+                                     F.max("own").alias("own")) \
+                  .where("n > 1 OR own").select("fp", (F.col("own") | (F.col("c0") < F.col("c1"))).alias("several"))
     busy = written(placed.join(again, "fp"), "places")
     texts = busy.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"),
                                           F.min(F.struct("did", "th", "first", "stop")).alias("at"))
