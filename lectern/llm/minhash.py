@@ -147,8 +147,29 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     and blank texts have size 0, no links and themselves as component. Equal texts, repeated rows and
     equal sets share a component. Other columns are not read; an empty table gives an empty result.
     """
+    return _grouped(docs, n_words, percent, id_col, text_col).drop("th")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each near-duplicate group, with its own columns: that of the smallest id, and of
+    its texts (if the id repeats) the one with the smallest hash. Rows without words stay, once an id."""
+    best = (_grouped(docs, n_words, percent, id_col, text_col).where("kept")
+            .groupBy("doc_id").agg(F.min("th").alias("th")).toDF("__i", "__h"))
+    rows = docs.select(F.col(id_col).alias("__id"), text_hash(F.col(text_col)).alias("__th"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    one = rows.join(best, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")))
+    return one.dropDuplicates(["__id", "__th"]).select("__row.*")
+
+
+def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    t = written(docs.select("doc_id", signatures(F.col("text"), n_words).alias("s")).select("doc_id", "s.*"), "sigs")
+    t = written(docs.select("doc_id", text_hash(F.col("text")).alias("th"),
+                            signatures(F.col("text"), n_words).alias("s")).select("doc_id", "th", "s.*"), "sigs")
     nodes = written(t.where("n > 0").groupBy("digest")
                     .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("a").alias("a"),
                          F.first("b").alias("b"), F.first("sig").alias("sig")), "sets")
@@ -165,10 +186,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
                      .select("digest", "first", F.coalesce("label", "node").alias("label"))
         low = named.groupBy("label").agg(F.min("first").alias("component_id"))
         comp = written(named.join(low, "label").select("digest", "component_id"), "component")
-    some = t.where("n > 0").select("doc_id", "n", "digest").join(comp, "digest") \
-            .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = t.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", "n_shingles", "component_id",
+    some = t.where("n > 0").select("doc_id", "th", "n", "digest").join(comp, "digest") \
+            .select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
+    none = t.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.union(none).select("doc_id", "th", "n_shingles", "component_id",
                                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

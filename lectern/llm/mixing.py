@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import discard, load, written
 
-WORDS = r"[\x20\x09-\x0D]+"
+WORDS = r"[^\p{L}\p{N}]+"      # what stands between words (tokens)
 BITS = 18                      # hash buckets of words: 2**BITS
 TRAIN_ROWS = 20_000            # bound of the labelled sample the classifier is fitted on
 MAX_DOMAINS = 64               # bound of the model's width
@@ -26,7 +26,7 @@ DEVIATION = 5.0                # standard deviations a bucket's domain count mus
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text (null: none); the empty string stands where the text begins or ends in a separator."""
+    """Runs of letters and digits of a text (null: none); the empty string stands where the text begins or ends in a separator."""
     return F.split(F.coalesce(text, F.lit("")), WORDS)
 
 
