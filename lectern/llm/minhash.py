@@ -6,9 +6,12 @@ So SIDE**2 tables cost 4 * SIDE minhashes. A pair at similarity 0.8 misses all
 tables with probability 2 * (1 - 0.64)**10, about 7e-5.
 
 Candidates are confirmed on full shingle sets. Equal sets are one node from the
-start; in each bucket nodes are first compared with one pivot (linear work) and
-merged, and only then are the pairs left between different components of a bucket
-compared, behind exact size and signature filters. No partner is capped.
+start. In each bucket nodes are first compared with one pivot (linear work) and
+merged. For buckets that still hold several components, each node's shingles that
+occur in any other open component are counted: they bound every intersection across
+components, which settles most nodes exactly without a comparison. The rest meet the
+pivot with the best bound, and only the pairs then left between different
+components are compared one by one. No partner is capped.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from lectern.llm.components import connected_components
 SIDE = 10                 # sub-hashes a collection; SIDE**2 tables
 HASHES = 4 * SIDE         # minhashes a set
 AGREE = 18                # of HASHES; a pair at 0.8 agrees in fewer with probability below 1e-5
-STAR_ROUNDS = 2
 _rng = np.random.Generator(np.random.PCG64(977))
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,8 +121,9 @@ def may_link(n1: str, s1: str, n2: str, s2: str, percent: int) -> Column:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node) of the tensored tables that hold at least two nodes. Sub-hashes that only one node has
-    are dropped before pairs are formed: a table key is shared only if both of its halves are."""
+    """(x, y, node) of the tensored tables that hold at least two nodes, keyed by the pair (x, y) of sub-hashes.
+    Sub-hashes that only one node has are dropped before pairs are formed: a table key is shared only if
+    both of its halves are."""
     subs = nodes.select("node", F.explode(F.concat(
         F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("h"))),
         F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("h"))))).alias("s")).select("node", "s.*")
@@ -128,12 +131,10 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     halves = (subs.join(shared, ["side", "h"]).groupBy("node")
               .agg(F.collect_set(F.when(F.col("side") == 0, F.col("h"))).alias("a"),
                    F.collect_set(F.when(F.col("side") == 1, F.col("h"))).alias("b")))
-    keys = halves.select("node", F.explode("a").alias("x"), "b") \
-                 .select("node", "x", F.explode("b").alias("y")) \
-                 .select(F.xxhash64("x", "y").alias("key"), "node")
-    keys = written(keys, "keys")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    out = written(keys.join(many, "key", "left_semi"), "buckets")
+    keys = written(halves.select("node", F.explode("a").alias("x"), "b")
+                   .select("node", "x", F.explode("b").alias("y")), "keys")
+    many = keys.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "y")
+    out = written(keys.join(many, ["x", "y"], "left_semi"), "buckets")
     discard(keys)
     return out
 
@@ -176,8 +177,7 @@ def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
     buckets = _buckets(nodes)
-    info = nodes.select("node", "n", "sig")
-    links = _confirmed(docs, nodes, info, buckets, n_words, percent)
+    links = _confirmed(docs, nodes, buckets, n_words, percent)
     if links is None:
         comp = nodes.select("digest", F.col("first").alias("component_id"))
     else:
@@ -193,9 +193,8 @@ def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
                                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _confirmed(docs, nodes, info, buckets, n_words, percent) -> DataFrame | None:
+def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     """The confirmed links (a, b) that connect all components; None if no table holds two nodes."""
-    spark = docs.sparkSession
     if buckets.limit(1).count() == 0:
         return None
     # full sets of the nodes that share a bucket, from one text of each node
@@ -203,6 +202,7 @@ def _confirmed(docs, nodes, info, buckets, n_words, percent) -> DataFrame | None
     texts = docs.join(busy, docs["doc_id"].eqNullSafe(busy["first"])).drop("doc_id", "first")
     raw = texts.select("node", "digest", shingle_sets(F.col("text"), n_words).alias("set"))
     sets = written(_own_set(raw), "shingle-sets")
+    info = nodes.select("node", "n", "sig", "a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -210,36 +210,70 @@ def _confirmed(docs, nodes, info, buckets, n_words, percent) -> DataFrame | None
         got = pairs.join(x, "a").join(y, "b").select("a", "b", similar(F.col("sa"), F.col("sb"), percent).alias("ok"))
         return written(got.where("ok").select("a", "b"), "confirmed")
 
-    links: DataFrame | None = None
-    for r in range(STAR_ROUNDS + 1):
-        if links is None:
-            at = buckets.join(info, "node").withColumn("comp", F.col("node"))
-        else:
-            labels = connected_components(links)
-            at = (buckets.join(info, "node").join(labels, "node", "left")
-                  .withColumn("comp", F.coalesce("label", "node")).drop("label"))
-        at = at.select("key", "node", "comp", "n", "sig")
-        if r < STAR_ROUNDS:
-            # one pivot a bucket: linear in its size, and the smallest suitable pivot for each node
-            order = F.col("node") if r == 0 else F.xxhash64("node", F.lit(r))
-            pivot = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n", "sig")).alias("p"),
-                                          F.min("comp").alias("c0"), F.max("comp").alias("c1")) \
-                      .where("c0 < c1").select("key", "p.node", "p.comp", "p.n", "p.sig") \
-                      .toDF("key", "node2", "comp2", "n2", "sig2")
-            cand = at.join(pivot, "key").where((F.col("comp") != F.col("comp2")) & may_link("n", "sig", "n2", "sig2", percent))
-            pairs = cand.groupBy(F.col("node").alias("a")).agg(F.min("node2").alias("b"))
-        else:
-            # what is left: pairs of one bucket between different components
-            open_keys = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")) \
-                          .where("c0 < c1").select("key")
-            left = written(at.join(open_keys, "key", "left_semi"), "open")
-            other = left.toDF("key", "node2", "comp2", "n2", "sig2")
-            pairs = left.join(other, "key").where((F.col("comp") < F.col("comp2"))
-                                                  & may_link("n", "sig", "n2", "sig2", percent)) \
-                        .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        new = verify(pairs)
-        links = new if links is None else written(links.union(new), "links")
-    return links
+    # 1: one pivot a bucket, the smallest node
+    first = buckets.join(info.drop("a", "b"), "node").withColumn("comp", F.col("node"))
+    links = verify(_with_pivots(first, F.col("node"), percent))
+    # 2: what buckets of several components can still link at all, with the pivot of the best bound
+    rows = _open(buckets, _component_of(nodes, links))
+    bound = written(_cross_bound(rows, sets).join(info, "node")
+                    .where(100 * F.col("c") >= percent * F.col("n")), "bounds")
+    rows = rows.join(bound, "node")
+    links = written(links.union(verify(_with_pivots(rows, -F.col("c") / F.col("n"), percent))), "links")
+    # 3: the pairs left between different components of a bucket, each in the first table they share
+    rows = _open(buckets.join(bound.select("node"), "node", "left_semi"), _component_of(nodes, links))
+    left = written(rows.join(bound, "node"), "left")
+    other = left.toDF(*[f"{c}2" for c in left.columns])
+    reach = (100 + percent) * F.least("c", "c2") >= percent * (F.col("n") + F.col("n2"))
+    once = (F.array_min(F.array_intersect("a", "a2")) == F.col("x")) & (F.array_min(F.array_intersect("b", "b2")) == F.col("y"))
+    pairs = left.join(other, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("comp") < F.col("comp2")) & reach
+                      & may_link("n", "sig", "n2", "sig2", percent) & once)
+    return links.union(verify(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()))
+
+
+def _component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return connected_components(links).select("node", F.col("label").alias("comp"))
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, y, node, comp) of the buckets that hold several components."""
+    at = written(buckets.join(labels, "node", "left").select("x", "y", "node", F.coalesce("comp", "node").alias("comp")), "at")
+    several = at.groupBy("x", "y").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("x", "y")
+    return written(at.join(several, ["x", "y"], "left_semi"), "open")
+
+
+def _with_pivots(rows: DataFrame, order: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of each node with a suitable pivot of another component: the first row of a bucket in
+    ``order`` is its pivot, and of a node's pivots the first one."""
+    pivot = (rows.groupBy("x", "y").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n", "sig")).alias("p"))
+             .select("x", "y", "p.*").toDF("x", "y", "o", "node2", "comp2", "n2", "sig2"))
+    pairs = rows.join(pivot, ["x", "y"]).where((F.col("comp") != F.col("comp2")) & may_link("n", "sig", "n2", "sig2", percent))
+    return (pairs.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("o", "node2")).alias("m"))
+            .select("a", F.col("m.node2").alias("b")))
+
+
+def _cross_bound(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, c): how many of a node's shingles occur in another component among ``rows``. No intersection with
+    a node of another component is larger."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, comps = b.column(1).to_numpy(), b.column(2).to_numpy()
+            held, size = [], 0
+            for i, raw in enumerate(iter_bytes(b.column(0))):
+                held.append(np.frombuffer(raw, np.int64))
+                size += len(held[-1])
+                if size > 500_000 or i == b.num_rows - 1:
+                    count = [len(h) for h in held]
+                    at = slice(i + 1 - len(held), i + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(held)), pa.array(np.repeat(nodes[at], count)),
+                         pa.array(np.repeat(comps[at], count))], names=["token", "node", "comp"])
+                    held, size = [], 0
+
+    tokens = (rows.select("node", "comp").distinct().join(sets, "node").select("set", "node", "comp")
+              .mapInArrow(spread, "token long, node long, comp long"))
+    cross = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
+    return tokens.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _own_set(raw: DataFrame) -> DataFrame:
