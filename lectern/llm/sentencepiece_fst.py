@@ -68,7 +68,7 @@ def _fields(buf: bytes):
 class Transducer:
     """Compiled from the bytes of a SentencePiece model file (identity normalisation rules)."""
 
-    CACHE = 300_000
+    CACHE = 500_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[str] = []
@@ -179,31 +179,54 @@ class Transducer:
             yield at + 1, s[at]                      # byte fallback, or the unknown piece
 
     def _path_bpe(self, s: str) -> list[str]:
+        """Depth first, longest arcs first. A position reached at cost 0 has its only finite prefix behind it, so
+        a position that leads nowhere is never entered again, and the first path to the end is the shortest."""
         n, trie, agree = len(s), self.trie, self.agree
-        back: list[str | None] = [None] * (n + 1)      # the last piece of the one finite path
-        back[0] = ""
         if len(agree) >= self.CACHE:
             agree.clear()
-        for at in range(n):
-            left = back[at]
-            if left is None:
-                continue
-            if s[at] not in trie or "" not in trie[s[at]]:
-                back[at + 1] = s[at]                   # byte fallback, or the unknown piece
-            head, node, end = left + "\t", trie, at
-            while end < n:
-                node = node.get(s[end])
-                if node is None:
-                    break
-                end += 1
-                if "" in node and back[end] is None:
-                    key = head + s[at:end]
+        seen = bytearray(n + 1)
+        path: list[str] = []
+        ahead: list[list[str]] = []                    # arcs not tried yet, shortest first
+        at, left = 0, ""
+        while at < n:
+            if not seen[at]:
+                seen[at] = 1
+                arcs, node, end = [], trie, at
+                while end < n:
+                    node = node.get(s[end])
+                    if node is None:
+                        break
+                    end += 1
+                    if "" in node:
+                        arcs.append(s[at:end])
+                if not arcs or len(arcs[0]) > 1:
+                    arcs.insert(0, s[at])              # byte fallback, or the unknown piece
+            else:
+                arcs = []
+            while True:
+                step = None
+                while arcs:
+                    piece = arcs.pop()
+                    if seen[at + len(piece)]:
+                        continue
+                    key = left + "\t" + piece
                     ok = agree.get(key)
                     if ok is None:
-                        ok = agree[key] = self.agrees(left, s[at:end])
+                        ok = agree[key] = self.agrees(left, piece)
                     if ok:
-                        back[end] = s[at:end]
-        return self._trace(s, back)
+                        step = piece
+                        break
+                if step is not None:
+                    ahead.append(arcs)
+                    path.append(step)
+                    at += len(step)
+                    left = step
+                    break
+                piece = path.pop()                     # back to the state before
+                at -= len(piece)
+                left = path[-1] if path else ""
+                arcs = ahead.pop()
+        return path
 
     def _path_unigram(self, s: str) -> list[str]:
         cost = [float("inf")] * (len(s) + 1)
