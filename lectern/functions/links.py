@@ -50,15 +50,21 @@ def is_viewer_link(href: Column) -> Column:
     return cond
 
 
+def _form_decode(c: Column) -> Column:
+    """Query decoding: ``+`` is a blank; a percent sign without two hex digits stays, the rest is decoded."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _unquote(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), c)
+    """Percent decoding only: ``+`` stays."""
+    return _form_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def viewer_target(href: Column) -> Column:
     """The ``url`` query parameter of a viewer link, decoded (query decoding,
     then one more percent-decoding pass as the original does); NULL if absent."""
     raw = F.regexp_extract(href, r"[?&]url=([^&#]*)", 1)
-    return F.when(raw != "", _unquote(_unquote(raw)))
+    return F.when(raw != "", _unquote(_form_decode(raw)))
 
 
 def absolutize(href: Column, base_url: str) -> Column:

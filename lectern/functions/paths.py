@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import basename, subject_display
+from lectern.functions.text import basename, strip, subject_display
 
+# What names a semester in a path part.
 _SEM = r"(?i)semester[_\s-]*(\d+)"
 _BARE = r"^\d+$"
 
 
+def _number(digits: Column) -> Column:
+    """INT of a digit string; NULL (as if the pattern had not matched) beyond the type's range."""
+    return digits.try_cast("int")
+
+
 def _is_bare_under_data(parts: Column, part: Column, parent_idx: Column) -> Column:
     """A bare number whose parent (at ``parent_idx``, 0-based) contains 'data'."""
     parent = F.try_element_at(parts, parent_idx + 1)
@@ -30,8 +36,8 @@ def semester_from_path(path: Column) -> Column:
     def sem_at(i):
         part = F.try_element_at(parts, i)
         first = F.array_position(parts, part).cast("int")  # 1-based first equal part
-        return (F.when(part.rlike(_SEM), F.regexp_extract(part, _SEM, 1).cast("int"))
-                .when(_is_bare_under_data(parts, part, first - 2), part.cast("int")))
+        return (F.when(part.rlike(_SEM), _number(F.regexp_extract(part, _SEM, 1)))
+                .when(_is_bare_under_data(parts, part, first - 2), _number(part)))
 
     found = F.filter(F.transform(idx, sem_at), lambda v: v.isNotNull())
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0))
@@ -67,7 +73,7 @@ def unit_from_filename(name: Column) -> Column:
     low = F.lower(name)
     out = F.lit(None).cast("int")
     for pat in reversed(UNIT_FILENAME_PATTERNS):
-        out = F.when(low.rlike(pat), F.regexp_extract(low, pat, 1).cast("int")).otherwise(out)
+        out = F.when(low.rlike(pat), _number(F.regexp_extract(low, pat, 1))).otherwise(out)
     return F.coalesce(out, F.lit(0))
 
 
@@ -84,14 +90,14 @@ def unit_from_content(text: Column) -> Column:
     A roman capture outside the table (e.g. 'iiii') falls through to the next
     pattern, like the original's failed int() conversion.
     """
-    low = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    low = F.lower(strip(text))
     roman_map = F.create_map(*[x for k, v in ROMAN.items() for x in (F.lit(k), F.lit(v))])
     arabic = F.when(low.rlike(UNIT_CONTENT_ARABIC),
-                    F.regexp_extract(low, UNIT_CONTENT_ARABIC, 1).cast("int"))
+                    _number(F.regexp_extract(low, UNIT_CONTENT_ARABIC, 1)))
     roman = F.when(low.rlike(UNIT_CONTENT_ROMAN),
                    F.try_element_at(roman_map, F.regexp_extract(low, UNIT_CONTENT_ROMAN, 1)))
     module = F.when(low.rlike(UNIT_CONTENT_MODULE),
-                    F.regexp_extract(low, UNIT_CONTENT_MODULE, 1).cast("int"))
+                    _number(F.regexp_extract(low, UNIT_CONTENT_MODULE, 1)))
     return F.coalesce(arabic, roman, module, F.lit(0))
 
 

@@ -1,7 +1,7 @@
 """Scalar text functions: strip, word tokens, names, citations, hashes.
 
-The default tokenizer is whitespace words (``\\S+``); a caller may pass any
-``Column -> Column<array<string>>`` instead (hook U1).
+The default tokenizer is whitespace words (Unicode white space); a caller may pass
+any ``Column -> Column<array<string>>`` instead (hook U1).
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 Tokenizer = Callable[[Column], Column]
 
-# Python's str.strip() analogue over the regex class \s (ASCII whitespace;
-# plain trim() strips only ' ').
-WS = " \t\n\x0b\f\r"
+# Unicode white space (with the four ASCII separators), as characters and as a regex class.
+WS = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+      "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+WS_CLASS = r"\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -24,19 +25,19 @@ def strip(c: Column) -> Column:
 
 def non_blank(c: Column) -> Column:
     """the text has at least one token."""
-    return c.rlike(r"\S")
+    return c.rlike(f"[^{WS_CLASS}]")
 
 
 def words(c: Column) -> Column:
-    """Default tokenizer: maximal runs of non-whitespace."""
-    return F.regexp_extract_all(c, F.lit(r"\S+"), 0)
+    """Default tokenizer: maximal runs without white space."""
+    return F.regexp_extract_all(c, F.lit(f"[^{WS_CLASS}]+"), 0)
 
 
 def token_count(c: Column, tokenizer: Tokenizer = words) -> Column:
     """Number of tokens of a text (no token array for the default tokenizer)."""
     if tokenizer is words:
         s = strip(c)
-        return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"\s+"))).cast("long")
+        return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"[{WS_CLASS}]+"))).cast("long")
     return F.size(tokenizer(c)).cast("long")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.text import WS_CLASS
 from lectern.params import DEFAULT, Params
 
 
@@ -33,13 +34,13 @@ def hash_bucket(token, dim: int):
 
 def hashed_counts(df: DataFrame, id_cols: list[str], text_col: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
     """Sparse form: ``(*ids, bucket, count)`` for every non-empty bucket."""
-    toks = df.select(*id_cols, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\S+"), 0)).alias("tok"))
+    toks = df.select(*id_cols, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"[^{WS_CLASS}]+"), 0)).alias("tok"))
     return toks.groupBy(*id_cols, hash_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def bucket_array(text, dim: int = DEFAULT.embed_dim):
     """Bucket ids of a text's lower-cased words."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), 0), lambda t: hash_bucket(t, dim))
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"[^{WS_CLASS}]+"), 0), lambda t: hash_bucket(t, dim))
 
 
 def _bincount_udf(dim: int):

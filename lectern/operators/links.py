@@ -144,7 +144,7 @@ def download_plan(resources: DataFrame) -> DataFrame:
 
 def manifest_order(res: DataFrame) -> DataFrame:
     """Resource order of the manifest: subjects in page order, resources in discovery order."""
-    return res.withColumn("ord", F.col("page_id") * 100000 + F.col("strategy") * 10000 + F.col("pos"))
+    return res.withColumn("ord", F.struct("page_id", "strategy", "pos"))
 
 
 def manifest_totals(pages: DataFrame, res: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def file_chunks(files: DataFrame, resources: DataFrame | None = None, params: Pa
         *meta, "slide_number", F.lit("").alias("unit_name"), F.lit("file").alias("source_type"))
 
 
-def kb_chunks(kb_table: DataFrame, institution: str = kb.DEFAULT_INSTITUTION) -> DataFrame:
-    d = kb.flatten_kb(kb_table, institution)
+def kb_chunks(kb_table: DataFrame, texts: kb.KbTexts = kb.DEFAULT_TEXTS) -> DataFrame:
+    d = kb.flatten_kb(kb_table, texts)
     return d.select(
         F.concat_ws("_", F.col("source_filename"), F.col("unit_name")).alias("chunk_id"),
         F.col("source_filename").alias("path"), "content", F.lit(None).cast("long").alias("n_tokens"),

@@ -339,12 +339,7 @@ def _requests_with_history(spark, d, n=None):
 
 
 def _rewritten(r, candidate=None):
-    """rewrite_query: generic -> template; clear without history -> enhanced;
-    otherwise the model candidate (validated) or the enhanced question."""
-    has_hist = F.size("history") > 0
-    enhanced = DG.with_subject_prefix(F.col("query"), F.col("subject"))
-    fallback = enhanced if candidate is None else DG.validate_rewrite(candidate, F.col("subject"), enhanced)
-    return F.coalesce(DG.rewrite_rule(F.col("query"), F.col("subject"), has_hist), fallback)
+    return DG.rewrite(F.col("query"), F.col("subject"), F.col("history"), candidate)
 
 
 @query("history_last5")
@@ -395,9 +390,11 @@ def q_query_clear(spark, d):
 
 
 def _next_reply(spark, d):
-    m = fx.messages(spark, d)
-    return m.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("candidate"))
+    """The assistant message right after a message, by position."""
+    m = HI.positions(fx.messages(spark, d))
+    reply = m.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("position") - 1).alias("position"), F.col("text").alias("candidate"))
+    return m.select("conv_id", "turn", "position").join(reply, ["conv_id", "position"]).drop("position")
 
 
 @query("rewrite_validate")
@@ -503,7 +500,7 @@ def _rag_requests(spark, d):
     r = _requests_with_history(spark, d)
     r = r.select("conv_id", "turn", "query", "semester", "subject", "history",
                  _rewritten(r).alias("rewritten"),
-                 (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"))
+                 F.concat_ws(":", "conv_id", "turn").alias("query_id"))
     return EM.hashed_embedding(r, ["query_id"], "rewritten")
 
 

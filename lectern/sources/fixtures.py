@@ -103,16 +103,17 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- knowledge base
 def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested KB: per source a subject whose units map lang -> first text (by doc_id)."""
+    """Nested KB over every document: a subject per (source, hundred of doc_id), whose units map
+    ``lang#doc_id`` -> text; a subject holds at most a hundred units however large the table is."""
     d = load(spark, sf_dir, "documents")
+    part = F.floor(F.col("doc_id") / 100)
     num = F.substring("source", 4, 10).cast("int")
-    first = d.groupBy("source", "lang").agg(F.min_by("text", "doc_id").alias("text"))
-    return (first.groupBy("source")
-            .agg(F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("units"))
-            .select(F.concat(F.lit("Course "), F.col("source")).alias("subject"),
-                    (num % 7 + 1).cast("int").alias("semester"),
-                    F.when(num % 3 == 0, F.lit("Python")).alias("language"),
-                    "units"))
+    units = d.groupBy("source", part.alias("part")).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.concat_ws("#", "lang", _s("doc_id")), "text"))).alias("units"))
+    return units.select(F.concat(F.lit("Course "), F.col("source"), F.lit(" part "), F.col("part").cast("string")).alias("subject"),
+                        (num % 7 + 1).cast("int").alias("semester"),
+                        F.when(num % 3 == 0, F.lit("Python")).alias("language"),
+                        "units")
 
 
 # ---------------------------------------------------------------- pages / links
@@ -154,7 +155,12 @@ def subject_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- dialog
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "conversations")
+    """``conversations`` with gaps between the turns of two conversations in three."""
+    return with_gaps(load(spark, sf_dir, "conversations"))
+
+
+def with_gaps(conversations: DataFrame) -> DataFrame:
+    return conversations.withColumn("turn", F.col("turn") * (F.col("conv_id") % 3 + 1))
 
 
 def request_prefix(conv_id, turn):

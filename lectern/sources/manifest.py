@@ -63,7 +63,7 @@ def read_manifest_document(spark: SparkSession, path: str) -> DataFrame | None:
 def manifest_resources(subjects: DataFrame) -> DataFrame:
     """Flatten subject lines to resource rows with their manifest order ``ord``."""
     r = subjects.select("subject_index", F.posexplode("resources").alias("ri", "r"))
-    return r.select((F.col("subject_index") * 1_000_000 + F.col("ri")).alias("ord"), "r.*")
+    return r.select(F.struct("subject_index", "ri").alias("ord"), "r.*")
 
 
 def document_resources(manifest: DataFrame) -> DataFrame:
