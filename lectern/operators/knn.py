@@ -1,19 +1,18 @@
 """Exact k-nearest-neighbour join by cosine similarity.
 
-Scale path: the query side is cut into blocks whose matrix size is checked
-(``Params.knn_query_block`` rows and ``knn_max_block_bytes``); each block is
-broadcast once and the corpus is streamed through ``mapInArrow`` as Arrow
-batches. Each task multiplies its batch by the query block in numpy (float64),
-applies the per-query metadata predicate (F1) and the score floor as masks,
-and keeps only a running top-k per query, so no pair list is ever
-materialised. A final ``row_number() <= k`` per query (``WindowGroupLimit``)
-merges the per-task candidates; a query has at most k rows per corpus
-partition, so this group is bounded whatever the key skew.
+Both sides are packed into blocks of vectors (a binary matrix and its ids) per filter key
+and dimension, and written once to the shared checkpoint folder. A per-query metadata
+filter (F1) is part of the key, so it is applied by the join before any product: a query
+meets only blocks of its own semester and subject. Blocks meet in an equi-join on (key,
+dimension) with the query blocks salted over groups of corpus blocks; each task multiplies
+one pair of blocks in float64 and returns at most k ids a query. A window
+(``WindowGroupLimit``) merges them, and metadata and texts are joined back by id for the
+final rows only. Nothing of either side passes through the driver or is broadcast.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,107 +21,113 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.params import DEFAULT, Params
-
-
-def _matrix(vec: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list<float|double> Arrow column as a float64 matrix; rows that are
-    NULL or not of length ``dim`` become NaN (and so never match). Validation is
-    done here rather than by a Spark filter, so no predicate is pushed into (and
-    re-evaluates) the expression that produced the vectors."""
-    if isinstance(vec, pa.ChunkedArray):
-        vec = vec.combine_chunks()
-    offs = vec.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    lens = np.diff(offs)
-    ok = (lens == dim) & vec.is_valid().to_numpy(zero_copy_only=False)
-    out = np.full((len(vec), dim), np.nan)
-    if ok.any():
-        vals = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        out[ok] = vals[offs[:-1][ok][:, None] + np.arange(dim)]
-    return out
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = m / norms[:, None]
-    out[norms == 0] = np.nan
-    return out
-
-
-def _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str, post_norm):
-    def run(batches):
-        qb = bq.value
-        qm, qids = qb["m"], qb["ids"]
-        qsem, qsubj, subj_codes = qb.get("sem"), qb.get("subj"), qb.get("codes")
-        nq = len(qids)
-        tables = []          # Arrow slices that hold at least one candidate
-        cand = []            # per chunk: (query idx, sim, table idx, row, corpus id)
-        n_cand = 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            raw = _matrix(rb.column("__vec"), dim)
-            if post_norm:
-                cm = raw
-                cn = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-            else:
-                cm = _unit_rows(raw)
-            cid = rb.column("__cid").to_numpy(zero_copy_only=False)
-            if id_is_str:
-                cid = np.asarray(cid, dtype=str)
-            csem = rb.column("__sem").to_numpy(zero_copy_only=False) if has_sem else None
-            if has_subj:
-                ccode = np.array([-2 if s is None else subj_codes.get(s, -2)
-                                  for s in rb.column("__subj").to_pylist()], np.int64)
-            step = max(1, int(8_000_000 // max(nq, 1)))
-            for lo in range(0, rb.num_rows, step):
-                hi = min(rb.num_rows, lo + step)
-                sims = qm @ cm[lo:hi].T
-                if post_norm:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sims = sims / (qb["n"][:, None] * cn[None, lo:hi])
-                    sims[~np.isfinite(sims)] = np.nan
-                ok = ~np.isnan(sims)
-                if min_score is not None:
-                    ok &= sims >= min_score
-                if has_sem:
-                    ok &= (qsem[:, None] <= 0) | (qsem[:, None] == csem[None, lo:hi])
-                if has_subj:
-                    ok &= (qsubj[:, None] == -1) | (qsubj[:, None] == ccode[None, lo:hi])
-                if exclude_self:
-                    ok &= qids[:, None] != cid[None, lo:hi]
-                qi, cj = np.nonzero(ok)
-                if len(qi) == 0:
-                    continue
-                tables.append(rb.slice(lo, hi - lo).select(["__cid"] + carry))
-                cand.append((qi, sims[qi, cj], np.full(len(qi), len(tables) - 1), cj, cid[lo:hi][cj]))
-                n_cand += len(qi)
-                if n_cand > 4 * k * max(nq, 1) + 100_000:   # keep memory bounded
-                    cand = [_reduce(cand, k)]
-                    n_cand = len(cand[0][0])
-        if not cand:
-            return
-        qi, s, t, j, _ = _reduce(cand, k)
-        for tid in np.unique(t):
-            sel = t == tid
-            out = tables[tid].take(pa.array(j[sel]))
-            out = (pa.Table.from_batches([out])
-                   .append_column("__qid", pa.array(qids[qi[sel]]))
-                   .append_column("similarity", pa.array(s[sel], pa.float64())))
-            yield from out.to_batches()
+from lectern.session import materialise
+
+GROUP = 4                # corpus blocks that share one copy of a query block
+
+
+def invalid_vectors(rows: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
+    """Quarantine: the rows whose vector is null, empty, of zero length, or (given ``dim``) of another
+    dimension. They take no part in a join; count or store them beside it."""
+    v = F.col(vec)
+    bad = v.isNull() | (F.size(v) <= 0) | ~F.exists(v, lambda x: x != 0)
+    return rows.where(F.coalesce(bad | (F.size(v) != dim) if dim else bad, F.lit(True)))
+
+
+def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: int) -> DataFrame:
+    """Blocks (key, dim, n, ids, data) of ``rows(key, id, vec)``; null, empty and NaN vectors are left out."""
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("dim", T.IntegerType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
+                           T.StructField("data", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def out(at: tuple) -> pa.RecordBatch:
+            ids, parts, n = held.pop(at)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([n], pa.int32()),
+                 pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
+                 pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=schema.names)
+
+        for b in batches:
+            vec = b.column("vec")
+            flat = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            offs = vec.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            length = np.where(vec.is_valid().to_numpy(zero_copy_only=False), np.diff(offs), 0)
+            keys = np.array(b.column("key").to_pylist(), dtype=object)
+            for dim in np.unique(length[length > 0]).tolist():
+                at = np.flatnonzero(length == dim)
+                m = flat[offs[at][:, None] + np.arange(dim)]
+                fine = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                at, m = at[fine], m[fine]
+                limit = max(1, min(block_rows, block_bytes // (8 * dim)))
+                for key in dict.fromkeys(keys[at].tolist()):
+                    mine = np.flatnonzero(keys[at] == key)
+                    while len(mine):
+                        h = held.setdefault((key, dim), [[], [], 0])
+                        take, mine = mine[:limit - h[2]], mine[limit - h[2]:]
+                        h[0].append(b.column("id").take(pa.array(at[take])))
+                        h[1].append(m[take])
+                        h[2] += len(take)
+                        size += 8 * dim * len(take)
+                        if h[2] >= limit:
+                            size -= 8 * dim * h[2]
+                            yield out((key, dim))
+            if size > 4 * block_bytes:                 # many keys: let all small blocks go
+                for at in list(held):
+                    yield out(at)
+                size = 0
+        for at in list(held):
+            yield out(at)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row, NaN excluded; ties to the smaller id."""
+    s = np.where(np.isnan(sims), -np.inf, sims)
+    if s.shape[1] > k:
+        floor = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
+        qi, cj = np.nonzero((s >= floor) & (s > -np.inf))
+    else:
+        qi, cj = np.nonzero(s > -np.inf)
+    order = np.lexsort((ids[cj], -s[qi, cj], qi))
+    qi, cj = qi[order], cj[order]
+    first = np.searchsorted(qi, qi, side="left")
+    keep = np.arange(len(qi)) - first < k
+    return qi[keep], cj[keep]
+
+
+def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim = b.column("dim")[i].as_py()
+                qids, cids = b.column("qids")[i].values, b.column("ids")[i].values
+                q = np.frombuffer(b.column("qdata")[i].as_py(), np.float64).reshape(-1, dim)
+                c = np.frombuffer(b.column("data")[i].as_py(), np.float64).reshape(-1, dim)
+                qn, cn = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (q, c))
+                if not after:
+                    q, c = q / qn[:, None], c / cn[:, None]
+                qa, ca = (np.asarray(x.to_pylist()) for x in (qids, cids))
+                for lo in range(0, len(q), max(1, 4_000_000 // len(c))):
+                    rows = slice(lo, lo + max(1, 4_000_000 // len(c)))
+                    sims = q[rows] @ c.T
+                    if after:
+                        sims = sims / (qn[rows, None] * cn[None, :])
+                    if min_score is not None:
+                        sims[sims < min_score] = np.nan
+                    if exclude_self:
+                        sims[qa[rows][:, None] == ca[None, :]] = np.nan
+                    qi, cj = _best(sims, ca, k)
+                    if len(qi):
+                        yield pa.RecordBatch.from_arrays(
+                            [qids.take(pa.array(qi + lo)), cids.take(pa.array(cj)), pa.array(sims[qi, cj])], names=names)
     return run
 
 
-def _reduce(cand, k):
-    qi, s, t, j, ids = (np.concatenate([c[i] for c in cand]) for i in range(5))
-    order = np.lexsort((ids, -s, qi))
-    qi, s, t, j, ids = qi[order], s[order], t[order], j[order], ids[order]
-    first = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-    rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
-    keep = rank < k
-    return qi[keep], s[keep], t[keep], j[keep], ids[keep]
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEFAULT, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              corpus_id: str = "chunk_id", corpus_vec: str = "embedding",
@@ -133,96 +138,48 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     """Top-k corpus rows per query by cosine similarity (exact).
 
     ``query_semester``/``query_subject`` name optional per-query filter columns
-    (F1: semester applies when > 0, subject when non-empty, exact match),
+    (F1: semester applies when > 0, subject when non-blank, exact match),
     applied before the top-k. ``min_score`` drops rows below the floor; since
     the top-k of the rows above a floor equals the floor applied to the top-k,
     this is the same as thresholding afterwards (F2), only cheaper.
     ``normalize="rows"`` scales vectors to unit length before the product;
     ``"after"`` divides the raw dot product by both norms (bit-exact for
     integer count vectors, whose dot products are exact in float64).
-    Rows whose vector is NULL or not of the common dimension are ignored.
-    Output: ``query_id, <corpus_id>, similarity (raw double), *carry``.
+    A query meets the vectors of its own dimension; null, empty, zero and non-finite
+    vectors meet none (see ``invalid_vectors``). ``corpus`` is read again for ``carry``.
+    Output: ``query_id, <corpus_id>, similarity (raw double), rank, *carry``.
     """
-    spark = corpus.sparkSession
     carry = [c for c in (carry or []) if c != corpus_id]
-    has_sem = query_semester is not None
-    has_subj = query_subject is not None
-    id_type = corpus.schema[corpus_id].dataType
-    id_is_str = isinstance(id_type, T.StringType)
-
-    qcols = [F.col(query_id).alias("qid"), F.col(query_vec).alias("vec")]
-    if has_sem:
-        qcols.append(F.coalesce(F.col(query_semester).cast("long"), F.lit(0)).alias("sem"))
-    if has_subj:
-        qcols.append(F.col(query_subject).alias("subj"))
-    qdf = queries.select(*qcols)
-
-    cols = [F.col(corpus_id).alias("__cid"), F.col(corpus_vec).alias("__vec")]
-    if has_sem:
-        cols.append(F.coalesce(F.col(corpus_semester).cast("long"), F.lit(0)).alias("__sem"))
-    if has_subj:
-        cols.append(F.col(corpus_subject).alias("__subj"))
-    cols += [F.col(c) for c in carry]
-    post_norm = normalize == "after"
-    cdf = corpus.select(*cols)
-    cschema = cdf.schema
-    out_schema = T.StructType([cschema["__cid"]] + [cschema[c] for c in carry] + [
-        T.StructField("__qid", queries.schema[query_id].dataType, True),
-        T.StructField("similarity", T.DoubleType(), True)])
-
-    # Size check of the query side before anything is broadcast.
-    probe = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    nq, dim = int(probe["n"]), int(probe["d"] or params.embed_dim)
-    rows_per_block = max(1, min(params.knn_query_block, params.knn_max_block_bytes // (8 * dim + 64)))
-    nblocks = max(1, math.ceil(nq / rows_per_block))
-
-    results = []
-    for b in range(nblocks):
-        part = qdf if nblocks == 1 else qdf.where(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == b)
-        tbl = part.toArrow()  # bounded: at most rows_per_block rows (checked above)
-        if tbl.num_rows == 0:
-            continue
-        m = _matrix(tbl.column("vec"), dim)
-        payload = {"m": m if post_norm else _unit_rows(m),
-                   "n": np.sqrt(np.einsum("ij,ij->i", m, m)),
-                   "ids": np.array(tbl.column("qid").to_pylist(), dtype=object)}
-        if all(isinstance(x, int) for x in payload["ids"]):
-            payload["ids"] = payload["ids"].astype(np.int64)
-        if has_sem:
-            payload["sem"] = np.asarray(tbl.column("sem").to_numpy(zero_copy_only=False), np.int64)
-        if has_subj:
-            subj = tbl.column("subj").to_pylist()
-            codes = {}
-            qcode = []
-            for s in subj:
-                if s is None or s.strip() == "":
-                    qcode.append(-1)
-                else:
-                    qcode.append(codes.setdefault(s, len(codes)))
-            payload["subj"] = np.array(qcode, np.int64)
-            payload["codes"] = codes
-        bq = spark.sparkContext.broadcast(payload)
-        results.append(cdf.mapInArrow(
-            _scorer(bq, k, dim, min_score, exclude_self, has_sem, has_subj, carry, id_is_str, post_norm),
-            out_schema))
-
-    if not results:
-        return spark.createDataFrame([], out_schema).select(
-            F.col("__qid").alias("query_id"), F.col("__cid").alias(corpus_id), "similarity", *carry)
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
-    w = Window.partitionBy("__qid").orderBy(F.col("similarity").desc(), F.col("__cid").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(F.col("__qid").alias("query_id"), F.col("__cid").alias(corpus_id),
-                    "similarity", "rank", *carry))
-
-
-def cosine(a, b):
-    """Cosine similarity of two array columns, accumulated in DOUBLE (the
-    SQL-checkable form, for small inputs; the join above is the scale path)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                      F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb))
+    qtype, ctype = queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType
+
+    # the filter key: which filters a query has, and their values
+    sem = F.coalesce(F.col(query_semester).cast("long"), F.lit(0)) if query_semester else F.lit(0)
+    subj = F.coalesce(F.col(query_subject), F.lit("")) if query_subject else F.lit("")
+    has_sem, has_subj = sem > 0, F.trim(subj) != ""
+    key = F.concat_ws("\x1f", F.concat(F.when(has_sem, "m").otherwise(""), F.when(has_subj, "s").otherwise("")),
+                      F.when(has_sem, sem.cast("string")), F.when(has_subj, subj))
+    limits = (params.knn_query_block, params.knn_max_block_bytes)
+    asked = materialise(_pack(queries.select(key.alias("key"), F.col(query_id).alias("id"), F.col(query_vec).alias("vec")),
+                              qtype, *limits), "knn-queries")
+    kinds = {r.k for r in asked.select(F.substring_index("key", "\x1f", 1).alias("k")).distinct().collect()}  # 4 at most
+
+    csem, csubj = F.col(corpus_semester).cast("string"), F.col(corpus_subject)
+    forms = {"": F.lit(""), "m": F.concat_ws("\x1f", F.lit("m"), csem), "s": F.concat_ws("\x1f", F.lit("s"), csubj),
+             "ms": F.concat_ws("\x1f", F.lit("ms"), csem, csubj)}
+    keys = F.array(*[forms[x] for x in sorted(kinds)]) if kinds else F.array(F.lit(""))
+    stored = materialise(_pack(corpus.select(F.explode(keys).alias("key"), F.col(corpus_id).alias("id"),
+                                             F.col(corpus_vec).alias("vec")), ctype, *limits), "knn-corpus")
+    groups = max(1, -(-stored.count() // GROUP))
+    c = stored.select("key", "dim", "ids", "data",
+                      F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("salt"))
+    q = asked.select("key", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"),
+                     F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
+    pairs = c.join(q, ["key", "dim", "salt"]).select("dim", "ids", "data", "qids", "qdata")
+    schema = T.StructType([T.StructField("query_id", qtype), T.StructField(corpus_id, ctype),
+                           T.StructField("similarity", T.DoubleType())])
+    found = pairs.mapInArrow(_scorer(k, min_score, exclude_self, normalize == "after", schema.names), schema)
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if carry:
+        top = top.join(corpus.select(corpus_id, *carry), corpus_id)
+    return top.select("query_id", corpus_id, "similarity", "rank", *carry)

@@ -29,10 +29,9 @@ class Params:
     gap: float = 0.10
     cap: int = 3
     score_digits: int = 4
-    # Exact kNN: most query vectors shipped to executors in one broadcast block
-    # (rows x dim x 8 bytes must stay well under executor memory).
-    knn_query_block: int = 50_000
-    knn_max_block_bytes: int = 256 * 1024 * 1024
+    # Exact kNN: most vectors and bytes of one block of vectors.
+    knn_query_block: int = 4096
+    knn_max_block_bytes: int = 16 * 1024 * 1024
 
     # Embedding.
     embed_batch: int = 32
@@ -45,9 +44,6 @@ class Params:
     history_prompt: int = 5
     history_rewrite: int = 3
 
-    # Largest right side (bytes, estimated by Catalyst) that may be broadcast.
-    broadcast_limit_bytes: int = 64 * 1024 * 1024
-
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

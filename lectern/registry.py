@@ -14,6 +14,7 @@ from lectern.functions import text as T
 from lectern.operators import chunking, retrieval
 from lectern.operators.knn import knn_join
 from lectern.params import DEFAULT, Params
+from lectern.session import materialise
 from lectern.sources import fixtures as fx
 from lectern.sources.tables import load
 
@@ -509,8 +510,9 @@ _STORE_META = ["doc_id", "content", "semester", "subject", "unit_number", "unit_
 
 
 def _rag_hits(spark, d, p: Params = RAG):
-    store = EM.hashed_embedding(_chunk_store(spark, d), ["chunk_id"], "content")
-    req = _rag_requests(spark, d)
+    # both sides are costly to derive and read more than once: chunk vectors, then texts of the hits
+    store = materialise(EM.hashed_embedding(_chunk_store(spark, d), ["chunk_id"], "content"), "chunk-store")
+    req = materialise(_rag_requests(spark, d), "requests")
     hits = knn_join(req, store, p.top_k, p, corpus_id="chunk_id", query_semester="semester",
                     query_subject="subject", min_score=p.threshold, carry=_STORE_META, normalize="after")
     return retrieval.precision_filter(retrieval.threshold(hits, p), p), req
