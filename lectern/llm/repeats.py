@@ -76,7 +76,7 @@ def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray
             first = np.concatenate(parts)
             end = np.append(first[1:], len(low))
         fp = low[first]
-        own = end - first >= width
+        own = end - first > width        # more places than one smallest substring can serve
         near = _periodic(x, width)
         if len(near):
             at_or_after = near[np.minimum(np.searchsorted(near, first), len(near) - 1)]
