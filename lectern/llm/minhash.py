@@ -30,7 +30,9 @@ from lectern.llm.components import connected_components
 
 SIDE = 10                 # sub-hashes a collection; SIDE**2 tables
 HASHES = 4 * SIDE         # minhashes a set
-AGREE = 18                # of HASHES; a pair at 0.8 agrees in fewer with probability below 1e-5
+AGREE = 21                # of HASHES; a pair at 0.8 agrees in fewer with probability 2.2e-5
+PIVOTS = 4                # pivots a node meets in each later round
+BOUND_ROUNDS = 2          # such rounds
 _rng = np.random.Generator(np.random.PCG64(977))
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -212,22 +214,102 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
 
     # 1: one pivot a bucket, the smallest node
     first = buckets.join(info.drop("a", "b"), "node").withColumn("comp", F.col("node"))
-    links = verify(_with_pivots(first, F.col("node"), percent))
-    # 2: what buckets of several components can still link at all, with the pivot of the best bound
-    rows = _open(buckets, _component_of(nodes, links))
-    bound = written(_cross_bound(rows, sets).join(info, "node")
-                    .where(100 * F.col("c") >= percent * F.col("n")), "bounds")
-    rows = rows.join(bound, "node")
-    links = written(links.union(verify(_with_pivots(rows, -F.col("c") / F.col("n"), percent))), "links")
-    # 3: the pairs left between different components of a bucket, each in the first table they share
-    rows = _open(buckets.join(bound.select("node"), "node", "left_semi"), _component_of(nodes, links))
-    left = written(rows.join(bound, "node"), "left")
-    other = left.toDF(*[f"{c}2" for c in left.columns])
-    reach = (100 + percent) * F.least("c", "c2") >= percent * (F.col("n") + F.col("n2"))
-    once = (F.array_min(F.array_intersect("a", "a2")) == F.col("x")) & (F.array_min(F.array_intersect("b", "b2")) == F.col("y"))
-    pairs = left.join(other, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("comp") < F.col("comp2")) & reach
-                      & may_link("n", "sig", "n2", "sig2", percent) & once)
-    return links.union(verify(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()))
+    links = verify(_with_pivots(first, F.col("node"), percent, 1))
+    # 2: what buckets of several components can still link at all, with the pivots of the best bound
+    live = buckets
+    for _ in range(BOUND_ROUNDS):
+        rows = _open(live, _component_of(nodes, links))
+        bound = written(_cross_bound(rows, sets).join(info, "node")
+                        .where(100 * F.col("c") >= percent * F.col("n")), "bounds")
+        rows = rows.join(bound, "node")
+        links = written(links.union(verify(_with_pivots(rows, -F.col("c") / F.col("n"), percent, PIVOTS))), "links")
+        live = written(live.join(bound.select("node"), "node", "left_semi"), "buckets")
+    # 3: the pairs left between different components of a bucket, each in the first table they share; the members
+    # of a bucket's main component meet its other members only
+    # (after its members that are too large for every other member's size have left the bucket)
+    labels = _component_of(nodes, links)
+    rows = _open(live, labels).join(bound.select("node", "n", "c"), "node")
+    least = rows.groupBy("x", "y").agg(F.min("n").alias("n0"))
+    rows = rows.join(least, ["x", "y"]).where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("n0")))
+    rows = _open(rows.select("x", "y", "node"), labels)
+    sizes = rows.groupBy("x", "y", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("x", "y").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    left = rows.join(bound, "node").join(main, ["x", "y"])
+    return links.union(_block_links(left, sets, percent))
+
+
+BLOCK = 1024              # nodes of one side of a bucket compared in one group
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket. ``rows`` has x, y, node, comp, main, n, c, sig, a, b.
+
+    A bucket's nodes outside its main component meet all its nodes, block by block; a pair counts in the
+    first table it shares. A first pass finds the nodes that have a partner by size, bound and signature,
+    so only their sets travel; a second pass compares these sets. Both return nodes or links, never pairs.
+    """
+    sizes = rows.groupBy("x", "y").agg(F.ceil(F.sum((F.col("comp") != F.col("main")).cast("long")) / BLOCK).alias("nl"),
+                                       F.ceil(F.count(F.lit(1)) / BLOCK).alias("nr"))
+    at = rows.join(sizes.where("nl > 0"), ["x", "y"])
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    cols = ["x", "y", "node", "comp", "main", "n", "c", "sig", "a", "b"]
+    left = at.where("comp <> main").select(*cols, F.lit(0).alias("side"), chunk("nl").alias("lc"), spread("nr").alias("rc"))
+    right = at.select(*cols, F.lit(1).alias("side"), spread("nl").alias("lc"), chunk("nr").alias("rc"))
+    both = left.unionByName(right)
+    key = ["x", "y", "lc", "rc"]
+    kinds = ", ".join(f"{n} {t}" for n, t in both.dtypes)
+    part = written(both.groupBy(*key).applyInArrow(lambda t: t.take(pa.array(_partners(t, percent)[2])), kinds), "partners")
+    full = part.join(sets, "node")
+    found = full.groupBy(*key).applyInArrow(lambda t: _links(t, percent), "a long, b long")
+    return written(found.distinct(), "confirmed")
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    col = col.combine_chunks()
+    return col.flatten().to_numpy().reshape(len(col), -1)
+
+
+def _partners(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left row, right row) of the possible pairs of a block, and the rows that are in any."""
+    c = {k: t.column(k).to_numpy() for k in ("side", "node", "comp", "main", "n", "c", "x", "y")}
+    lo, hi = np.flatnonzero(c["side"] == 0), np.flatnonzero(c["side"] == 1)
+    if not len(lo) or not len(hi):
+        return lo[:0], lo[:0], lo[:0]
+    sig = _matrix(t.column("sig")).astype(np.uint32).view(np.uint8).reshape(t.num_rows, -1)
+    a, b = _matrix(t.column("a")), _matrix(t.column("b"))
+    x, y = c["x"][0], c["y"][0]
+    out = []
+    for i in lo.tolist():
+        fit = ((c["comp"][hi] != c["comp"][i]) & ((c["comp"][hi] == c["main"][i]) | (c["comp"][hi] > c["comp"][i]))
+               & (100 * np.minimum(c["n"][hi], c["n"][i]) >= percent * np.maximum(c["n"][hi], c["n"][i]))
+               & ((100 + percent) * np.minimum(c["c"][hi], c["c"][i]) >= percent * (c["n"][hi] + c["n"][i])))
+        j = hi[fit]
+        if not len(j):
+            continue
+        j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
+        # the first shared sub-hash on either side is this table's
+        j = j[(a[i][(a[j] == a[i]).argmax(axis=1)] == x) & (b[i][(b[j] == b[i]).argmax(axis=1)] == y)]
+        out.append(np.stack([np.full(len(j), i), j]))
+    if not out:
+        return lo[:0], lo[:0], lo[:0]
+    p = np.concatenate(out, axis=1)
+    return p[0], p[1], np.unique(p)
+
+
+def _links(t: pa.Table, percent: int) -> pa.Table:
+    """The confirmed pairs of a block, on full sets."""
+    first, second, _ = _partners(t, percent)
+    node = t.column("node").to_numpy()
+    sets = [np.frombuffer(raw, np.uint64) for raw in iter_bytes(t.column("set"))]
+    links = []
+    for i in np.unique(first).tolist():
+        for j in second[first == i].tolist():
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                links.append((node[i], node[j]))
+    p = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
 
 def _component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -241,14 +323,14 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(at.join(several, ["x", "y"], "left_semi"), "open")
 
 
-def _with_pivots(rows: DataFrame, order: Column, percent: int) -> DataFrame:
-    """Pairs (a, b) of each node with a suitable pivot of another component: the first row of a bucket in
-    ``order`` is its pivot, and of a node's pivots the first one."""
+def _with_pivots(rows: DataFrame, order: Column, percent: int, each: int) -> DataFrame:
+    """Pairs (a, b) of each node with suitable pivots of other components: the first row of a bucket in
+    ``order`` is its pivot, and of a node's pivots (one a bucket at most) the first ``each`` count."""
     pivot = (rows.groupBy("x", "y").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n", "sig")).alias("p"))
              .select("x", "y", "p.*").toDF("x", "y", "o", "node2", "comp2", "n2", "sig2"))
     pairs = rows.join(pivot, ["x", "y"]).where((F.col("comp") != F.col("comp2")) & may_link("n", "sig", "n2", "sig2", percent))
-    return (pairs.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("o", "node2")).alias("m"))
-            .select("a", F.col("m.node2").alias("b")))
+    near = pairs.groupBy(F.col("node").alias("a")).agg(F.sort_array(F.collect_set(F.struct("o", "node2"))).alias("m"))
+    return near.select("a", F.explode(F.slice("m", 1, each)).alias("m")).select("a", F.col("m.node2").alias("b"))
 
 
 def _cross_bound(rows: DataFrame, sets: DataFrame) -> DataFrame:
