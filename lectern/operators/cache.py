@@ -68,19 +68,20 @@ def _fold(ttl_us: int):
 def replay(requests: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "ts", rid: str = "event_id") -> DataFrame:
     """``(rid, key, ts)`` -> ``event_id, key, t_us, hit, stored_at_us`` (the
     store that answered a hit, or the row's own time for a miss)."""
-    spark = requests.sparkSession
-    r = requests.select(F.col(rid).cast("long").alias("event_id"), F.col(key).cast("string").alias("key"),
+    r = requests.select(F.col(rid).alias("event_id"), F.col(key).cast("string").alias("key"),
                         F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"))
-    nparts = max(spark.sparkContext.defaultParallelism, 1)  # CPU-bound fold: one slice per core
-    r = r.repartition(nparts, "key").sortWithinPartitions("key", "t_us", "event_id")
+    r = r.repartition("key").sortWithinPartitions("key", "t_us", "event_id")
     return r.mapInArrow(_fold(int(ttl_seconds) * 1_000_000),
-                        "event_id long, key string, t_us long, hit boolean, stored_at_us long")
+                        f"event_id {r.schema['event_id'].dataType.simpleString()}, key string, t_us long, hit boolean, stored_at_us long")
 
 
-def lookup(requests: DataFrame, cache: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Request LEFT JOIN cache ON key AND stored_at <= t < expires_at.
-    F8: an entry without a response value counts as a miss."""
+def lookup(requests: DataFrame, cache: DataFrame, key: str = "key", ts: str = "ts", rid: str = "event_id") -> DataFrame:
+    """Request LEFT JOIN cache ON key AND stored_at <= t < expires_at; of several live entries of a key
+    the one stored last answers. F8: an entry without a response value counts as a miss."""
     c = cache.where(F.col("response").isNotNull()).select(
         F.col("key").alias("_ck"), "stored_at", "expires_at", "response")
     cond = ((F.col(key) == F.col("_ck")) & (F.col(ts) >= F.col("stored_at")) & (F.col(ts) < F.col("expires_at")))
-    return requests.join(c, cond, "left").drop("_ck").withColumn("hit", F.col("expires_at").isNotNull())
+    live = (requests.select(rid, key, ts).join(c, cond).groupBy(rid)
+            .agg(F.max_by(F.struct("stored_at", "expires_at", "response"), F.col("stored_at")).alias("_e")))
+    return (requests.join(live, rid, "left").select(*requests.columns, "_e.stored_at", "_e.expires_at", "_e.response")
+            .withColumn("hit", F.col("expires_at").isNotNull()))

@@ -52,24 +52,6 @@ def explode_elements(files_meta: DataFrame, text) -> DataFrame:
             .drop("_pos"))
 
 
-def enrich(elements: DataFrame, resources: DataFrame | None = None) -> DataFrame:
-    """Per element: slide number (P6 = ordinal), unit from the file name or,
-    when that is 0, from the element's own text (P4), and the source URL
-    looked up in the manifest (J1, left join; '' when absent)."""
-    e = path_metadata(elements)
-    e = e.withColumns({
-        "slide_number": F.col("element_no").cast("int"),
-        "unit_number": F.when(F.col("unit_from_name") != 0, F.col("unit_from_name"))
-                        .otherwise(P.unit_from_content(F.col("text"))),
-    })
-    if resources is None:
-        return e.withColumn("source_url", F.lit(""))
-    m = manifest_urls(resources)
-    j = e.join(m, (e["semester"] == m["m_semester"]) & (e["source_filename"] == m["m_file"]), "left")
-    return j.drop("m_semester", "m_file").withColumn("source_url", F.coalesce(F.col("manifest_url"), F.lit(""))) \
-        .drop("manifest_url")
-
-
 def int_list_text(a: Column) -> Column:
     """P8 for int lists: the JSON text a Python writer produces (``[1, 2]``)."""
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ", "), F.lit("]"))

@@ -1,8 +1,8 @@
-"""Incremental ingestion as table operators."""
+"""Incremental ingestion as table operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,13 @@ def fingerprint(files: DataFrame, content: str = "text") -> DataFrame:
     return files.withColumn("md5", F.md5(F.col(content)))
 
 
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key: the one with the largest ``order`` (combined map-side, so a hot key is one row a task)."""
+    cols = rows.columns
+    return (rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r"))
+            .select("_r.*"))
+
+
 def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files whose (path, md5) is not in the ingestion state (new or changed)."""
     return files.join(state.select("path", "md5"), ["path", "md5"], "left_anti")
@@ -18,16 +25,17 @@ def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
 
 def upsert_latest(store: DataFrame, updates: DataFrame, key: str, version: str = "version") -> DataFrame:
     """S7 (plain keyed upsert): union, keep the newest version per key."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return (store.unionByName(updates, allowMissingColumns=True)
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn"))
+    return newest(store.unionByName(updates, allowMissingColumns=True), key, version)
 
 
-def replace_files(store: DataFrame, updates: DataFrame, file_key: str = "path") -> DataFrame:
-    """S7 with stale-id removal (T4): every record of a re-ingested file is
-    replaced by that file's new records; other files keep theirs."""
-    touched = updates.select(file_key).distinct()
-    return store.join(touched, file_key, "left_anti").unionByName(updates, allowMissingColumns=True)
+def replace_files(store: DataFrame, updates: DataFrame, file_key: str = "path", record_key: str = "record_id",
+                  version: str = "version") -> DataFrame:
+    """S7 with stale-id removal (T4): every record of a re-ingested file is replaced by that file's
+    newest records; other files keep theirs. Updates may hold several versions of a file."""
+    last = updates.groupBy(file_key).agg(F.max(version).alias("_last"))
+    kept = (updates.join(last, file_key).where(F.col(version) == F.col("_last")).drop("_last")
+            .dropDuplicates([record_key]))
+    return store.join(last, file_key, "left_anti").unionByName(kept, allowMissingColumns=True)
 
 
 def batch_counts(n_col, batch: int = 32):

@@ -15,8 +15,9 @@ from lectern.params import DEFAULT, Params
 
 # Fixed value: the refusal text used when nothing has been indexed.
 EMPTY_INDEX_MESSAGE = "No syllabus data has been indexed yet. Please run the ingestion pipeline first."
-REFUSAL_MESSAGE = ("I can only help with academic and study-related questions. "
-                   "Please ask me about any topic from your syllabus or academics!")
+
+SOURCES_TYPE = ("array<struct<slide_number:int,subject:string,unit_name:string,unit_number:int,semester:int,"
+                "source_filename:string,citation:string,similarity_score:double>>")
 
 
 def metadata_predicate(semester: int | None = None, subject: str | None = None) -> Column:
@@ -111,16 +112,6 @@ def unique_sources(hits: DataFrame) -> DataFrame:
             .drop("dup", "ukey"))
 
 
-def source_records(hits: DataFrame) -> DataFrame:
-    """Per query, the ordered list of source structs."""
-    src = F.struct(
-        F.col("slide_number"), F.col("subject"), F.col("unit_name"), F.col("unit_number"),
-        F.col("semester"), F.col("source_filename"), F.col("citation"), F.col("similarity_score"))
-    return (with_citation(hits).groupBy("query_id")
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), src.alias("s")))).alias("_s"))
-            .select("query_id", F.transform("_s", lambda x: x["s"]).alias("sources")))
-
-
 def answer_parts(hits: DataFrame) -> DataFrame:
     """A8 + P31 in one aggregation: per query ``n_hits, context_text, sources``."""
     h = with_citation(hits)

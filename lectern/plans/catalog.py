@@ -1,8 +1,9 @@
-"""Catalog views over the store / KB for plain SQL."""
+"""Catalog views over the store / KB for plain SQL, and selection lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.operators import kb
 
@@ -12,5 +13,6 @@ def register(spark: SparkSession, store: DataFrame, kb_docs: DataFrame) -> None:
     kb.register_catalog(spark, kb_docs, "kb_docs")
 
 
-SEMESTERS_SQL = "SELECT DISTINCT semester FROM kb_docs ORDER BY semester"
-SUBJECTS_SQL = "SELECT DISTINCT subject FROM kb_docs WHERE semester = {semester} ORDER BY subject"
+def lists(kb_docs: DataFrame) -> DataFrame:
+    """A5: one row per (semester, subject), each once, for lists sorted by both."""
+    return kb_docs.groupBy("semester", "subject").agg(F.count(F.lit(1)).alias("n_units"))

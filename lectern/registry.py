@@ -544,6 +544,36 @@ def q_response_record(spark, d):
         .alias("sources_text"))
 
 
+_OFFSETS = (0, 3_600, 172_800)      # every request comes again after an hour and after two days
+
+
+@query("answer_replay")
+def q_answer_replay(spark, d):
+    """L4 over a log in which every request comes three times; conversations divisible by five meet an empty collection."""
+    from lectern.plans import replay
+    store = materialise(EM.hashed_embedding(_chunk_store(spark, d), ["chunk_id"], "content"), "chunk-store")
+    r = _requests_with_history(spark, d).withColumn("off", F.explode(F.array(*[F.lit(x) for x in _OFFSETS])))
+    r = r.select(F.concat_ws(":", "conv_id", "turn", "off").alias("request_id"), "conv_id",
+                 F.timestamp_seconds(F.col("conv_id") * 600 + F.col("off")).alias("ts"),
+                 "query", "semester", "subject", "history")
+    embed = lambda x: EM.hashed_embedding(x, ["query_id"], "rewritten")
+    got = [replay.answer_requests(r.where(cond).drop("conv_id"), s, embed, RAG, normalize="after")
+           for cond, s in (("conv_id % 5 <> 0", store), ("conv_id % 5 = 0", store.limit(0)))]
+    src = lambda x: F.concat_ws("~", *[x[c].cast("string") for c in (
+        "slide_number", "subject", "unit_name", "unit_number", "semester", "source_filename", "citation")],
+        F.format_number(x["similarity_score"], 4))
+    return got[0].unionByName(got[1]).select(
+        "request_id", "rewritten_query", "was_cached", "should_refuse", F.size("sources").cast("long").alias("n_sources"),
+        F.array_join(F.transform("sources", src), " || ").alias("sources_text"))
+
+
+@query("catalog_lists")
+def q_catalog_lists(spark, d):
+    """The distinct semesters with their subjects, in order, for a selection list."""
+    from lectern.plans import catalog
+    return catalog.lists(KB.flatten_kb(fx.kb(spark, d)))
+
+
 @query("hash_embed")
 def q_hash_embed(spark, d):
     return EM.hashed_counts(load(spark, d, "documents"), ["doc_id"], "text")

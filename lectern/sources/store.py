@@ -1,4 +1,4 @@
-"""The chunk store and the ingestion state as parquet tables.
+"""The chunk store as parquet tables.
 
 Writes go to a new version folder and readers pick the newest complete one,
 so no plan reads and overwrites the same path, and a retried job rewrites only
@@ -8,9 +8,6 @@ its own version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-STATE_SCHEMA = "path string, md5 string"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,14 +55,3 @@ def rebuild(df: DataFrame, base: str, partition_by: list[str] | None = None) ->
 def count(store: DataFrame) -> int:
     """Number of stored chunks (0 means 'no index': retrieval refuses)."""
     return store.count()
-
-
-def load_state(spark: SparkSession, base: str) -> DataFrame:
-    """Ingestion state ``(path, md5)``, empty by default."""
-    return read_latest(spark, base, STATE_SCHEMA)
-
-
-def next_state(state: DataFrame, processed: DataFrame) -> DataFrame:
-    """State after processing ``processed(path, md5)``: their entries replaced."""
-    return (state.join(processed.select("path"), "path", "left_anti")
-            .unionByName(processed.select("path", F.col("md5"))))

@@ -1,11 +1,12 @@
 """ST2: TTL response cache over a request stream.
 
-State per key = the time of the stored answer (the last miss). Within a
-micro-batch a key's rows are folded in (time, id) order: hit iff
-``t < stored + ttl``; a miss stores. The event-time timeout fires once the
-watermark passes ``stored + ttl`` and drops the expired entry, so state is
-bounded by the keys active within one TTL. Equal to the batch replay
-(``lectern.operators.cache.replay``) when events arrive in time order.
+State per key = the time of the stored answer (the last miss). Within a micro-batch a
+key's events are folded in (time, id) order: hit iff ``t < stored + ttl``; a miss stores.
+No event is dropped: there is no watermark, and an event older than the stored answer is
+returned as a miss of its own with ``late`` set, without moving the state. With
+``keep_seconds`` a key's state expires by processing time, that long after its last event;
+a job over a bounded source needs no expiry (and would never end with it). Equal to the batch replay (``lectern.operators.cache.replay``) when
+events arrive in time order.
 """
 
 from __future__ import annotations
@@ -18,36 +19,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "event_id long, key string, hit boolean, stored_at_us long"
+OUT = "event_id long, key string, hit boolean, stored_at_us long, late boolean"
 STATE = "stored_us long"
 
 
-def _step(ttl_us: int):
+def _step(ttl_us: int, keep_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "event_id"], kind="stable")
+        parts = list(pdfs)                      # two numbers an event
+        ids = np.concatenate([p["event_id"].to_numpy(np.int64) for p in parts])
+        t = np.concatenate([p["t_us"].to_numpy(np.int64) for p in parts])
+        order = np.lexsort((ids, t))
+        ids, t = ids[order], t[order]
         anchor = state.get[0] if state.exists else None
-        t = pdf["t_us"].to_numpy(np.int64)
-        hit = np.zeros(len(t), np.bool_)
-        stored = np.zeros(len(t), np.int64)
-        for i, ti in enumerate(t):
-            if anchor is not None and ti < anchor + ttl_us:
-                hit[i] = True
-            else:
-                anchor = int(ti)
-            stored[i] = anchor
+        late = np.zeros(len(t), bool) if anchor is None else t < anchor
+        hit, stored = np.zeros(len(t), bool), t.copy()
+        i = int(late.sum())
+        while i < len(t):                       # from miss to miss
+            if anchor is None or t[i] >= anchor + ttl_us:
+                anchor = int(t[i])
+                stored[i] = anchor
+                i += 1
+            j = int(np.searchsorted(t, anchor + ttl_us, side="left"))
+            hit[i:j] = True
+            stored[i:j] = anchor
+            i = max(i, j)
         state.update((anchor,))
-        state.setTimeoutTimestamp(int((anchor + ttl_us) // 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(np.int64), "key": key[0],
-                            "hit": hit, "stored_at_us": stored})
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({"event_id": ids, "key": key[0], "hit": hit, "stored_at_us": stored, "late": late})
     return fn
 
 
-def cache_stream(requests: DataFrame, ttl_seconds: int, watermark: str = "1 hour") -> DataFrame:
-    """``requests(event_id, key, ts)`` stream -> ``event_id, key, hit, stored_at_us``."""
-    r = (requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-         .select("event_id", "key", "ts", F.unix_micros("ts").alias("t_us")))
+def cache_stream(requests: DataFrame, ttl_seconds: int, keep_seconds: int | None = None) -> DataFrame:
+    """``requests(event_id, key, ts)`` stream -> ``event_id, key, hit, stored_at_us, late``. ``keep_seconds``
+    (at least the TTL; None: for ever) is how long a silent key's state is held."""
+    r = requests.select("event_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
     return r.groupBy("key").applyInPandasWithState(
-        _step(int(ttl_seconds) * 1_000_000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _step(int(ttl_seconds) * 1_000_000, None if keep_seconds is None else keep_seconds * 1000), OUT, STATE, "append",
+        GroupStateTimeout.NoTimeout if keep_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)

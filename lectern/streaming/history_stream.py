@@ -1,8 +1,8 @@
 """ST3: rolling conversation memory per session.
 
-State per conversation = its last ``n`` messages (JSON). Each user message is
-emitted with the messages before it, oldest first -- the streaming twin of
-``lectern.operators.history.previous_messages``.
+State per conversation = its last ``n`` messages (JSON); with ``keep_seconds`` it is dropped
+when the conversation has been silent for so long (processing time). Each user message is emitted with the messages before it, oldest
+first: the streaming twin of ``lectern.operators.history.previous_messages``.
 """
 
 from __future__ import annotations
@@ -14,29 +14,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.functions.dialog import DEFAULT_TEXTS, PromptTexts
+
 OUT = "conv_id long, turn long, n_hist long, history_text string"
 STATE = "last_json string"
 
 
-def _label(role: str) -> str:
-    return "Student" if role == "user" else "AI"
-
-
-def _step(n: int):
+def _step(n: int, keep_ms: int | None, texts: PromptTexts):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["turn", "role", "text"], kind="stable")
         last = json.loads(state.get[0]) if state.exists else []
         rows = []
         for turn, role, text in zip(pdf["turn"], pdf["role"], pdf["text"]):
             if role == "user":
-                rows.append((key[0], int(turn), len(last), "\n".join(f"{_label(r)}: {c}" for r, c in last)))
+                lines = (f"{texts.user if r == 'user' else texts.other}: {c}" for r, c in last)
+                rows.append((key[0], int(turn), len(last), "\n".join(lines)))
             last = (last + [[role, text]])[-n:]
         state.update((json.dumps(last),))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "n_hist", "history_text"])
     return fn
 
 
-def history_stream(messages: DataFrame, n: int = 5) -> DataFrame:
+def history_stream(messages: DataFrame, n: int = 5, keep_seconds: int | None = None,
+                   texts: PromptTexts = DEFAULT_TEXTS) -> DataFrame:
     """``messages(conv_id, turn, role, text)`` stream -> history of each user message."""
-    return messages.groupBy("conv_id").applyInPandasWithState(
-        _step(n), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return messages.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(
+        _step(n, None if keep_seconds is None else keep_seconds * 1000, texts), OUT, STATE, "append",
+        GroupStateTimeout.NoTimeout if keep_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,10 +1,12 @@
 """ST1: incremental ingestion of a file stream.
 
-Each micro-batch: fingerprint (S2) -> keep files whose (path, md5) is not in
-the ingestion state (J4) -> replace every record of those files in the store
-(S7, stale ids removed). The store and the state are written as new version
-folders named by batch id, so a retried batch overwrites only its own output
-(idempotent) and no plan reads and overwrites the same path.
+Each micro-batch: fingerprint (S2) -> newest row of each path -> keep files whose (path,
+md5) is not in the ingestion state (J4) -> append their records to the store (S7). The
+store and the state are append-only tables partitioned by batch id: a path's live records
+are those of its last batch, so nothing is rewritten and the cost of a batch does not grow
+with the store. A batch is committed by its state part, written after its records. A
+retried batch reads only earlier ones and overwrites its own two parts. ``compact`` folds the
+parts into one when there are many.
 """
 
 from __future__ import annotations
@@ -19,42 +21,61 @@ from lectern.operators import incremental as INC
 STATE_SCHEMA = "path string, md5 string"
 
 
-def _latest(spark: SparkSession, base: str, schema: str) -> DataFrame:
+def _committed(spark: SparkSession, base: str, before: int | None = None) -> list[int]:
+    """Ids of the committed batches (below ``before``)."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
+    p = jvm.org.apache.hadoop.fs.Path(base + "/state")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return spark.createDataFrame([], schema)
-    done = [s.getPath().getName() for s in fs.listStatus(p)
-            if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not done:
-        return spark.createDataFrame([], schema)
-    last = max(done, key=lambda n: int(n.split("=")[1]))
-    return spark.read.schema(schema).parquet(f"{base}/{last}")
+        return []
+    ids = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
+           if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(i for i in ids if before is None or i < before)
 
 
-def ingest_batch(base: str, to_records: Callable[[DataFrame, int], DataFrame], record_schema: str):
-    """The ``foreachBatch`` body; ``to_records(files, version)`` builds store rows."""
+def _parts(spark: SparkSession, base: str, ids: list[int], schema: str) -> DataFrame:
+    """The given batches of a table, with their ``batch`` column."""
+    if not ids:
+        return spark.createDataFrame([], schema + ", batch long")
+    return (spark.read.schema(schema + ", batch long").option("basePath", base)
+            .parquet(*[f"{base}/batch={i}" for i in ids]))
+
+
+def live_state(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """(path, md5, batch) of the last ingested version of each path."""
+    s = _parts(spark, base + "/state", _committed(spark, base, before), STATE_SCHEMA)
+    return s.groupBy("path").agg(F.max_by("md5", "batch").alias("md5"), F.max("batch").alias("batch"))
+
+
+def live_records(spark: SparkSession, base: str, record_schema: str) -> DataFrame:
+    """The records of each path's last version."""
+    ids = _committed(spark, base)
+    store = _parts(spark, base + "/store", ids, record_schema)
+    return store.join(live_state(spark, base).select("path", "batch"), ["path", "batch"], "left_semi").drop("batch")
+
+
+def ingest_batch(base: str, to_records: Callable[[DataFrame, int], DataFrame], order: str):
+    """The ``foreachBatch`` body; ``to_records(files, version)`` builds store rows. If a batch holds a path
+    more than once, the row with the largest ``order`` counts."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        files = INC.fingerprint(batch)
-        state = _latest(spark, base + "/state", STATE_SCHEMA)
-        store = _latest(spark, base + "/store", record_schema)
-        changed = INC.changed_files(files, state).cache()
-        updates = to_records(changed, batch_id + 1)
-        new_store = INC.replace_files(store, updates)
-        new_state = (state.join(changed.select("path"), "path", "left_anti")
-                     .unionByName(changed.select("path", "md5")))
-        new_store.write.mode("overwrite").parquet(f"{base}/store/batch={batch_id}")
-        new_state.write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
+        files = INC.fingerprint(INC.newest(batch, "path", order))
+        changed = INC.changed_files(files, live_state(spark, base, before=batch_id)).cache()
+        to_records(changed, batch_id + 1).write.mode("overwrite").parquet(f"{base}/store/batch={batch_id}")
+        changed.select("path", "md5").write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
         changed.unpersist()
     return run
 
 
-def run_ingest(files_stream: DataFrame, base: str, to_records, record_schema: str) -> DataFrame:
+def compact(spark: SparkSession, base: str, target: str, record_schema: str) -> None:
+    """Write the live state and records as batch 0 of a new base folder."""
+    live_records(spark, base, record_schema).write.mode("overwrite").parquet(f"{target}/store/batch=0")
+    live_state(spark, base).select("path", "md5").write.mode("overwrite").parquet(f"{target}/state/batch=0")
+
+
+def run_ingest(files_stream: DataFrame, base: str, to_records, record_schema: str, order: str = "doc_id") -> DataFrame:
     spark = files_stream.sparkSession
-    q = (files_stream.writeStream.foreachBatch(ingest_batch(base, to_records, record_schema))
+    q = (files_stream.writeStream.foreachBatch(ingest_batch(base, to_records, order))
          .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, base + "/store", record_schema)
+    return live_records(spark, base, record_schema)

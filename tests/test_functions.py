@@ -125,3 +125,85 @@ def test_cache_key_matches_python_sha256(spark):
     k = df.select(T.cache_key(F.col("q"), F.col("sem"), F.col("s"), F.col("h")).alias("k")).first()["k"]
     js = json.dumps([{"role": r, "content": c} for r, c in hist], separators=(",", ":"))
     assert k == hashlib.sha256(f"q|3|S|{js}".encode()).hexdigest()
+
+
+def test_numbers_beyond_int_are_no_match(spark):
+    assert one(spark, P.unit_from_content, "unit 98765432109") == 0
+    assert one(spark, P.unit_from_content, "unit 98765432109 module 4") == 4
+    assert one(spark, P.unit_from_filename, "unit20231231235959.pdf") == 0
+    assert one(spark, P.semester_from_path, "data/semester_2/semester_20231231235959/x.pdf") == 2
+    assert one(spark, P.semester_from_path, "data/20231231235959/s/x.pdf") == 0
+
+
+@pytest.mark.parametrize("href,target", [
+    ("/file-viewer?url=https%3A%2F%2Fh%2Fa%2Bb", "https://h/a+b"),         # an encoded plus stays
+    ("/file-viewer?url=https%3A%2F%2Fh%2Fa+b", "https://h/a b"),
+    ("/file-viewer?url=https%253A%252F%252Fh%252Fx", "https://h/x"),       # encoded twice
+    ("/file-viewer?url=100%&x=1", "100%"), ("/file-viewer?url=5%25%20off", "5% off"), ("/file-viewer?u=1", None)])
+def test_viewer_target_decoding(spark, href, target):
+    assert one(spark, L.viewer_target, href) == target
+
+
+def test_unicode_blanks(spark):
+    assert one(spark, T.non_blank, "\u00a0\u2003 \x1f") is False
+    assert one(spark, T.token_count, "a\u00a0b\u3000c ") == 3
+    assert one(spark, T.strip, "\u00a0 x \u2028") == "x"
+
+
+def test_prompt_wording_is_a_parameter(spark):
+    mine = DG.PromptTexts(note_subject="[{subject}]", question="Q ", answer="A")
+    df = spark.createDataFrame([("why", "maths", None)], "q string, s string, n int")
+    row = df.select(DG.filter_note(F.col("s"), F.col("n"), mine).alias("note"),
+                    DG.build_prompt(F.lit("sys"), F.col("q"), F.lit("ctx"), F.col("s"), F.col("n"), F.lit(""), mine).alias("p"),
+                    DG.rewrite_request(F.col("q"), F.col("s"), F.col("n"), F.lit("")).alias("r")).first()
+    assert row.note == "[maths]" and row.p.startswith("sys[maths]") and row.p.endswith("Q why\n\nA")
+    assert "why" in row.r and "maths" in row.r
+
+
+def test_history_over_gapped_turns(spark):
+    from lectern.operators import history as HI
+    m = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in (0, 1, 4, 9, 9000)] +
+                              [(2, 5, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): [h.content for h in r.history] for r in HI.previous_messages(m, 3).collect()}
+    assert got[(1, 9)] == ["m0", "m1", "m4"] and got[(1, 9000)] == ["m1", "m4", "m9"]
+    assert got[(1, 0)] == [] and got[(2, 5)] == []
+
+
+def test_manifest_order_with_many_links(spark):
+    from lectern.operators import links as LK
+    rows = [(1, 1, p, f"n{p}") for p in (1, 9_999, 10_002, 300_000)] + [(1, 2, 1, "viewer"), (2, 1, 1, "next")]
+    res = spark.createDataFrame(rows, "page_id long, strategy int, pos int, name string")
+    assert [r.name for r in LK.manifest_order(res).orderBy("ord").collect()] == \
+        ["n1", "n9999", "n10002", "n300000", "viewer", "next"]
+
+
+def test_knn_blocks_filters_and_odd_vectors(spark):
+    import numpy as np
+
+    from lectern.operators import knn
+    from lectern.params import Params
+    rng = np.random.default_rng(1)
+    v = rng.integers(-5, 6, (1000, 6)).astype(float)
+    v[7] = 0
+    rows = [(i, [float(x) for x in v[i]], i % 3, f"s{i % 2}") for i in range(1000)]
+    c = spark.createDataFrame(rows + [(2000, [1.0, 2.0], 1, "s1"), (2001, None, 1, "s1")],
+                              "chunk_id long, embedding array<double>, semester int, subject string")
+    q = c.select(F.col("chunk_id").alias("query_id"), "embedding",
+                 F.when(F.col("chunk_id") % 4 == 0, F.col("semester")).alias("qs"),
+                 F.when(F.col("chunk_id") % 5 == 0, F.col("subject")).otherwise(F.lit(" ")).alias("qj"))
+    out = knn.knn_join(q, c, 3, Params(knn_query_block=100), query_semester="qs", query_subject="qj", normalize="after",
+                       exclude_self=True, carry=["subject"]).collect()
+    n = np.sqrt((v * v).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = (v @ v.T) / (n[:, None] * n[None, :])
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+        assert r.subject == f"s{r.chunk_id % 2}"
+    for i in range(1000):
+        ok = [j for j in range(1000) if j != i and not np.isnan(s[i, j]) and (i % 4 or not i % 3 or j % 3 == i % 3)
+              and (i % 5 or j % 2 == i % 2)]
+        want = sorted(ok, key=lambda j: (-s[i, j], j))[:3]
+        assert sorted(got.get(i, [])) == [(k + 1, j) for k, j in enumerate(want)], i
+    assert 2000 not in got                                   # no other vector of its dimension
+    assert {r.chunk_id for r in knn.invalid_vectors(c, dim=6).collect()} == {7, 2000, 2001}
