@@ -21,6 +21,7 @@ import struct
 import zlib
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +99,9 @@ class Transducer:
         self.longest = max(map(len, self.ids), default=1)
         self.unk_cost = UNK_PENALTY - min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.cut = self._cuts()
+        #: the text of the pieces that need no look at their neighbours (a byte below 128 is a character)
+        self.alone = [p.replace(BLANK, " ") if t == NORMAL else chr(int(p[3:5], 16)) if t == BYTE and int(p[3:5], 16) < 128
+                      else None for p, t in zip(self.pieces, self.types)]
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
@@ -282,6 +286,12 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """Text of the identifiers: pieces in turn, byte pieces joined (broken UTF-8 gives U+FFFD a byte),
         blanks restored and the dummy prefix dropped. Control pieces give nothing."""
+        alone = self.alone
+        parts = [alone[i] for i in ids]
+        if None not in parts:
+            if parts and self.prefix and self.types[ids[0]] == NORMAL and parts[0].startswith(" "):
+                parts[0] = parts[0][1:]
+            return "".join(parts)
         out, raw, first = [], bytearray(), self.prefix
 
         def flush() -> None:
@@ -361,8 +371,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", o
 
 
 def token_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, round_trip) of every row: the digest is of the identifiers as decimal
-    numbers joined by blanks, and round_trip tells whether decoding restores the text (null: empty)."""
+    """(id, n_tokens, ids_sha256, round_trip) of every row: the digest is of the identifiers as 32-bit
+    little-endian numbers, and round_trip tells whether decoding restores the text (null: empty)."""
     model = broadcast_file(docs.sparkSession, model_path)
     key = zlib.crc32(model.value)
 
@@ -373,7 +383,7 @@ def token_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         for x in iter_text(col):
             ids = t.encode(x or "")
             n.append(len(ids))
-            sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
             same.append(t.decode(ids) == (x or ""))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string()),
                                            pa.array(same, pa.bool_())], names=["n_tokens", "ids_sha256", "round_trip"])
