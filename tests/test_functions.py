@@ -107,7 +107,7 @@ def test_dialog_rules(spark):
     assert [x["g"] for x in r] == [True, False, False, False]
     assert r[2]["e"] == "DBMS: joins?"
     assert [x["c"] for x in r] == [False, True, False, True]
-    assert "Semester 3" in r[0]["n"] and r[1]["n"] == "" and "Semester 2 subjects" in r[3]["n"]
+    assert "semester 3" in r[0]["n"] and r[1]["n"] == "" and "semester: 2" in r[3]["n"]
 
 
 def test_validate_rewrite(spark):
