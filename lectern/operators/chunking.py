@@ -303,7 +303,7 @@ def _assign(slides: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, boo
 
 
 def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, params: Params = DEFAULT,
-                   tokenizer: Tokenizer = words) -> DataFrame:
+                   tokenizer: Tokenizer = words, detokenizer: Tokenizer = detokenize) -> DataFrame:
     """W1+W2+W7+A7: elements ``(file, ord, text, *meta)`` -> chunks.
 
     Output: ``file, chunk_no, chunk_part, total_parts, content, n_tokens,
@@ -322,6 +322,8 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
           .select(F.col("file").cast("string").alias("file"), F.col("ord").cast("long").alias("ord"),
                   strip(F.col("text")).alias("text"), *meta_cols)
           .withColumn("n", token_count(F.col("text"), tokenizer)))
+    if tokenizer is not words:
+        el = el.where("n > 0")     # another tokenizer may find no token in a text that is not blank
     fold, multi_block = _assign(el.select("file", "ord", "n"), p)
     tagged = el.join(fold, ["file", "ord"])
 
@@ -361,7 +363,7 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
                .select("file", "chunk_no",
                        (F.col("pos") + 1).cast("int").alias("chunk_part"),
                        F.col("total_parts").cast("int").alias("total_parts"),
-                       detokenize(win).alias("content"),
+                       detokenizer(win).alias("content"),
                        F.size(win).cast("long").alias("n_tokens"),
                        F.col("e.ord").cast("int").alias("slide_number"),
                        F.lit(None).cast("array<int>").alias("slides_covered"),
@@ -375,7 +377,7 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
     tails = F.transform("prev", lambda x: F.slice(tokenizer(x["text"]),
                                                   F.greatest(x["n"] - O, F.lit(0)).cast("int") + 1, O))
     flat = F.flatten(tails)
-    tail = detokenize(F.slice(flat, F.greatest(F.size(flat) - O, F.lit(0)) + 1, O))
+    tail = detokenizer(F.slice(flat, F.greatest(F.size(flat) - O, F.lit(0)) + 1, O))
     has_prev = F.size("prev") > 0
     overlap_text = F.when(~has_prev, F.lit(None)).when(before <= O, raw).otherwise(tail)
     overlap_tokens = F.when(~has_prev, F.lit(0)).otherwise(F.least(before, F.lit(O)))
@@ -394,11 +396,12 @@ def chunk_elements(elements: DataFrame, meta_cols: list[str] | None = None, para
     return normal_chunks.unionByName(windows)
 
 
-def token_windows(text_col, params: Params = DEFAULT, tokenizer: Tokenizer = words):
+def token_windows(text_col, params: Params = DEFAULT, tokenizer: Tokenizer = words,
+                  detokenizer: Tokenizer = detokenize):
     """W7 as a column: array of window texts (whole text if it fits in one window)."""
     p = params
     tok = tokenizer(text_col)
     stride = p.chunk_size - p.chunk_overlap
     wins = F.transform(F.sequence(F.lit(0), F.size(tok) - 1, F.lit(stride)),
-                       lambda s: detokenize(F.slice(tok, s + 1, p.chunk_size)))
+                       lambda s: detokenizer(F.slice(tok, s + 1, p.chunk_size)))
     return F.when(F.size(tok) <= p.chunk_size, F.array(text_col)).otherwise(wins)

@@ -95,7 +95,7 @@ def embed_with(df: DataFrame, text_col: str, model: Callable[[list[str]], list[l
                     errs += [None] * len(part)
                 except Exception as e:  # noqa: BLE001 - quarantined per batch
                     vecs += [None] * len(part)
-                    errs += [f"{type(e).__name__}: {e}"[:500]] * len(part)
+                    errs += [f"{type(e).__name__}: {e}"] * len(part)
             yield pdf.assign(**{out_col: pd.Series(vecs, dtype=object), "embed_error": errs})
 
     return df.mapInPandas(run, schema)

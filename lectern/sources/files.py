@@ -37,11 +37,13 @@ def text_elements(docs: DataFrame, path: str = "path", text: str = "text") -> Da
 Extractor = Callable[[str, bytes], list[str]]
 
 
-def binary_elements(spark: SparkSession, root: str, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
+def binary_elements(spark: SparkSession, root: str, extractor: Extractor,
+                    single: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """S4/U4 hook for binary formats: ``extractor(path, bytes) -> [element texts]``
     runs inside tasks via ``mapInPandas``. Unreadable files go to a quarantine
-    frame (path, error) instead of stopping the job; an empty extraction is an
-    empty element list. Returns ``(elements, quarantine)``."""
+    frame (path, error) instead of stopping the job; an empty extraction is tried
+    again with ``single`` (the whole file as one element), if given, and is an
+    empty element list otherwise. Returns ``(elements, quarantine)``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) \
         .where(is_document_path(F.col("path"))).select("path", "content")
 
@@ -50,10 +52,13 @@ def binary_elements(spark: SparkSession, root: str, extractor: Extractor) -> tup
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    for i, t in enumerate(extractor(p, bytes(content))):
+                    found = extractor(p, bytes(content))
+                    if not found and single is not None:
+                        found = single(p, bytes(content))
+                    for i, t in enumerate(found):
                         rows.append((p, i + 1, t, None))
                 except Exception as e:  # noqa: BLE001 - quarantined
-                    rows.append((p, None, None, f"{type(e).__name__}: {e}"[:500]))
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "element_no", "text", "error"])
 
     out = files.mapInPandas(run, "path string, element_no int, text string, error string")

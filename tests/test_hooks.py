@@ -26,6 +26,24 @@ def test_embed_with_batches_and_quarantine(spark):
     assert out[0]["embedding"] == [6.0, 1.0]
 
 
+def test_chunks_with_another_tokenizer(spark):
+    from lectern.operators.chunking import chunk_elements
+    letters = lambda c: F.regexp_extract_all(c, F.lit("[a-z]"), 0)
+    df = spark.createDataFrame([("f", 1, "abc"), ("f", 2, "123"), ("f", 3, "defghijkl")], "file string, ord long, text string")
+    p = Params(chunk_size=4, chunk_overlap=1, max_chunk_tokens=6)
+    got = chunk_elements(df, params=p, tokenizer=letters, detokenizer=lambda t: F.array_join(t, "-")).orderBy("chunk_no", "chunk_part")
+    assert [r.content for r in got.collect()] == ["abc", "d-e-f-g", "g-h-i-j", "j-k-l"]
+
+
+def test_empty_extraction_is_tried_again_as_one_element(spark):
+    root = tempfile.mkdtemp(prefix="lectern-retry-")
+    for name in ("a.pdf", "b.pdf"):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(name.encode())
+    el, bad = binary_elements(spark, root, lambda p, b: [] if b == b"a.pdf" else ["x", "y"], lambda p, b: [b.decode()])
+    assert sorted(r["text"] for r in el.collect()) == ["a.pdf", "x", "y"] and bad.count() == 0
+
+
 def test_hashed_embedding_counts_words(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "   "), (3, None)], "id long, t string")
     rows = {r["id"]: r["embedding"] for r in hashed_embedding(df, ["id"], "t", dim=8).collect()}
