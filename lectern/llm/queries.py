@@ -47,4 +47,59 @@ QUERIES = {
     "op10_va_top_k": op10,
 }
 
-SQL: dict[str, str] = {}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+SQL: dict[str, str] = {
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS w FROM d, range(1, len(ws) - 6) g(i) WHERE len(ws) >= 8),
+rep AS (SELECT r, count(DISTINCT i + k) AS n
+        FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM win), range(0, 8) o(k) WHERE c > 1 GROUP BY r),
+f AS (SELECT r, doc_id, t, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls,
+             length(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS letters,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS uppers, length(regexp_replace(t, '[^!?]', '', 'g')) AS bangs
+      FROM d),
+b AS (SELECT *, len(ls) - len(list_distinct(ls)) AS dups, coalesce(rep.n, 0) AS reps,
+             n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS bad
+      FROM f LEFT JOIN rep USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(dups AS BIGINT) AS n_dup_lines, CAST(reps AS BIGINT) AS n_repeat_words, bad AS base_failed,
+       NOT bad AND NOT (n_symbols > 0.5 * n_words OR dups > 0.5 * len(ls) OR word_chars < 2 * n_words OR word_chars > 18 * n_words
+            OR uppers > 0.6 * greatest(1, letters) OR bangs > 0.5 * n_words OR letters < 0.5 * word_chars) AS kept
+FROM b""",
+    "op7_minhash_dedup": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS ws
+  FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS s
+       FROM w, range(1, greatest(len(ws) - 2, 2)) g(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(root, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.root, b.b FROM reach r JOIN edge b ON r.seen = b.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT root AS doc_id, min(seen) AS component_id FROM reach GROUP BY root) c USING (doc_id)""",
+    "op8_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, len(regexp_extract_all(text, '(<<|[<\[])\\*(\||/?s>|/?INST\]|/?SYS>>)')) AS escapes FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|turn|>') + length(role) + 1 + length(text) + escapes + length('<|end|>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op10_va_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+}
