@@ -233,29 +233,29 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     rows = rows.join(least, ["x", "y"]).where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("n0")))
     rows = _open(rows.select("x", "y", "node"), labels)
     sizes = rows.groupBy("x", "y", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("x", "y").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    main = sizes.groupBy("x", "y").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"),
+                                       blocks(F.sum("m") - F.max("m")).alias("nl"), blocks(F.sum("m")).alias("nr"))
     left = rows.join(bound, "node").join(main, ["x", "y"])
-    return links.union(_block_links(left, sets, percent))
+    return links.union(_block_links(written(left, "left"), sets, percent))
 
 
 BLOCK = 1024              # nodes of one side of a bucket compared in one group
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a bucket. ``rows`` has x, y, node, comp, main, n, c, sig, a, b.
+    """Links (a, b) between different components of a bucket. ``rows`` has x, y, node, comp, main, n, c, sig, a, b
+    and the numbers of blocks of a bucket's nodes outside its main component (nl) and of all its nodes (nr).
 
     A bucket's nodes outside its main component meet all its nodes, block by block; a pair counts in the
     first table it shares. A first pass finds the nodes that have a partner by size, bound and signature,
     so only their sets travel; a second pass compares these sets. Both return nodes or links, never pairs.
     """
-    sizes = rows.groupBy("x", "y").agg(F.ceil(F.sum((F.col("comp") != F.col("main")).cast("long")) / BLOCK).alias("nl"),
-                                       F.ceil(F.count(F.lit(1)) / BLOCK).alias("nr"))
-    at = rows.join(sizes.where("nl > 0"), ["x", "y"])
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     cols = ["x", "y", "node", "comp", "main", "n", "c", "sig", "a", "b"]
-    left = at.where("comp <> main").select(*cols, F.lit(0).alias("side"), chunk("nl").alias("lc"), spread("nr").alias("rc"))
-    right = at.select(*cols, F.lit(1).alias("side"), spread("nl").alias("lc"), chunk("nr").alias("rc"))
+    left = rows.where("comp <> main").select(*cols, F.lit(0).alias("side"), chunk("nl").alias("lc"), spread("nr").alias("rc"))
+    right = rows.where("nl > 0").select(*cols, F.lit(1).alias("side"), spread("nl").alias("lc"), chunk("nr").alias("rc"))
     both = left.unionByName(right)
     key = ["x", "y", "lc", "rc"]
     kinds = ", ".join(f"{n} {t}" for n, t in both.dtypes)
