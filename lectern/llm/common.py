@@ -14,14 +14,24 @@ from lectern.session import scratch_path
 from lectern.sources.tables import load  # noqa: F401  (re-exported for the queries)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` once as Parquet under ``spark.checkpoint.dir`` and read it back.
 
-    The folder is marked for deletion when the application's file system closes.
+    ``batch_rows`` bounds the rows Spark hands to Python at a time during this write, for wide rows. The
+    folder is marked for deletion when the application's file system closes.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows is not None:
+            spark.conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _hadoop_path(spark, path)[1].deleteOnExit(_hadoop_path(spark, path)[0])
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path

@@ -172,7 +172,7 @@ def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str =
 def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     t = written(docs.select("doc_id", text_hash(F.col("text")).alias("th"),
-                            signatures(F.col("text"), n_words).alias("s")).select("doc_id", "th", "s.*"), "sigs")
+                            signatures(F.col("text"), n_words).alias("s")).select("doc_id", "th", "s.*"), "sigs", batch_rows=2000)
     nodes = written(t.where("n > 0").groupBy("digest")
                     .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("a").alias("a"),
                          F.first("b").alias("b"), F.first("sig").alias("sig")), "sets")
@@ -203,14 +203,14 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     busy = buckets.select("node").distinct().join(nodes.select("node", "first", "digest"), "node")
     texts = docs.join(busy, docs["doc_id"].eqNullSafe(busy["first"])).drop("doc_id", "first")
     raw = texts.select("node", "digest", shingle_sets(F.col("text"), n_words).alias("set"))
-    sets = written(_own_set(raw), "shingle-sets")
+    sets = written(_own_set(raw), "shingle-sets", batch_rows=1000)
     info = nodes.select("node", "n", "sig", "a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
         y = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
         got = pairs.join(x, "a").join(y, "b").select("a", "b", similar(F.col("sa"), F.col("sb"), percent).alias("ok"))
-        return written(got.where("ok").select("a", "b"), "confirmed")
+        return written(got.where("ok").select("a", "b"), "confirmed", batch_rows=500)
 
     # 1: one pivot a bucket, the smallest node
     first = buckets.join(info.drop("a", "b"), "node").withColumn("comp", F.col("node"))
@@ -220,7 +220,7 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     for _ in range(BOUND_ROUNDS):
         rows = _open(live, _component_of(nodes, links))
         bound = written(_cross_bound(rows, sets).join(info, "node")
-                        .where(100 * F.col("c") >= percent * F.col("n")), "bounds")
+                        .where(100 * F.col("c") >= percent * F.col("n")), "bounds", batch_rows=1000)
         rows = rows.join(bound, "node")
         links = written(links.union(verify(_with_pivots(rows, -F.col("c") / F.col("n"), percent, PIVOTS))), "links")
         live = written(live.join(bound.select("node"), "node", "left_semi"), "buckets")

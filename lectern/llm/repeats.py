@@ -164,13 +164,13 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot_pl
     """(did, th, spans): for each document (by ``key_columns``) with a repeated string, the byte ranges
     covered, as an array of (first, from, to) relative to the start ``first`` of a run. ``docs`` has text, did and th."""
     spark = docs.sparkSession
-    placed = written(place_runs(docs, depth, gram, None), "runs")
+    placed = written(place_runs(docs, depth, gram, None), "runs", batch_rows=1000)
     seen = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     hot = seen.where(F.col("n") > hot_places).select("fp").limit(MAX_HOT + 1).toArrow().column("fp").to_numpy()
     if len(hot) > MAX_HOT:
         raise ValueError("raise hot_places: too many hot fingerprints for a broadcast list")
     if len(hot):
-        placed = written(place_runs(docs, depth, gram, hot.view(np.uint64)), "runs")
+        placed = written(place_runs(docs, depth, gram, hot.view(np.uint64)), "runs", batch_rows=1000)
     # texts of fingerprints that occur again, with their weight
     again = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"),
                                      F.max("own").alias("own")) \
