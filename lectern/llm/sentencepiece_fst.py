@@ -69,7 +69,7 @@ def _fields(buf: bytes):
 class Transducer:
     """Compiled from the bytes of a SentencePiece model file (identity normalisation rules)."""
 
-    CACHE = 500_000
+    CACHE = 200_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[str] = []
