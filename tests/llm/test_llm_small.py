@@ -416,6 +416,33 @@ def test_rates_match_reachable_targets(spark):
         assert sum(r.rate * r.tokens * r.p[k] for r in got) == pytest.approx(0.5 * min(have) * w, rel=2e-2)
 
 
+@pytest.mark.parametrize("targets", [{"good": 0.9, "plain": 0.1, "toxic": 0.0}, {"good": None, "plain": None, "toxic": 0.0}])
+def test_rates_are_the_least_squares_solution_with_a_rare_domain(spark, targets):
+    rng = np.random.default_rng(7)
+    kind = rng.choice(3, 4000, p=[0.6, 0.399, 0.001])
+    p = rng.dirichlet([0.05, 0.05, 1e-4], 4000) * 0.02 + np.eye(3)[kind] * 0.98
+    tokens = rng.integers(0, 900, 4000)
+    members = spark.createDataFrame([(i, i, i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))],
+                                    "row long, doc_id long, h long, tokens long, p array<double>")
+    rate = np.zeros(4000)
+    for r in mixing.rates(members, ["good", "plain", "toxic"], targets).collect():
+        rate[r.row] = r.rate
+    assert rate.min() >= 0.0 and rate.max() <= 1.0
+    have = tokens @ p
+    want = have * [1, 1, 0] if targets["good"] is None else min(have[0] / 0.9, have[1] / 0.1) * np.array([0.9, 0.1, 0.0])
+    assert 5e-4 < have[2] / have.sum() < 2e-3
+    rest = ((rate * tokens) @ p - want) / have
+    slope = p @ (rest / have)          # of the objective, a token; half the square of the distance from the best residuals
+    assert (tokens * (slope * rate - np.minimum(slope, 0.0))).sum() <= 1e-3 ** 2 / 2      # is at most this (Frank-Wolfe) gap
+
+
+def test_rates_that_are_not_reached_raise(spark):
+    members = spark.createDataFrame([(0, 0, 0, 9, [0.5, 0.5]), (1, 1, 1, 5, [0.9, 0.1])],
+                                    "row long, doc_id long, h long, tokens long, p array<double>")
+    with pytest.raises(RuntimeError):
+        mixing.rates(members, ["a", "b"], {"a": 0.9, "b": 0.1}, steps=1)
+
+
 def test_mixing_drops_the_unwanted_domain_and_survives_odd_rows(spark):
     rng = random.Random(6)
     def text(bad):
