@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     and blank texts have size 0, no links and themselves as component. Equal texts, repeated rows and
     equal sets share a component. Other columns are not read; an empty table gives an empty result.
     """
-    return _grouped(docs, n_words, percent, id_col, text_col).drop("th")
+    return _grouped(docs, n_words, percent, id_col, text_col).drop("th", "label")
 
 
 def text_hash(text: Column) -> Column:
@@ -159,14 +159,30 @@ def text_hash(text: Column) -> Column:
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` of each near-duplicate group, with its own columns: that of the smallest id, and of
-    its texts (if the id repeats) the one with the smallest hash. Rows without words stay, once an id."""
-    best = (_grouped(docs, n_words, percent, id_col, text_col).where("kept")
-            .groupBy("doc_id").agg(F.min("th").alias("th")).toDF("__i", "__h"))
-    rows = docs.select(F.col(id_col).alias("__id"), text_hash(F.col(text_col)).alias("__th"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    one = rows.join(best, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")))
-    return one.dropDuplicates(["__id", "__th"]).select("__row.*")
+    """One row of ``docs`` of each near-duplicate group, with its own columns: that of the smallest id (null ids
+    last), and of its texts (if the id repeats) the one with the smallest hash. Groups are told apart by their links,
+    so unlinked texts under one id, or without an id, all stay. Rows without words have no links: each stays, rows
+    equal in all columns once."""
+    best = (_grouped(docs, n_words, percent, id_col, text_col).where("label IS NOT NULL")
+            .groupBy("label").agg(F.min(_rank()).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.th").alias("__h")))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("__id"), text_hash(F.col(text_col)).alias("__th"), every.alias("__row"),
+                       _wordless(F.col(text_col)).alias("__none"), F.to_json(every).alias("__all"))
+    one = rows.where("NOT __none").drop("__all") \
+              .join(best, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h"))) \
+              .dropDuplicates(["__id", "__th"])
+    none = rows.where("__none").dropDuplicates(["__all"])
+    return one.select("__row.*").union(none.select("__row.*"))
+
+
+def _wordless(text: Column) -> Column:
+    """Whether a text is null or has nothing but the blanks that separate words."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
+def _rank() -> Column:
+    """Order of a group's rows: by id, null ids last, then by text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
 
 
 def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,24 +190,26 @@ def _grouped(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     t = written(docs.select("doc_id", text_hash(F.col("text")).alias("th"),
                             signatures(F.col("text"), n_words).alias("s")).select("doc_id", "th", "s.*"), "sigs", batch_rows=2000)
     nodes = written(t.where("n > 0").groupBy("digest")
-                    .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("a").alias("a"),
-                         F.first("b").alias("b"), F.first("sig").alias("sig")), "sets")
+                    .agg(F.min(_rank()).alias("k"), F.first("n").alias("n"), F.first("a").alias("a"),
+                         F.first("b").alias("b"), F.first("sig").alias("sig"))
+                    .select("digest", F.col("k.doc_id").alias("first"), F.col("k.th").alias("first_th"), "n", "a", "b", "sig"), "sets")
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
     buckets = _buckets(nodes)
     links = _confirmed(docs, nodes, buckets, n_words, percent)
     if links is None:
-        comp = nodes.select("digest", F.col("first").alias("component_id"))
+        comp = nodes.select("digest", F.col("first").alias("component_id"), F.col("node").alias("label"))
     else:
         labels = connected_components(links)
         named = nodes.select("node", "digest", "first").join(labels, "node", "left") \
                      .select("digest", "first", F.coalesce("label", "node").alias("label"))
         low = named.groupBy("label").agg(F.min("first").alias("component_id"))
-        comp = written(named.join(low, "label").select("digest", "component_id"), "component")
+        comp = written(named.join(low, "label").select("digest", "component_id", "label"), "component")
     some = t.where("n > 0").select("doc_id", "th", "n", "digest").join(comp, "digest") \
-            .select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    none = t.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", "th", "n_shingles", "component_id",
+            .select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "label")
+    none = t.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                   F.lit(None).cast("long").alias("label"))
+    return some.union(none).select("doc_id", "th", "n_shingles", "component_id", "label",
                                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -200,8 +218,9 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     if buckets.limit(1).count() == 0:
         return None
     # full sets of the nodes that share a bucket, from one text of each node
-    busy = buckets.select("node").distinct().join(nodes.select("node", "first", "digest"), "node")
-    texts = docs.join(busy, docs["doc_id"].eqNullSafe(busy["first"])).drop("doc_id", "first")
+    busy = buckets.select("node").distinct().join(nodes.select("node", "first", "first_th", "digest"), "node")
+    texts = docs.withColumn("th", text_hash(F.col("text"))) \
+                .join(busy, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th")))
     raw = texts.select("node", "digest", shingle_sets(F.col("text"), n_words).alias("set"))
     sets = written(_own_set(raw), "shingle-sets", batch_rows=1000)
     info = nodes.select("node", "n", "sig", "a", "b")

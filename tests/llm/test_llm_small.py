@@ -333,6 +333,21 @@ def test_near_duplicates_equal_brute_force(spark):
         i or -1 for i, _, c in brute_groups(ids, texts, 5, 80) if i == c)
 
 
+def test_keep_one_goes_by_links_and_not_by_ids(spark):
+    texts = [" ".join(f"t{d}w{i}" for i in range(60)) for d in range(7)]
+    near = [t + " tail" for t in texts]
+    rows = [(7, texts[0]), (7, texts[1]), (7, near[1]),                     # two unlinked texts under one id
+            (None, texts[2]), (None, near[2]), (None, texts[3]), (None, texts[4]), (9, near[4]),
+            (5, texts[5]), (None, texts[5]), (3, near[5]), (5, texts[6]),
+            (None, None), (None, ""), (7, " \n"), (8, None), (8, None)]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    docs = docs.union(docs.where("doc_id = 8").limit(1).withColumn("lang", F.lit("de")))    # without words, not a repeated row
+    got = Counter((r.doc_id, r.text.split("w")[0] if r.text else r.text, r.lang) for r in minhash.keep_one(docs).collect())
+    assert got == Counter([(7, "t0", None), (7, "t1", None), (None, "t2", None), (None, "t3", None), (9, "t4", None),
+                           (3, "t5", None), (5, "t6", None), (None, None, None), (None, "", None), (7, " \n", None),
+                           (8, None, None), (8, None, "de")])
+
+
 def test_unlinked_documents_that_share_a_passage_stay_apart(spark):
     shared = " ".join(f"common{i}" for i in range(60))
     texts = [shared + " " + " ".join(f"d{d}w{i}" for i in range(40)) for d in range(40)]
