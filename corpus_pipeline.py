@@ -13,7 +13,7 @@ from lectern.llm import minhash, mixing, quality, repeats, sentencepiece_fst
 from lectern.llm.common import load, written
 from lectern.llm.queries import TOKENIZERS
 
-#: No stage after the first two can be told in SQL; the stages are tested against brute force instead.
+#: No stage after the first two can be told in SQL; README.md says how far each stage is tested instead.
 ORACLE_SQL = None
 
 
