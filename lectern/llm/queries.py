@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_count, chat, langid, minhash, mixing, quality, repeats, sentencepiece_fst, sharding, topk
+from lectern.llm import (ball_codes, bpe_count, chat, langid, minhash, mixing, quality, repeats, sentencepiece_fst,
+                         sharding, topk)
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -45,8 +46,29 @@ QUERIES = {
     "op8_chat_format": chat.op8,
     "op9_soft_mixing": mixing.op9,
     "op10_va_top_k": op10,
+    "op11_ball_codes": ball_codes.op11,
 }
 
+
+
+def _ball_rounds() -> str:
+    """Three assignments with two renewals of the codebooks between them, as common table expressions."""
+    out = ""
+    for t in (1, 2, 3):
+        out += f""",
+a{t} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x,
+         min([list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), i]) AS m
+  FROM x JOIN b{t} USING (p) GROUP BY vec_id, p)"""
+        if t < 3:
+            out += f""",
+n{t} AS (
+  SELECT p, i, list(c ORDER BY j) AS c
+  FROM (SELECT p, m[2] AS i, j, floor(sum(x[j]) / count(*)) AS c FROM a{t}, range(1, len(x) + 1) g(j) GROUP BY ALL) GROUP BY p, i),
+b{t + 1} AS MATERIALIZED (SELECT p, i, coalesce(n{t}.c, b{t}.c) AS c FROM b{t} LEFT JOIN n{t} USING (p, i))"""
+    return out
+
+
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 SQL: dict[str, str] = {
@@ -102,4 +124,17 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op11_ball_codes": f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS MATERIALIZED (SELECT vec_id, p, list_slice(e, p * len(e) // 16 + 1, (p + 1) * len(e) // 16) AS x FROM v, range(0, 16) g(p)),
+b1 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS DOUBLE) AS i, x AS c FROM x QUALIFY i < 64){_ball_rounds()},
+r AS (SELECT vec_id, string_agg(printf('%02x', CAST(m[2] AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error
+      FROM a3 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: CAST(z AS BIGINT)), ','), ',' ORDER BY p, i)) FROM b3)
+         AS codebooks_sha256
+FROM r JOIN v USING (vec_id)""",
 }
