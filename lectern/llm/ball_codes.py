@@ -26,11 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import discard, load, written
+from lectern.llm.common import discard, join_counted, load, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 PAIRS = 1 << 18           # (part, entry) distances computed at a time
-HOT_SHARE = 1000          # a label with more than 1/HOT_SHARE of the rows is joined by broadcast
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -231,16 +230,9 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
 
 def label_totals(codes: DataFrame) -> DataFrame:
-    """``codes`` with label_error, the error summed over the rows of an equal label (nulls together). Labels
-    with more than 1/HOT_SHARE of the rows, at most HOT_SHARE of them, are joined by broadcast, the others by
-    a shuffle in which no label is large."""
-    totals = written(codes.groupBy("label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_n")), "labels")
-    n = totals.agg(F.sum("_n")).first()[0] or 0
-    hot = totals.where(F.col("_n") * HOT_SHARE > n).select(F.col("label").alias("_l"), F.col("label_error").alias("_hot"))
-    cold = totals.where(F.col("_n") * HOT_SHARE <= n).select(F.col("label").alias("_l"), "label_error")
-    seen = codes.join(F.broadcast(hot), F.col("label").eqNullSafe(F.col("_l")), "left").drop("_l")
-    return (seen.where("_hot IS NOT NULL").withColumnRenamed("_hot", "label_error")
-            .unionByName(seen.where("_hot IS NULL").drop("_hot").join(cold, F.col("label").eqNullSafe(F.col("_l"))).drop("_l")))
+    """``codes`` with label_error, the error summed over the rows of an equal label (nulls together)."""
+    totals = written(codes.groupBy("label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n")), "labels")
+    return join_counted(codes, totals, ["label"], "n")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

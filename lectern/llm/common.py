@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.session import scratch_path
 from lectern.sources.tables import load  # noqa: F401  (re-exported for the queries)
@@ -50,6 +51,24 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """Inner join on ``keys`` (nulls equal) with a table that has each key once and, in column ``n``, about how
+    many rows of ``left`` carry it. Keys with more than 1/``share`` of the rows, fewer than ``share`` of them, are
+    joined by broadcast; the others by a shuffle in which no key is large."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    more = [c for c in right.columns if c not in (*keys, n)]
+
+    def part(cond) -> DataFrame:
+        return right.where(cond).select(*[F.col(k).alias(f"_right_{k}") for k in keys], *more)
+
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    own = [f"_right_{k}" for k in keys]
+    hot = part(F.col(n) * share > total)
+    cold = part(F.col(n) * share <= total)
+    return (left.join(F.broadcast(hot), on).drop(*own)
+            .unionByName(left.join(F.broadcast(hot.select(*own)), on, "left_anti").join(cold, on).drop(*own)))
+
+
 def iter_bytes(col: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of each value of a string column (None for null), as zero-copy memoryviews."""
     if isinstance(col, pa.ChunkedArray):

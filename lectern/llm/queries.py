@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.llm import (ball_codes, bpe_count, chat, langid, minhash, mixing, quality, repeats, sentencepiece_fst,
-                         sharding, topk)
+                         sharding, topk, vector_dedup)
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,7 @@ QUERIES = {
     "op9_soft_mixing": mixing.op9,
     "op10_va_top_k": op10,
     "op11_ball_codes": ball_codes.op11,
+    "op12_subspace_dedup": vector_dedup.op12,
 }
 
 
@@ -137,4 +138,16 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
        (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: CAST(z AS BIGINT)), ','), ',' ORDER BY p, i)) FROM b3)
          AS codebooks_sha256
 FROM r JOIN v USING (vec_id)""",
+    "op12_subspace_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(root, seen) AS (SELECT a, a FROM link UNION SELECT r.root, l.b FROM reach r JOIN link l ON r.seen = l.a),
+low AS (SELECT root, min(seen) AS m FROM reach GROUP BY root),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON root = vec_id""",
 }
