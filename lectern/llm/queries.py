@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.llm import (ball_codes, bpe_count, chat, langid, minhash, mixing, quality, repeats, sentencepiece_fst,
-                         sharding, topk, vector_dedup)
+                         sharding, spelling, topk, vector_dedup)
 from lectern.llm.common import load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +48,7 @@ QUERIES = {
     "op10_va_top_k": op10,
     "op11_ball_codes": ball_codes.op11,
     "op12_subspace_dedup": vector_dedup.op12,
+    "op13_spelling_trie": spelling.op13,
 }
 
 
@@ -150,4 +151,31 @@ low AS (SELECT root, min(seen) AS m FROM reach GROUP BY root),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON root = vec_id""",
+    "op13_spelling_trie": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(0, 256) g(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+               CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + ord(x) // 64 AS BIGINT), CAST(128 + ord(x) % 64 AS BIGINT)] END))),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS k FROM words, range(1, length(word) + 1) g(i)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (i, k) WHERE a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.k = w.word
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.k = w.word),
+best AS (SELECT word, count(*) AS n_near, min([-m, 0]) [1] AS low FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -low >= 10 * w.n THEN -low END AS form_n,
+             (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = -low AND -low >= 10 * w.n) AS form
+      FROM words w LEFT JOIN best USING (word)),
+walk(word, at, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN f ON f.word = k.at WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT max_by(at, step) FROM walk k WHERE k.word = f.word) AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f""",
 }
