@@ -172,10 +172,10 @@ near AS MATERIALIZED (
   SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (i, k) WHERE a.word <> b.word
   UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.k = w.word
   UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.k = w.word),
-best AS (SELECT word, count(*) AS n_near, min([-m, 0]) [1] AS low FROM near GROUP BY word),
+best AS (SELECT word, count(*) AS n_near, min(-m) AS low FROM near GROUP BY word),
 f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -low >= 10 * w.n THEN -low END AS form_n,
              (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = -low AND -low >= 10 * w.n) AS form
       FROM words w LEFT JOIN best USING (word)),
-walk(word, at, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN f ON f.word = k.at WHERE f.form IS NOT NULL)
-SELECT word, form, (SELECT max_by(at, step) FROM walk k WHERE k.word = f.word) AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f""",
+walk(word, here, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN f ON f.word = k.here WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT max_by(here, step) FROM walk k WHERE k.word = f.word) AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f""",
 }

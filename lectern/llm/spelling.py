@@ -42,9 +42,9 @@ def variant_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the length counts (a null id is the empty string). Null texts have no words. Counts are combined before the
     shuffle, so a word that fills the corpus costs a row a task.
     """
-    run = F.translate(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"[{LETTERS}]{{{min_length},}}"), F.lit(0))),
-                      "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), run.alias("run"))
+    found = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"[{LETTERS}]{{{min_length},}}"), F.lit(0)))
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), found.alias("run"))
+    runs = runs.withColumn("run", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     h = runs.select("run", F.crc32(F.concat_ws(":", "id", "run").cast("binary")).alias("h"))
     at = F.pmod("h", F.length("run")).cast("int")
     word = F.when(F.pmod("h", F.lit(drop)) == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
