@@ -9,7 +9,8 @@ reaches are verified.
 The first ``TOP`` levels are the partitioning: a word lives in the subtree of its first counts and asks the
 subtrees that the budgets reach (at most 1 + 2 * TOP + TOP * (TOP - 1)), each unordered pair of subtrees from one side. Subtrees are
 cut into chunks of about HOME words and their askers into groups of about ASK, so that a crowded subtree is many
-tasks; each task builds the trie of its chunk's lower levels and searches it for every asker. Found pairs are
+tasks; each task builds the trie of its chunk's lower levels, and its
+askers search it together. Found pairs are
 rows; a word meets at most a few hundred others, whatever the size of the vocabulary.
 """
 
@@ -78,35 +79,67 @@ def one_edit(a: str, b: str) -> bool:
     return short[i + (len(short) == len(long)):] == long[i + 1:]
 
 
-class Trie:
-    """Words by successive group counts, held as nested dictionaries; a leaf is a list of (word, n)."""
+def ends(words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last ``k`` (at most 3) code points of each word, packed into a number."""
+    out = []
+    for part in ([w[:k] for w in words], [w[len(w) - k:] for w in words]):
+        flat = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(words), k)
+        out.append(sum((flat[:, i] << (21 * i) for i in range(k)), np.zeros(len(words), np.int64)))
+    return out[0], out[1]
 
-    def __init__(self) -> None:
-        self.root: dict = {}
 
-    def add(self, vector: list[int], word: str, n: int) -> None:
-        node = self.root
-        for c in vector[:-1]:
-            node = node.setdefault(c, {})
-        node.setdefault(vector[-1], []).append((word, n))
+class Trie:
+    """Words by successive group counts, held as nested dictionaries; a leaf is a list of word numbers."""
 
-    def search(self, vector: list[int], surplus: int, deficit: int) -> Iterator[list]:
-        """Leaves whose counts exceed ``vector`` by at most ``surplus`` and fall short by at most ``deficit``, in sum."""
-        last = len(vector) - 1
-        stack = [(self.root, 0, surplus, deficit)]
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.root: dict = {}
+        self.last = vectors.shape[1] - 1
+        for i, vector in enumerate(vectors.tolist()):
+            node = self.root
+            for c in vector[:-1]:
+                node = node.setdefault(c, {})
+            node.setdefault(vector[-1], []).append(i)
+
+    def search(self, vectors: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """(askers, words of a leaf) for each leaf whose counts exceed an asker's vector by at most ``surplus`` and
+        fall short of it by at most ``deficit``, in sum. All askers go down together, depth first; each is left
+        behind at the first edge beyond its budget."""
+        stack = [(self.root, 0, np.arange(len(vectors)), surplus, deficit)]
         while stack:
-            node, level, more, less = stack.pop()
-            c = vector[level]
-            for step in (0, 1, -1):
-                if (step == 1 and not more) or (step == -1 and not less):
-                    continue
-                child = node.get(c + step)
-                if child is None:
+            node, level, who, more, less = stack.pop()
+            count = vectors[who, level]
+            for c, child in node.items():
+                step = c - count
+                go = np.flatnonzero((step <= more) & (-step <= less))
+                if not len(go):
                     continue
-                if level == last:
-                    yield child
+                if level == self.last:
+                    yield who[go], child
                 else:
-                    stack.append((child, level + 1, more - (step == 1), less - (step == -1)))
+                    spent = step[go]
+                    stack.append((child, level + 1, who[go], more[go] - np.maximum(spent, 0), less[go] - np.maximum(-spent, 0)))
+
+
+def near_words(words: list[str], homes: int, vectors: np.ndarray, surplus: np.ndarray, deficit: np.ndarray,
+               own: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (asker, home), as word numbers, that are one edit apart. The first ``homes`` words are at home; with
+    ``own`` they ask too, for words that come after them.
+
+    Of the words of a leaf only those with the asker's first or last code points are verified: half of the
+    shorter word on one side of an edit is left as it was.
+    """
+    k = min(3, min(map(len, words)) // 2)
+    first, last = ends(words, k)
+    trie = Trie(vectors[:homes])
+    start = 0 if own else homes
+    for who, leaf in trie.search(vectors[start:], surplus[start:], deficit[start:]):
+        who, leaf = who + start, np.array(leaf)
+        for at in range(0, len(who), max(1, (1 << 20) // len(leaf))):
+            some = who[at:at + max(1, (1 << 20) // len(leaf))]
+            i, j = np.nonzero((first[some][:, None] == first[leaf]) | (last[some][:, None] == last[leaf]))
+            for x, y in zip(some[i].tolist(), leaf[j].tolist()):
+                if (x >= homes or words[y] > words[x]) and one_edit(words[x], words[y]):
+                    yield x, y
 
 
 def reachable(top: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int, int]]:
@@ -159,43 +192,48 @@ def _place(groups: int, top: int):
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tree, chunk, grp, kind, word), words at home first: near pairs, once each."""
-    key, trie, homes = None, Trie(), []
-    pairs: list[tuple] = []
-
-    def found(word: str, n: int, vec: list[int], more: int, less: int, after: bool) -> None:
-        for leaf in trie.search(vec, more, less):
-            for other, m in leaf:
-                if (not after or other > word) and one_edit(word, other):
-                    pairs.append((word, n, other, m))
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*pairs)) if pairs else [[]] * 4
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
-                                           pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["a", "an", "b", "bn"])
-
-    def settle() -> None:
-        for word, n, vec, first in homes:
-            if first:
-                found(word, n, vec, 1, 1, True)
-        homes.clear()
-
-    for b in batches:
-        for word, n, vec, tree, chunk, grp, kind, more, less in zip(*(c.to_pylist() for c in b.columns)):
-            if (tree, chunk, grp) != key:
-                settle()
-                key, trie = (tree, chunk, grp), Trie()
-            if kind == 0:
-                trie.add(vec, word, n)
-                homes.append((word, n, vec, grp == 0))
-            else:
-                settle()
-                found(word, n, vec, more, less, False)
-            if len(pairs) >= 10_000:
-                yield flush()
-    settle()
-    yield flush()
+    """Rows sorted by (tree, chunk, grp, kind), words at home first: near pairs, once each."""
+    unit, key = [], None
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if not unit:
+            return
+        words = [w for part in unit for w in part[0]]
+        n, vec, kind, more, less = (np.concatenate([part[i] for part in unit]) for i in range(1, 6))
+        unit.clear()
+        a, b = [], []
+
+        def found() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([words[i] for i in a], pa.string()), pa.array(n[a], pa.int64()),
+                                              pa.array([words[i] for i in b], pa.string()), pa.array(n[b], pa.int64())],
+                                             names=["a", "an", "b", "bn"])
+            a.clear(), b.clear()
+            return out
+
+        for x, y in near_words(words, int((kind == 0).sum()), vec, more, less, key[2] == 0):
+            a.append(x)
+            b.append(y)
+            if len(a) >= 10_000:
+                yield found()
+        if a:
+            yield found()
+
+    for batch in batches:
+        words, trees = batch.column("word").to_pylist(), batch.column("tree").to_pylist()
+        n, chunk, grp, kind, more, less = (batch.column(c).to_numpy() for c in ("n", "chunk", "grp", "kind", "more", "less"))
+        vec = batch.column("vec").flatten().to_numpy().reshape(len(words), -1)
+        keys = list(zip(trees, chunk.tolist(), grp.tolist()))
+        at = 0
+        while at < len(keys):
+            if keys[at] != key:
+                yield from finish()
+                key = keys[at]
+            to = at + 1
+            while to < len(keys) and keys[to] == key:
+                to += 1
+            unit.append((words[at:to], n[at:to], vec[at:to], kind[at:to], more[at:to], less[at:to]))
+            at = to
+    yield from finish()
 
 
 def near_pairs(words: DataFrame, groups: int = GROUPS, top: int = TOP) -> DataFrame:

@@ -92,16 +92,21 @@ def test_forms_are_followed_to_the_last(spark):
 
 def test_search_visits_little_and_loses_nothing():
     rng = random.Random(8)
-    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(7, 10))) for _ in range(3000)})
-    words += [w[:3] + w[4:] for w in words[:300] if len(w) > 8 and w[:3] + w[4:] not in words]
-    trie = spelling.Trie()
-    vec = spelling.frequency_vectors(words).tolist()
-    for w, v in zip(words, vec):
-        trie.add(v, w, 1)
-    for w, v in zip(words[::37], vec[::37]):
-        met = [x for leaf in trie.search(v, 1, 1) for x, _ in leaf]
-        assert {x for x in words if spelling.one_edit(w, x)} <= set(met) and len(met) == len(set(met))
-        assert len(met) < len(words) // 4
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(5, 8))) for _ in range(900)})
+    words += [w[:3] + w[4:] for w in words[:300] if len(w) > 5 and w[:3] + w[4:] not in words]
+    vec = spelling.frequency_vectors(words)
+    trie = spelling.Trie(vec)
+    asks = list(range(0, len(words), 37))
+    one = np.ones(len(asks), np.int64)
+    met = {i: [] for i in asks}
+    for who, leaf in trie.search(vec[asks], one, one):
+        for i in who.tolist():
+            met[asks[i]] += [words[j] for j in leaf]
+    for i in asks:
+        assert {x for x in words if spelling.one_edit(words[i], x)} <= set(met[i]) and len(met[i]) == len(set(met[i]))
+        assert len(met[i]) < len(words) // 4
+    pairs = {(words[x], words[y]) for x, y in spelling.near_words(words, len(words), vec, *[np.ones(len(words), np.int64)] * 2, True)}
+    assert pairs == {(a, b) for a in words for b in words if a < b and spelling.one_edit(a, b)}
 
 
 def test_reachable_subtrees_cover_each_pair_from_one_side():
