@@ -74,10 +74,3 @@ def absolutize(href: Column, base_url: str) -> Column:
             .when(href.startswith("//"), F.concat(F.lit("https:"), href))
             .when(href.startswith("/"), F.concat(origin, href))
             .otherwise(F.concat(F.lit(base_url), href)))
-
-
-def unescape(c: Column) -> Column:
-    """Decode the basic HTML character references (``&amp;`` last)."""
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c

@@ -1,56 +1,68 @@
 """Link discovery over HTML pages and the manifest.
 
-No HTML library runs per row: tags are found with ``regexp_extract_all`` and
-exploded, so the work is a narrow map over the page table. Supported HTML
-subset: double-quoted attributes, anchors closed by ``</a>``; text is the
-anchor's inner text with tags removed, basic entities decoded, stripped.
+Pages go once through the tokenizer of ``functions.html``, in Arrow batches (a narrow map); everything after
+the links' raw attributes is column expressions. A link's text is that of the text nodes inside it, each
+stripped, joined.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import links as L
-from lectern.functions.text import safe_name, strip
+from lectern.functions.html import page_items
+from lectern.functions.text import safe_name
 
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
-IFRAME = r"(?is)<iframe\s[^>]*>"
-SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
 DRIVE_HOST = r"drive\.google\.com"
 SCRIPT_URL = r"https?://drive\.google\.com/[^\s\"'<>]+"
 
 
-def _attr(tag, name: str):
-    pat = r'(?is)^<[a-z]+\s[^>]*?\b' + name + r'\s*=\s*"([^"]*)"'
-    return F.when(tag.rlike(pat), L.unescape(F.regexp_extract(tag, pat, 1)))
+def _items(pages: DataFrame, keep: list[str], kinds: str = "afs") -> DataFrame:
+    """One row per anchor (``a``), iframe (``f``) and URL in a script (``s``) of every page:
+    ``page_id, *keep, kind, pos (1-based within the kind), link, text, data_file``."""
+    rows = pages.where(F.col("html").isNotNull()).select("page_id", *keep, "html")
+    found = [T.StructField("kind", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("link", T.StringType()),
+             T.StructField("text", T.StringType()), T.StructField("data_file", T.StringType())]
+    schema = T.StructType([*rows.select("page_id", *keep).schema.fields, *found])
+    url = re.compile(SCRIPT_URL)
+
+    def items(page: str) -> Iterator[tuple]:
+        in_scripts = 0
+        for item in page_items(page):
+            if item[0] not in kinds:
+                continue
+            if item[0] != "s":
+                yield item
+                continue
+            for m in url.finditer(item[2]):
+                in_scripts += 1
+                yield "s", in_scripts, m[0], None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, page in enumerate(b.column("html")):
+                for item in items(page.as_py()):
+                    at.append(i)
+                    out.append(item)
+                if len(out) > 20_000 or (out and i + 1 == b.num_rows):
+                    take = pa.array(at, pa.int32())
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("page_id", *keep)] + cols, names=schema.names)
+                    at, out = [], []
+
+    return rows.mapInArrow(run, schema)
 
 
 def anchors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every ``<a>`` of every page: ``page_id, *keep, pos (1-based), href, text, data_file``."""
-    a = pages.select("page_id", *keep,
-                     F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "tag"))
-    inner = F.regexp_extract(F.col("tag"), r"(?is)^<a\s[^>]*>(.*)</a>$", 1)
-    return a.select("page_id", *keep, (F.col("pos") + 1).cast("int").alias("pos"),
-                    _attr(F.col("tag"), "href").alias("href"),
-                    strip(L.unescape(F.regexp_replace(inner, r"<[^>]*>", ""))).alias("text"),
-                    _attr(F.col("tag"), "data-file").alias("data_file"))
-
-
-def _items(pages: DataFrame) -> DataFrame:
-    """One row per anchor, iframe and script URL of a page, from ONE projection
-    of the page (three tag lists tagged with kind and 1-based position)."""
-    script_body = F.array_join(F.regexp_extract_all("html", F.lit(SCRIPT), 1), "\n")
-    lists = [("a", F.regexp_extract_all("html", F.lit(ANCHOR), 0)),
-             ("f", F.regexp_extract_all("html", F.lit(IFRAME), 0)),
-             ("s", F.regexp_extract_all(script_body, F.lit(SCRIPT_URL), 0))]
-    def tagger(kind):
-        return lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("int").alias("pos"), x.alias("tag"))
-
-    items = F.concat(*[F.transform(arr, tagger(k)) for k, arr in lists])
-    keep = [c for c in ("subject", "semester", "url") if c in pages.columns]
-    return pages.select("page_id", *keep, F.explode(items).alias("t")).select(
-        "page_id", *keep, "t.kind", "t.pos", "t.tag")
+    return _items(pages, list(keep), "a").select("page_id", *keep, "pos", F.col("link").alias("href"), "text", "data_file")
 
 
 def _candidate(strategy: int, name, rtype, url, data_file):
@@ -62,28 +74,20 @@ def _candidate(strategy: int, name, rtype, url, data_file):
 
 def _resources(pages: DataFrame) -> DataFrame:
     """P15 strategies 1-4 as candidate rows (before J5)."""
-    it = _items(pages)
-    tag = F.col("tag")
-    is_a, is_f, is_s = F.col("kind") == "a", F.col("kind") == "f", F.col("kind") == "s"
-    href = _attr(tag, "href")
-    text = strip(L.unescape(F.regexp_replace(F.regexp_extract(tag, r"(?is)^<a\s[^>]*>(.*)</a>$", 1), r"<[^>]*>", "")))
-    name = F.coalesce(F.nullif(text, F.lit("")), F.lit("Resource"))
-    data_file = _attr(tag, "data-file")
-    src = _attr(tag, "src")
-    none = F.lit(None).cast("string")
-    c1 = F.when(is_a & href.isNotNull() & href.rlike(DRIVE_HOST),
-                _candidate(1, name, L.resource_class(name), href, data_file))
-    c2 = F.when(is_a & href.isNotNull() & L.is_viewer_link(href),
-                _candidate(2, name, L.resource_class(name), L.viewer_target(href), data_file))
-    kind3 = L.drive_id(src)["drive_type"]
-    c3 = F.when(is_f & src.isNotNull() & src.contains("drive.google.com"),
-                _candidate(3, F.concat(F.lit("Embedded "), F.coalesce(kind3, F.lit("resource"))), F.lit("other"),
-                           src, none))
-    kind4 = L.drive_id(tag)["drive_type"]
-    c4 = F.when(is_s & L.drive_id(tag)["drive_id"].isNotNull(),
-                _candidate(4, F.concat(F.lit("Script-embedded "), F.coalesce(kind4, F.lit("resource"))),
-                           F.lit("other"), tag, none))
     keep = [c for c in ("subject", "semester", "url") if c in pages.columns]
+    it = _items(pages, keep)
+    link, data_file, none = F.col("link"), F.col("data_file"), F.lit(None).cast("string")
+    is_a, is_f, is_s = F.col("kind") == "a", F.col("kind") == "f", F.col("kind") == "s"
+    name = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("Resource"))
+    found = L.drive_id(link)
+    c1 = F.when(is_a & link.rlike(DRIVE_HOST), _candidate(1, name, L.resource_class(name), link, data_file))
+    c2 = F.when(is_a & L.is_viewer_link(link), _candidate(2, name, L.resource_class(name), L.viewer_target(link), data_file))
+    c3 = F.when(is_f & link.contains("drive.google.com"),
+                _candidate(3, F.concat(F.lit("Embedded "), F.coalesce(found["drive_type"], F.lit("resource"))), F.lit("other"),
+                           link, none))
+    c4 = F.when(is_s & found["drive_id"].isNotNull(),
+                _candidate(4, F.concat(F.lit("Script-embedded "), F.coalesce(found["drive_type"], F.lit("resource"))),
+                           F.lit("other"), link, none))
     cands = F.filter(F.array(c1, c2, c3, c4), lambda x: x.isNotNull())
     return (it.select("page_id", *keep, "pos", F.explode(cands).alias("r"))
             .select("page_id", *keep, "r.strategy", "pos", "r.name", "r.resource_type", "r.drive_url",

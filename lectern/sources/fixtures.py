@@ -146,11 +146,20 @@ def subject_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<script>window.__D={"f":["https://drive.google.com/file/d/S'), ps,
         F.lit('/view","https://drive.google.com/file/d/P'), ps,
         F.lit('/view","https://drive.google.com/file/d/S'), ps, F.lit('/view"]}</script>'))
+    drive = "https://drive.google.com/file/d/"
+    loose = F.concat(   # the other forms of attributes, comments, open anchors and character references
+        F.lit(f"<div><a class='x' href='{drive}R"), ps, F.lit("/view'>Single &eacute;t&#233; "), ps,
+        F.lit(f"</a><A HREF={drive}T"), ps, F.lit("/view>Unquoted <b>chapter</b> "), ps,
+        F.lit(f'</A><a title="a > b" href="{drive}U'), ps, F.lit('/view">Greater &gt; less</a>'),
+        F.lit(f'<!-- <a href="{drive}C'), ps, F.lit('/view">gone</a> -->'),
+        F.lit(f'<ul><li><a href="{drive}V'), ps, F.lit(f'/view">First open<li><a href="{drive}W'), ps,
+        F.lit(f'/view">Second open</ul>tail<a href = "{drive}X'), ps, F.lit('/view">Left <!-- note --> notes</div>'),
+        F.lit(f"<script>var s=\"<a href='{drive}Y"), ps, F.lit("/view'>\";</script>"))
     return pg.select(
         "page_id", "url",
         F.concat(F.lit("subject_"), (p % 10).cast("string")).alias("subject"),
         (p % 8 + 1).cast("int").alias("semester"),
-        F.concat(F.col("html"), extra).alias("html"))
+        F.concat(F.col("html"), extra, loose).alias("html"))
 
 
 # ---------------------------------------------------------------- dialog
