@@ -4,7 +4,7 @@ Both sides are packed into blocks of vectors (a binary matrix and its ids) per f
 and dimension, and written once to the shared checkpoint folder. A per-query metadata
 filter (F1) is part of the key, so it is applied by the join before any product: a query
 meets only blocks of its own semester and subject. Blocks meet in an equi-join on (key,
-dimension) with the query blocks salted over groups of corpus blocks; each task multiplies
+dimension), salted for the keys that hold several groups of corpus blocks; each task multiplies
 one pair of blocks in float64 and returns at most k ids a query. A window
 (``WindowGroupLimit``) merges them, and metadata and texts are joined back by id for the
 final rows only. Nothing of either side passes through the driver or is broadcast.
@@ -24,6 +24,7 @@ from lectern.params import DEFAULT, Params
 from lectern.session import materialise
 
 GROUP = 4                # corpus blocks that share one copy of a query block
+SMALL = 100_000          # keys with several groups whose sizes are broadcast, at most
 
 
 def invalid_vectors(rows: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -128,6 +129,25 @@ def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, na
     return run
 
 
+def _salted(stored: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: a key's corpus blocks are dealt over one salt per GROUP of them, and its query
+    blocks are copied to these salts only. A key whose blocks fit one group is not salted at all."""
+    sizes = stored.groupBy("key", "dim").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
+    sizes = materialise(sizes, "knn-sizes")
+    crowded = sizes.where("salts > 1")
+    if crowded.count() <= SMALL:            # checked; beyond it Spark picks the join
+        crowded = F.broadcast(crowded)
+
+    def salts(blocks: DataFrame) -> DataFrame:
+        return blocks.join(crowded, ["key", "dim"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    c = salts(stored).select("key", "dim", "ids", "data",
+                             F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.col("salts")).cast("int").alias("salt"))
+    q = salts(asked).select("key", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"),
+                            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return c, q
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEFAULT, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              corpus_id: str = "chunk_id", corpus_vec: str = "embedding",
@@ -169,11 +189,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     keys = F.array(*[forms[x] for x in sorted(kinds)]) if kinds else F.array(F.lit(""))
     stored = materialise(_pack(corpus.select(F.explode(keys).alias("key"), F.col(corpus_id).alias("id"),
                                              F.col(corpus_vec).alias("vec")), ctype, *limits), "knn-corpus")
-    groups = max(1, -(-stored.count() // GROUP))
-    c = stored.select("key", "dim", "ids", "data",
-                      F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("salt"))
-    q = asked.select("key", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"),
-                     F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"))
+    c, q = _salted(stored, asked)
     pairs = c.join(q, ["key", "dim", "salt"]).select("dim", "ids", "data", "qids", "qdata")
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField(corpus_id, ctype),
                            T.StructField("similarity", T.DoubleType())])
