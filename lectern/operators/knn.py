@@ -12,11 +12,11 @@ final rows only. Nothing of either side passes through the driver or is broadcas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,23 +129,36 @@ def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, na
     return run
 
 
-def _salted(stored: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt: a key's corpus blocks are dealt over one salt per GROUP of them, and its query
-    blocks are copied to these salts only. A key whose blocks fit one group is not salted at all."""
-    sizes = stored.groupBy("key", "dim").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    sizes = materialise(sizes, "knn-sizes")
-    crowded = sizes.where("salts > 1")
+def salted(stored: DataFrame, asked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: the stored blocks of equal ``keys`` are dealt over one salt per GROUP of them, and
+    asked blocks are copied to the salts of their own keys only. Keys whose blocks fit one group are not salted."""
+    sizes = stored.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_salts"))
+    crowded = materialise(sizes.where("_salts > 1"), "knn-sizes")
     if crowded.count() <= SMALL:            # checked; beyond it Spark picks the join
         crowded = F.broadcast(crowded)
 
     def salts(blocks: DataFrame) -> DataFrame:
-        return blocks.join(crowded, ["key", "dim"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        return blocks.join(crowded, keys, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
 
-    c = salts(stored).select("key", "dim", "ids", "data",
-                             F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.col("salts")).cast("int").alias("salt"))
-    q = salts(asked).select("key", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"),
-                            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return c, q
+    return (salts(stored).withColumn("salt", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.col("_salts")).cast("int")).drop("_salts"),
+            salts(asked).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"))
+
+
+def query_keys(semester: Column | None, subject: Column | None) -> Column:
+    """The filter key of a query (F1): which filters it has, and their values."""
+    sem = F.coalesce(semester.cast("long"), F.lit(0)) if semester is not None else F.lit(0)
+    subj = F.coalesce(subject, F.lit("")) if subject is not None else F.lit("")
+    has_sem, has_subj = sem > 0, F.trim(subj) != ""
+    return F.concat_ws("\x1f", F.concat(F.when(has_sem, "m").otherwise(""), F.when(has_subj, "s").otherwise("")),
+                       F.when(has_sem, sem.cast("string")), F.when(has_subj, subj))
+
+
+def corpus_keys(semester: Column, subject: Column, kinds: Iterable[str] = ("", "m", "s", "ms")) -> Column:
+    """The filter keys a corpus row answers to, of the given kinds."""
+    sem = semester.cast("string")
+    forms = {"": F.lit(""), "m": F.concat_ws("\x1f", F.lit("m"), sem), "s": F.concat_ws("\x1f", F.lit("s"), subject),
+             "ms": F.concat_ws("\x1f", F.lit("ms"), sem, subject)}
+    return F.array(*[forms[x] for x in sorted(kinds)])
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEFAULT, *,
@@ -172,24 +185,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     carry = [c for c in (carry or []) if c != corpus_id]
     qtype, ctype = queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType
 
-    # the filter key: which filters a query has, and their values
-    sem = F.coalesce(F.col(query_semester).cast("long"), F.lit(0)) if query_semester else F.lit(0)
-    subj = F.coalesce(F.col(query_subject), F.lit("")) if query_subject else F.lit("")
-    has_sem, has_subj = sem > 0, F.trim(subj) != ""
-    key = F.concat_ws("\x1f", F.concat(F.when(has_sem, "m").otherwise(""), F.when(has_subj, "s").otherwise("")),
-                      F.when(has_sem, sem.cast("string")), F.when(has_subj, subj))
+    key = query_keys(F.col(query_semester) if query_semester else None, F.col(query_subject) if query_subject else None)
     limits = (params.knn_query_block, params.knn_max_block_bytes)
     asked = materialise(_pack(queries.select(key.alias("key"), F.col(query_id).alias("id"), F.col(query_vec).alias("vec")),
                               qtype, *limits), "knn-queries")
     kinds = {r.k for r in asked.select(F.substring_index("key", "\x1f", 1).alias("k")).distinct().collect()}  # 4 at most
 
-    csem, csubj = F.col(corpus_semester).cast("string"), F.col(corpus_subject)
-    forms = {"": F.lit(""), "m": F.concat_ws("\x1f", F.lit("m"), csem), "s": F.concat_ws("\x1f", F.lit("s"), csubj),
-             "ms": F.concat_ws("\x1f", F.lit("ms"), csem, csubj)}
-    keys = F.array(*[forms[x] for x in sorted(kinds)]) if kinds else F.array(F.lit(""))
+    keys = corpus_keys(F.col(corpus_semester), F.col(corpus_subject), kinds) if kinds - {""} else F.array(F.lit(""))
     stored = materialise(_pack(corpus.select(F.explode(keys).alias("key"), F.col(corpus_id).alias("id"),
                                              F.col(corpus_vec).alias("vec")), ctype, *limits), "knn-corpus")
-    c, q = _salted(stored, asked)
+    c, q = salted(stored.drop("n"), asked.select("key", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata")), ["key", "dim"])
     pairs = c.join(q, ["key", "dim", "salt"]).select("dim", "ids", "data", "qids", "qdata")
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField(corpus_id, ctype),
                            T.StructField("similarity", T.DoubleType())])

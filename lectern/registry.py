@@ -5,16 +5,17 @@ of them, see ``lectern.sources.fixtures``); column names match ``lectern.oracle`
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, retrieval
-from lectern.operators.knn import knn_join
+from lectern.operators import chunking, retrieval, vector_index
+from lectern.operators.knn import corpus_keys, knn_join, query_keys
 from lectern.params import DEFAULT, Params
-from lectern.session import materialise
+from lectern.session import materialise, scratch_path
 from lectern.sources import fixtures as fx
 from lectern.sources.tables import load
 
@@ -62,6 +63,22 @@ def q_knn_filtered(spark, d):
                                                 _score())
 
 
+def _indexed(spark, d, keys=None, key=None):
+    index = vector_index.build(fx.vectors(spark, d), scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), keys=keys)
+    hits, _ = vector_index.search(index, fx.vector_queries(spark, d), 8, key=key, exclude_self=True)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _score())
+
+
+@query("knn_index_topk")
+def q_knn_index_topk(spark, d):
+    return _indexed(spark, d)
+
+
+@query("knn_index_filtered")
+def q_knn_index_filtered(spark, d):
+    return _indexed(spark, d, corpus_keys(F.col("semester"), F.col("subject")), query_keys(F.col("q_semester"), F.col("q_subject")))
+
+
 @query("knn_threshold")
 def q_knn_threshold(spark, d):
     h = retrieval.threshold(_knn(spark, d, min_score=RETRIEVAL.threshold), RETRIEVAL)

@@ -74,7 +74,7 @@ def test_query_blocks_are_copied_within_their_own_key_only(spark):
     block = "key string, dim int, n int, ids array<long>, data binary"
     stored = spark.createDataFrame([("hot", 4, 1, [i], b"") for i in range(41)] + [(f"k{i}", 4, 1, [i], b"") for i in range(30)], block)
     asked = spark.createDataFrame([(k, 4, 1, [0], b"") for k in ["hot", "hot", "none", *[f"k{i}" for i in range(30)]]], block)
-    c, q = knn._salted(stored, asked)
+    c, q = knn.salted(stored, asked, ["key", "dim"])
     copies = {r.key: r.n for r in q.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert copies.pop("hot") == 2 * 11 and set(copies.values()) == {1}
     assert {r.salt for r in c.where("key <> 'hot'").collect()} == {0}
