@@ -17,46 +17,52 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "event_id long, key string, hit boolean, stored_at_us long, late boolean"
 STATE = "stored_us long"
 
 
-def _step(ttl_us: int, keep_ms: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(pdfs)                      # two numbers an event
+class TtlCache(StatefulProcessor):
+    """One key: the time of its stored answer, held as a value with an expiry of its own."""
+
+    def __init__(self, ttl_us: int, keep_ms: int | None) -> None:
+        self.ttl_us, self.keep_ms = ttl_us, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("stored", STATE, self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = list(rows)                      # two numbers an event
         ids = np.concatenate([p["event_id"].to_numpy(np.int64) for p in parts])
         t = np.concatenate([p["t_us"].to_numpy(np.int64) for p in parts])
         order = np.lexsort((ids, t))
         ids, t = ids[order], t[order]
-        anchor = state.get[0] if state.exists else None
+        held = self.stored.get()
+        anchor = None if held is None else held[0]
         late = np.zeros(len(t), bool) if anchor is None else t < anchor
         hit, stored = np.zeros(len(t), bool), t.copy()
         i = int(late.sum())
         while i < len(t):                       # from miss to miss
-            if anchor is None or t[i] >= anchor + ttl_us:
+            if anchor is None or t[i] >= anchor + self.ttl_us:
                 anchor = int(t[i])
                 stored[i] = anchor
                 i += 1
-            j = int(np.searchsorted(t, anchor + ttl_us, side="left"))
+            j = int(np.searchsorted(t, anchor + self.ttl_us, side="left"))
             hit[i:j] = True
             stored[i:j] = anchor
             i = max(i, j)
-        state.update((anchor,))
-        if keep_ms is not None:
-            state.setTimeoutDuration(keep_ms)
+        self.stored.update((anchor,))
         yield pd.DataFrame({"event_id": ids, "key": key[0], "hit": hit, "stored_at_us": stored, "late": late})
-    return fn
+
+    def close(self) -> None:
+        pass
 
 
 def cache_stream(requests: DataFrame, ttl_seconds: int, keep_seconds: int | None = None) -> DataFrame:
     """``requests(event_id, key, ts)`` stream -> ``event_id, key, hit, stored_at_us, late``. ``keep_seconds``
     (at least the TTL; None: for ever) is how long a silent key's state is held."""
     r = requests.select("event_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
-    return r.groupBy("key").applyInPandasWithState(
-        _step(int(ttl_seconds) * 1_000_000, None if keep_seconds is None else keep_seconds * 1000), OUT, STATE, "append",
-        GroupStateTimeout.NoTimeout if keep_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return r.groupBy("key").transformWithStateInPandas(
+        TtlCache(int(ttl_seconds) * 1_000_000, None if keep_seconds is None else keep_seconds * 1000), OUT, "Append",
+        "None" if keep_seconds is None else "ProcessingTime")
