@@ -31,10 +31,13 @@ def upsert_latest(store: DataFrame, updates: DataFrame, key: str, version: str =
 def replace_files(store: DataFrame, updates: DataFrame, file_key: str = "path", record_key: str = "record_id",
                   version: str = "version") -> DataFrame:
     """S7 with stale-id removal (T4): every record of a re-ingested file is replaced by that file's
-    newest records; other files keep theirs. Updates may hold several versions of a file."""
+    newest records; other files keep theirs. Updates may hold several versions of a file. Of rows with
+    equal version and record id the greatest by content counts, so that a retry keeps the same one."""
     last = updates.groupBy(file_key).agg(F.max(version).alias("_last"))
+    content = [f.name for f in updates.schema.fields if f.dataType.typeName() != "map"]
     kept = (updates.join(last, file_key).where(F.col(version) == F.col("_last")).drop("_last")
-            .dropDuplicates([record_key]))
+            .withColumn("_content", F.struct(*content)))
+    kept = newest(kept, record_key, "_content").drop("_content")
     return store.join(last, file_key, "left_anti").unionByName(kept, allowMissingColumns=True)
 
 

@@ -17,6 +17,7 @@ from lectern.operators.knn import corpus_keys, knn_join, query_keys
 from lectern.params import DEFAULT, Params
 from lectern.session import materialise, scratch_path
 from lectern.sources import fixtures as fx
+from lectern.sources.bucketed import BucketedStore
 from lectern.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,6 +481,28 @@ def q_upsert_latest(spark, d):
     return INC.replace_files(store, updates).select("record_id", "version", "content_md5")
 
 
+def _bucketed(spark, d):
+    """Snapshot A written, then snapshot B's changed files put in their place."""
+    a = _snapshot_files(spark, d, "A")
+    b = _snapshot_files(spark, d, "B")
+    updates = materialise(_records(INC.changed_files(b, a.select("path", "md5")), 2), "updates")
+    store = BucketedStore(spark, scratch_path(spark, f"bucketed-{uuid.uuid4().hex}"), updates.schema, "path", 64)
+    store.rebuild(_records(a, 1))
+    store.replace_files(updates)
+    return store
+
+
+@query("bucketed_upsert")
+def q_bucketed_upsert(spark, d):
+    return _bucketed(spark, d).read().select("record_id", "version", "content_md5")
+
+
+@query("store_count")
+def q_store_count(spark, d):
+    n = _bucketed(spark, d).count()
+    return spark.range(1).select(F.lit(n).cast("long").alias("n_records"))
+
+
 @query("rebuild_counts")
 def q_rebuild_counts(spark, d):
     kb_docs = KB.flatten_kb(fx.kb(spark, d)).select(F.lit(1).alias("is_kb"))
