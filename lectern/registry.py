@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import chunking, retrieval, vector_index
+from lectern.operators import chunking, numbering, retrieval, vector_index
 from lectern.operators.knn import corpus_keys, knn_join, query_keys
 from lectern.params import DEFAULT, Params
 from lectern.session import materialise, scratch_path
@@ -153,6 +154,28 @@ def q_token_windows(spark, d):
                     F.size(win).cast("long").alias("n_tokens"), T.detokenize(win).alias("content"))
 
 
+@query("token_windows_sql")
+def q_token_windows_sql(spark, d):
+    sql.register(spark)
+    el = _lines(spark, d).select("doc_id", F.col("ord").alias("element_no"), T.strip(F.col("text")).alias("text"))
+    el.createOrReplaceTempView("elements")
+    return spark.sql(f"""
+        SELECT doc_id, element_no, chunk_part, total_parts, n_tokens, content
+        FROM (SELECT * FROM elements WHERE size(split(text, '\\\\s+')) > {DEFAULT.max_chunk_tokens}) e,
+             LATERAL token_windows(e.text, {DEFAULT.chunk_size}, {DEFAULT.chunk_overlap})""")
+
+
+@query("knn_top10_sql")
+def q_knn_top10_sql(spark, d):
+    sql.register(spark)
+    knn_join(fx.vector_queries(spark, d), fx.vectors(spark, d), 16, RETRIEVAL, corpus_id="chunk_id").drop("rank") \
+        .createOrReplaceTempView("hits")
+    fx.vectors(spark, d).createOrReplaceTempView("chunks")
+    return spark.sql("""
+        SELECT b.query_id, b.rank, b.chunk_id, round(b.similarity, 4) AS score, c.subject, c.unit_name
+        FROM best_rows(TABLE(hits), 10) b JOIN chunks c ON c.chunk_id = b.chunk_id""")
+
+
 def _chunks(spark, d):
     return chunking.chunk_elements(_lines(spark, d), meta_cols=["doc_id"])
 
@@ -170,6 +193,14 @@ def q_chunk_text(spark, d):
                                     "n_tokens", "content")
 
 
+@query("global_chunk_ids")
+def q_global_chunk_ids(spark, d):
+    c = _chunks(spark, d).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_filename"), "doc_id",
+                                 F.col("chunk_no").cast("long").alias("chunk_no"), F.col("chunk_part").cast("long").alias("chunk_part"))
+    return numbering.global_chunk_ids(c, ["doc_id", "chunk_no", F.coalesce("chunk_part", F.lit(0))], slide="chunk_no") \
+        .select("chunk_index", "chunk_id", "doc_id", "chunk_no", "chunk_part")
+
+
 @query("slides_covered")
 def q_slides_covered(spark, d):
     c = _chunks(spark, d).where(F.col("chunk_part").isNull())
