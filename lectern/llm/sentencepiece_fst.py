@@ -69,9 +69,10 @@ def _fields(buf: bytes):
 class Transducer:
     """Compiled from the bytes of a SentencePiece model file (identity normalisation rules)."""
 
-    CACHE = 200_000
+    CACHE = 200_000              # segments, and pairs of neighbours, remembered between texts
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, cache: int = CACHE) -> None:
+        self.CACHE = cache
         self.pieces: list[str] = []
         self.types: list[int] = []
         self.scores: list[float] = []
@@ -326,13 +327,14 @@ class Transducer:
         return "".join(out)
 
 
-_compiled: dict[int, Transducer] = {}
+_compiled: dict[tuple[int, int], Transducer] = {}
+DIGEST_CACHE = 600_000       # for a job that does nothing beside it: about 200 MB a Python worker
 
 
-def _load(key: int, model) -> Transducer:
-    t = _compiled.get(key)
+def _load(key: int, model, cache: int = Transducer.CACHE) -> Transducer:
+    t = _compiled.get((key, cache))
     if t is None:
-        t = _compiled[key] = Transducer(model.value)
+        t = _compiled[key, cache] = Transducer(model.value, cache)
     return t
 
 
@@ -378,7 +380,7 @@ def token_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,round_trip:boolean>")
     def run(col: pa.Array) -> pa.Array:
-        t = _load(key, model)
+        t = _load(key, model, DIGEST_CACHE)
         n, sha, same = [], [], []
         for x in iter_text(col):
             ids = t.encode(x or "")
