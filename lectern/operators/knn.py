@@ -24,7 +24,6 @@ from lectern.params import DEFAULT, Params
 from lectern.session import materialise
 
 GROUP = 4                # corpus blocks that share one copy of a query block
-SMALL = 100_000          # keys with several groups whose sizes are broadcast, at most
 
 
 def invalid_vectors(rows: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -133,9 +132,7 @@ def salted(stored: DataFrame, asked: DataFrame, keys: list[str]) -> tuple[DataFr
     """Both sides with a salt: the stored blocks of equal ``keys`` are dealt over one salt per GROUP of them, and
     asked blocks are copied to the salts of their own keys only. Keys whose blocks fit one group are not salted."""
     sizes = stored.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_salts"))
-    crowded = materialise(sizes.where("_salts > 1"), "knn-sizes")
-    if crowded.count() <= SMALL:            # checked; beyond it Spark picks the join
-        crowded = F.broadcast(crowded)
+    crowded = materialise(sizes.where("_salts > 1"), "knn-sizes")       # written: Spark knows its size and picks the join
 
     def salts(blocks: DataFrame) -> DataFrame:
         return blocks.join(crowded, keys, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))

@@ -29,11 +29,7 @@ class BucketedStore:
 
     def _commit(self) -> dict[int, tuple[int, int]]:
         """Bucket -> (version, rows) of the newest complete commit; at most ``buckets`` rows."""
-        done = versions(self.spark, f"{self.base}/commits")
-        if not done:
-            return {}
-        rows = self.spark.read.schema(COMMIT).parquet(f"{self.base}/commits/v={done[-1]}").collect()
-        return {r.bucket: (r.version, r.n) for r in rows}
+        return {r.bucket: (r.version, r.n) for r in self.sizes().collect()}
 
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -46,6 +42,11 @@ class BucketedStore:
         """All rows; an empty frame before the first write."""
         return self._read(self._commit())
 
+    def sizes(self) -> DataFrame:
+        """(bucket, version, n) of the newest complete commit; no rows before the first write."""
+        done = versions(self.spark, f"{self.base}/commits")
+        return self.spark.read.schema(COMMIT).parquet(f"{self.base}/commits/v={done[-1]}") if done else self.spark.createDataFrame([], COMMIT)
+
     def count(self) -> int:
         """The number of rows, from the commit alone (0: retrieval refuses)."""
         return sum(n for _, n in self._commit().values())
