@@ -74,7 +74,7 @@ def signatures(text: Column, n_words: int) -> Column:
                 continue
             m = minhashes(s)
             k = sub_hashes(m).view(np.int64)
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
+            rows.append((len(s), _digest(s.tobytes()),
                          k[:SIDE], k[SIDE:], lanes(m).view(np.int64)))
         cols = list(zip(*rows)) or [()] * 5
         kinds = [pa.int64(), pa.binary()] + [pa.list_(pa.int64())] * 3
@@ -84,15 +84,23 @@ def signatures(text: Column, n_words: int) -> Column:
     return run.asNondeterministic()(text)
 
 
-def shingle_sets(text: Column, n_words: int) -> Column:
-    """The sorted distinct 64-bit shingle hashes of a text, as bytes."""
+def own_set(text: Column, digest: Column, n_words: int) -> Column:
+    """The sorted distinct 64-bit shingle hashes of a text, as bytes; null if the set has another digest (an id may
+    stand on several texts)."""
 
     @F.arrow_udf("binary")
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([words.shingles(np.frombuffer(raw, np.uint8), n_words).tobytes() if raw else b""
-                         for raw in iter_bytes(col)], pa.binary())
+    def run(col: pa.Array, digests: pa.Array) -> pa.Array:
+        out = []
+        for raw, want in zip(iter_bytes(col), iter_bytes(digests)):
+            s = words.shingles(np.frombuffer(raw, np.uint8), n_words).tobytes() if raw else b""
+            out.append(s if _digest(s) == want else None)
+        return pa.array(out, pa.binary())
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, digest)
+
+
+def _digest(shingle_set: bytes) -> bytes:
+    return hashlib.blake2b(shingle_set, digest_size=16).digest()
 
 
 def similar(x: Column, y: Column, percent: int) -> Column:
@@ -221,8 +229,8 @@ def _confirmed(docs, nodes, buckets, n_words, percent) -> DataFrame | None:
     busy = buckets.select("node").distinct().join(nodes.select("node", "first", "first_th", "digest"), "node")
     texts = docs.withColumn("th", text_hash(F.col("text"))) \
                 .join(busy, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th")))
-    raw = texts.select("node", "digest", shingle_sets(F.col("text"), n_words).alias("set"))
-    sets = written(_own_set(raw), "shingle-sets", batch_rows=1000)
+    own = texts.select("node", own_set(F.col("text"), F.col("digest"), n_words).alias("set"))
+    sets = written(own.where("set IS NOT NULL").dropDuplicates(["node"]), "shingle-sets", batch_rows=1000)
     info = nodes.select("node", "n", "sig", "a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -375,14 +383,3 @@ def _cross_bound(rows: DataFrame, sets: DataFrame) -> DataFrame:
               .mapInArrow(spread, "token long, node long, comp long"))
     cross = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     return tokens.join(cross, "token").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-
-
-def _own_set(raw: DataFrame) -> DataFrame:
-    """Rows whose set has the node's digest (an id may stand on several texts), one a node."""
-
-    @F.arrow_udf("binary")
-    def digest(col: pa.Array) -> pa.Array:
-        return pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in iter_bytes(col)], pa.binary())
-
-    return (raw.where(digest.asNondeterministic()(F.col("set")) == F.col("digest"))
-            .select("node", "set").dropDuplicates(["node"]))

@@ -29,7 +29,7 @@ from lectern.llm.induced_sort import repeated_positions
 
 DEPTH = 200
 GRAM = 50                    # bytes of a fingerprinted substring
-PIECE = 1 << 22              # bytes of a text fingerprinted at a time
+PIECE = 1 << 18              # bytes of a text fingerprinted at a time
 RUN = 4096                   # places of a run at most; longer (periodic) runs are cut
 SHARD_BYTES = 2 << 20        # bytes sorted by one task (about 100 bytes of memory a byte)
 HOT_PLACES = 50_000

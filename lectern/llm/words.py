@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,7 +26,7 @@ _inv = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 2 * len(_pow), 4096)
+        size = -(-n // 4096) * 4096
         f = np.full(size, _BASE, np.uint64)
         g = np.full(size, _BASE_INV, np.uint64)
         f[0] = g[0] = 1
