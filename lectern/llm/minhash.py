@@ -93,7 +93,7 @@ def own_set(text: Column, digest: Column, n_words: int) -> Column:
         out = []
         for raw, want in zip(iter_bytes(col), iter_bytes(digests)):
             s = words.shingles(np.frombuffer(raw, np.uint8), n_words).tobytes() if raw else b""
-            out.append(s if _digest(s) == want else None)
+            out.append(s if _digest(s) == bytes(want) else None)
         return pa.array(out, pa.binary())
 
     return run.asNondeterministic()(text, digest)
