@@ -19,6 +19,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -265,6 +266,12 @@ class Transducer:
                 out.append(self.unk)
         return tuple(out)
 
+    def forget(self) -> None:
+        """Drop what is remembered between texts. A Python worker outlives its task, so a job among others calls
+        this at the end of each task: the next job's memory is its own."""
+        self.agree.clear()
+        self.cache.clear()
+
     def encode(self, text: str) -> list[int]:
         s = self.normalise(text)
         path = self._path_bpe if self.kind == BPE else self._path_unigram
@@ -344,9 +351,13 @@ def encode(text: Column, model) -> Column:
     key = zlib.crc32(model.value)
 
     @F.arrow_udf("array<int>")
-    def run(col: pa.Array) -> pa.Array:
+    def run(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _load(key, model)
-        return pa.array([t.encode(x) if x else [] for x in iter_text(col)], pa.list_(pa.int32()))
+        try:
+            for col in cols:
+                yield pa.array([t.encode(x) if x else [] for x in iter_text(col)], pa.list_(pa.int32()))
+        finally:
+            t.forget()
 
     return run.asNondeterministic()(text)
 
