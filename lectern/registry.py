@@ -619,16 +619,20 @@ _OFFSETS = (0, 3_600, 172_800)      # every request comes again after an hour an
 
 @query("answer_replay")
 def q_answer_replay(spark, d):
-    """L4 over a log in which every request comes three times; conversations divisible by five meet an empty collection."""
+    """L4 over a log in which every request comes three times, and once more (``:empty``) to an empty collection."""
     from lectern.plans import replay
     store = materialise(EM.hashed_embedding(_chunk_store(spark, d), ["chunk_id"], "content"), "chunk-store")
-    r = _requests_with_history(spark, d).withColumn("off", F.explode(F.array(*[F.lit(x) for x in _OFFSETS])))
-    r = r.select(F.concat_ws(":", "conv_id", "turn", "off").alias("request_id"), "conv_id",
-                 F.timestamp_seconds(F.col("conv_id") * 600 + F.col("off")).alias("ts"),
-                 "query", "semester", "subject", "history")
+    requests = _requests_with_history(spark, d)
+
+    def log(rows, *end):
+        return rows.select(F.concat_ws(":", "conv_id", "turn", "off", *[F.lit(x) for x in end]).alias("request_id"),
+                           F.timestamp_seconds(F.col("conv_id") * 600 + F.col("off")).alias("ts"),
+                           "query", "semester", "subject", "history")
+
+    full = log(requests.withColumn("off", F.explode(F.array(*[F.lit(x) for x in _OFFSETS]))))
+    empty = log(requests.withColumn("off", F.lit(0)), "empty")
     embed = lambda x: EM.hashed_embedding(x, ["query_id"], "rewritten")
-    got = [replay.answer_requests(r.where(cond).drop("conv_id"), s, embed, RAG, normalize="after")
-           for cond, s in (("conv_id % 5 <> 0", store), ("conv_id % 5 = 0", store.limit(0)))]
+    got = [replay.answer_requests(r, s, embed, RAG, normalize="after") for r, s in ((full, store), (empty, store.limit(0)))]
     src = lambda x: F.concat_ws("~", *[x[c].cast("string") for c in (
         "slide_number", "subject", "unit_name", "unit_number", "semester", "source_filename", "citation")],
         F.format_number(x["similarity_score"], 4))
