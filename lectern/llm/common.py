@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.session import scratch_path
 from lectern.sources.tables import load  # noqa: F401  (re-exported for the queries)
@@ -39,6 +40,13 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
     return out
 
 
+def long_key(df: DataFrame, key: Column) -> Column:
+    """``key`` as BIGINT: integers as they are, other types through xxhash64; null gives 0."""
+    kind = df.select(key).schema[0].dataType
+    whole = isinstance(kind, T.IntegralType)
+    return F.coalesce(key.cast("long") if whole else F.when(key.isNotNull(), F.xxhash64(key)), F.lit(0).cast("long"))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path, fs = _hadoop_path(df.sparkSession, df._written_path)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import words
-from lectern.llm.common import iter_bytes, load, written
+from lectern.llm.common import iter_bytes, load, long_key, written
 from lectern.llm.induced_sort import repeated_positions
 
 DEPTH = 200
@@ -98,9 +98,10 @@ def runs(buf: np.ndarray, depth: int = DEPTH, gram: int = GRAM, hot: np.ndarray
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
-def key_columns(id_col: str, text_col: str) -> list[Column]:
-    """Identity of a document row: its id (null apart from every number) and a hash of its text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("did"),
+def key_columns(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Identity of a document row: its id (a hash of one that is no integer; null apart from every id) and a hash of
+    its text. Only equal texts can share a key, and these have equal spans."""
+    return [long_key(docs, F.col(id_col)).alias("did"),
             F.xxhash64(F.col(text_col), F.col(id_col).isNull()).alias("th")]
 
 
@@ -230,7 +231,7 @@ def _kept(raw, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, depth: int, gram: int, hot_places: int,
             shard_bytes: int, extra: list[Column]) -> DataFrame:
-    keyed = docs.select(*key_columns(id_col, text_col), F.col(text_col).alias("text"), *extra)
+    keyed = docs.select(*key_columns(docs, id_col, text_col), F.col(text_col).alias("text"), *extra)
     spans = repeated_spans(keyed.select("did", "th", "text"), depth, gram, hot_places, shard_bytes)
     return keyed.join(spans, ["did", "th"], "left")
 

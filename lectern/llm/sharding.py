@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import load, written
+from lectern.llm.common import load, long_key, written
 
 # Fixed value: multiplier of the generator, in 16-bit limbs.
 _MUL = 2862933555777941757
@@ -37,7 +37,7 @@ def _next_state(hi: Column, lo: Column) -> tuple[Column, Column]:
 
 def jump_shards(key: Column, shards: int) -> Column:
     """Struct (shard, grown_shard): the bucket of a BIGINT key among ``shards`` and ``shards + 1``.
-    Other key types go through xxhash64; a null key counts as 0."""
+    A null key counts as 0."""
     if shards < 1:
         raise ValueError("at least one shard")
     k = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
@@ -68,12 +68,13 @@ def jump_shards(key: Column, shards: int) -> Column:
 def assign_shards(df: DataFrame, key: Column, shards: int, shard_col: str = "shard",
                   grown_col: str = "grown_shard") -> DataFrame:
     """All rows and columns of ``df`` plus the two shard columns; a projection, no shuffle.
+    Integer keys count as they are, keys of other types through xxhash64, null keys as 0.
     Raises ValueError if ``df`` already has a column of either name."""
     clash = {shard_col, grown_col} & set(df.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     return (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
-                      jump_shards(key, shards).alias("__s"))
+                      jump_shards(long_key(df, key), shards).alias("__s"))
             .select("__row.*", F.col("__s.shard").alias(shard_col), F.col("__s.grown_shard").alias(grown_col)))
 
 

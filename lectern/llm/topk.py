@@ -24,16 +24,24 @@ BLOCK = 8192            # candidate vectors a block
 QUERY_BLOCK = 2048      # query vectors a block
 GROUP = 4               # candidate blocks that share one copy of a query block
 LEVELS = 64             # cells a component
+LARGEST = 1 << 62       # scaled components stay below
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v array<long>): floor(scale * x) of each component; vectors that are null, empty or hold a
-    null or non-finite component are left out, and so are rows with a null id."""
+    null or non-finite component are left out, and so are rows with a null id. A scaled component of
+    2**62 or more stops the job: scores could not be told in a long."""
     v = F.col(vec_col).cast("array<double>")
     good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+    def cell(x: Column) -> Column:
+        y = F.lit(float(scale)) * x
+        return F.when(F.abs(y) < float(LARGEST), F.floor(y)) \
+                .otherwise(F.raise_error(F.lit("a vector component is too large for exact scores"))).cast("long")
+
     return (vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False)))
             .select(F.col(id_col).cast("long").alias("id"),
-                    F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v")))
+                    F.transform(v, cell).alias("v")))
 
 
 def pack(rows: DataFrame, block: int) -> DataFrame:
@@ -90,8 +98,10 @@ class Approximation:
 def search(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int):
     """Exact best k of a candidate block for each query: arrays (query, vec, score), ties to the
     smaller id; a candidate with the query's own id takes no part."""
-    va = Approximation(c)
     big = max(int(np.abs(q).max()), 1) * max(int(np.abs(c).max()), 1) * q.shape[1]
+    if big >= 1 << 63:
+        raise OverflowError("vector components are too large: a score may not fit a long")
+    va = Approximation(c)
     kind = np.float64 if big < 1 << 52 else np.longdouble
     pos, neg = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
     low, high, exact = va.low.astype(kind), va.high.astype(kind), c.astype(kind)
@@ -132,7 +142,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
 
     ``is_query`` is a condition on the column ``id``. Only vectors of the query's dimension are
     candidates, and none with the query's own id; fewer than k rows give fewer results. Repeated rows
-    are candidates each; a repeated query id gives its list once. Scores must fit a long.
+    are candidates each; a repeated query id gives its list once. The job stops if the largest
+    components of a block pair allow a score beyond a long; no wrong score is returned.
     """
     rows = valid_vectors(vectors, id_col, vec_col, scale)
     cand = written(pack(rows, BLOCK), "va-candidates")

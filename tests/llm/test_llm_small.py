@@ -72,6 +72,20 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_ids_that_are_no_integers(spark):
+    text = "a passage of plain words that stands in two documents " * 8
+    docs = frame(spark, [text, "own words " + text, "one", None]).withColumn(
+        "doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    got = sharding.shard_documents(docs).collect()
+    assert sorted(r.doc_id for r in got) == ["d-0", "d-1", "d-2", "d-3"]
+    key = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    assert all((r.shard, r.grown_shard) == (jump(key[r.doc_id], 16), jump(key[r.doc_id], 17)) for r in got)
+    spans = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeat_digest(docs).collect()}
+    by_number = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeat_digest(
+        docs.withColumn("doc_id", F.substring("doc_id", 3, 9).cast("long"))).collect()}
+    assert spans == {f"d-{k}": v for k, v in by_number.items()} and spans["d-0"][1] == len(text)
+
+
 def test_slots_are_gapless_over_many_buckets(spark):
     rows = spark.range(5000).select(F.floor(F.col("id") / 3).alias("doc_id"), (F.col("id") % 4).cast("int").alias("shard"))
     got = sharding.number_slots(rows, rows_per_bucket=50).collect()
@@ -504,6 +518,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_refuses_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e18, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(df, F.col("id") % 20 == 0).collect()
+    with pytest.raises(OverflowError):
+        topk.search(np.array([9]), np.array([[1 << 40, 1]]), np.arange(2), np.array([[1 << 40, 1], [1, 1]]), 2)
+
+
 def test_top_k_with_values_beyond_double_precision():
     big = 1 << 29
     c = np.array([[big, 1], [big, 2], [big - 1, 3]], np.int64)
