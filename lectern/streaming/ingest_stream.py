@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators import incremental as INC
+from lectern.streaming.common import start
 
 STATE_SCHEMA = "path string, md5 string"
 BASE = -1                 # the batch number of a compacted store
@@ -134,7 +135,7 @@ def run_ingest(files_stream: DataFrame, base: str, to_records, record_schema: st
         _write(changed, base, batch_id, to_records)
         changed.unpersist()
 
-    q = (changed_stream(files_stream, known, order).writeStream.foreachBatch(run)
-         .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True).start())
+    q = start(changed_stream(files_stream, known, order).writeStream.foreachBatch(run)
+              .option("checkpointLocation", base + "/_checkpoint").trigger(availableNow=True), spark)
     q.awaitTermination()
     return live_records(spark, base, record_schema)
