@@ -4,10 +4,11 @@ Building: centres are fitted on a bounded random sample, every unit vector goes
 cell is stored once, in blocks sorted by the distance to the centre. A vector at distance d from the centre is at
 least ``|d(q, centre) - d|`` away from a query q, and a cell of radius r at least ``d(q, centre) - r``.
 
-Searching: a query first visits its nearest cells; its k-th distance there bounds the answer. Then it visits each
-other cell whose bound is not beyond that, and of the cell only the ring of distances that can matter. Nothing
-outside can be among the best k, so the result is that of the exact join. Queries travel to the cells, packed
-into blocks; cells stay as they are stored.
+Searching: a query first visits its nearest cells; its k-th distance there bounds the answer. Then it reads of each
+other cell only the ring of distances that can matter, none if the bound is beyond. Nothing outside can be among
+the best k, so the result is that of the exact join. For the second step packed queries and cells are dealt over a
+grid (``knn.grid``) and the bounds are taken where they meet, so a query is copied to a few parts of the index
+and not to each cell: vectors without clusters, of which hardly any cell can be left out, cost no more disk.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.knn import _best, salted
+from lectern.operators.knn import Nearest, _best, grid, salted, vectors_of
 from lectern.params import DEFAULT, Params
 from lectern.session import materialise
 
@@ -32,7 +33,8 @@ CELLS = 1024             # cells a dimension, at most
 PER_CELL = 16            # sampled vectors a cell, at least
 ROUNDS = 4               # rounds of moving the centres to the means of their sampled vectors
 FIRST = 2                # cells a query visits before its bound is known
-SLACK = 1e-9             # of the bounds, against rounding
+EXTRA = ("kth", *(f"first_{i}" for i in range(FIRST)))   # what packed queries carry to the second step
+SLACK = 1e-7             # of the bounds, against rounding (a distance comes from a root)
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,18 @@ def _matrix(vec: pa.ListArray, at: np.ndarray, offs: np.ndarray, flat: np.ndarra
     return flat[offs[at][:, None] + np.arange(dim)]
 
 
-def _unit_rows(col: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dim, rows, unit vectors) of the usable vectors of a column, by dimension."""
+def _width(rows: DataFrame, vec: str = "vec") -> type:
+    """Floats are kept in single precision, other numbers in double."""
+    return np.float32 if isinstance(rows.schema[vec].dataType.elementType, T.FloatType) else np.float64
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def _usable(col: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, rows, vectors) of the usable vectors of a column, by dimension."""
     flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
     offs = col.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     size = np.where(col.is_valid().to_numpy(zero_copy_only=False), np.diff(offs), 0)
@@ -57,8 +69,7 @@ def _unit_rows(col: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         at = np.flatnonzero(size == dim)
         m = _matrix(col, at, offs, flat, dim)
         fine = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
-        m = m[fine]
-        yield dim, at[fine], m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        yield dim, at[fine], m[fine]
 
 
 def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,7 +97,7 @@ def _centres(corpus: DataFrame) -> dict[int, np.ndarray]:
     for dim, n in sizes:
         most = max(PER_CELL, min(SAMPLE, SAMPLE_NUMBERS // dim))
         some = corpus.where(F.size(vec) == dim).sample(min(1.0, 0.9 * most / n), seed=5).select("vec").limit(most).toArrow()
-        parts = [m for _, _, m in _unit_rows(some.column("vec").combine_chunks())] if some.num_rows else []
+        parts = [_unit(m) for _, _, m in _usable(some.column("vec").combine_chunks())] if some.num_rows else []
         m = parts[0] if parts and len(parts[0]) else np.eye(1, dim)
         out[dim] = _fit(m, max(1, min(CELLS, math.isqrt(n), len(m) // PER_CELL)))
     return out
@@ -149,19 +160,19 @@ def build(corpus: DataFrame, path: str, *, id_col: str = "chunk_id", vec_col: st
     """
     rows = corpus.select((keys if keys is not None else F.array(F.lit(""))).alias("keys"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     centres = _centres(rows)
-    id_type = corpus.schema[id_col].dataType
+    id_type, width = corpus.schema[id_col].dataType, _width(rows)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, at, m in _unit_rows(b.column("vec")):
+            for dim, at, m in _usable(b.column("vec")):
                 for lo in range(0, len(at), 4096):
                     part, some = m[lo:lo + 4096], pa.array(at[lo:lo + 4096])
-                    gap = _gaps(part, centres[dim])
+                    gap = _gaps(_unit(part), centres[dim])
                     cell = gap.argmin(axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [b.column("keys").take(some), b.column("id").take(some), pa.array(np.full(len(part), dim, np.int32)),
                          pa.array(cell.astype(np.int32)), pa.array(gap[np.arange(len(part)), cell]),
-                         pa.array([v.tobytes() for v in part], pa.binary())], names=["keys", "id", "dim", "cell", "dist", "vec"])
+                         pa.array([v.tobytes() for v in part.astype(width)], pa.binary())], names=["keys", "id", "dim", "cell", "dist", "vec"])
 
     schema = T.StructType([rows.schema["keys"], T.StructField("id", id_type), T.StructField("dim", T.IntegerType()),
                            T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("vec", T.BinaryType())])
@@ -188,36 +199,6 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/blocks"), {d: np.array(c) for d, c in centres.items()}, {d: np.array(r) for d, r in radii.items()})
 
 
-def _visits(all_centres: dict[int, np.ndarray], all_radii: dict[int, np.ndarray], first: bool):
-    """mapInArrow: (qid, key, dim, vec, tau) to one row a visited cell with the ring of distances to read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, tau = b.column("dim").to_numpy(), b.column("tau").to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                if dim not in all_centres:
-                    continue
-                at = np.flatnonzero(dims == dim)
-                q = np.frombuffer(b"".join(v.as_buffer() for v in b.column("vec").take(pa.array(at))), np.float64).reshape(-1, dim)
-                centres, radii = all_centres[dim], all_radii[dim]
-                for lo in range(0, len(at), 1024):
-                    s = slice(lo, lo + 1024)
-                    gap = _gaps(q[s], centres)
-                    near = np.argsort(gap + np.where(np.isfinite(radii), 0, 9), axis=1, kind="stable")[:, :FIRST]
-                    go = np.zeros(gap.shape, bool)
-                    np.put_along_axis(go, near, True, axis=1)
-                    reach = np.full(len(gap), 9.0) if first else tau[at[s]] + SLACK
-                    go = (go if first else ~go & (gap - radii[None, :] <= reach[:, None])) & np.isfinite(radii)[None, :]
-                    r, c = np.nonzero(go)
-                    some = b.take(pa.array(at[s][r]))
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("qid"), some.column("key"), some.column("dim"), pa.array(c.astype(np.int32)), some.column("vec"),
-                         pa.array(gap[r, c] - reach[r]), pa.array(gap[r, c] + reach[r])],
-                        names=["qid", "key", "dim", "cell", "vec", "low", "high"])
-
-    return run
-
-
 def _read(k: int, min_score: float | None, exclude_self: bool, names: list[str]):
     """mapInArrow over (cell block, query block): the best k of the ring, and a row a query with what was read."""
 
@@ -227,7 +208,7 @@ def _read(k: int, min_score: float | None, exclude_self: bool, names: list[str])
                 dim = b.column("dim")[i].as_py()
                 qids, cids = b.column("qids")[i].values, b.column("ids")[i].values
                 low, high, dists = (np.frombuffer(b.column(c)[i].as_py(), np.float64) for c in ("low", "high", "dists"))
-                q, c = (np.frombuffer(b.column(x)[i].as_py(), np.float64).reshape(-1, dim) for x in ("qdata", "data"))
+                q, c = (_unit(vectors_of(b.column(x)[i], dim, len(ids))) for x, ids in (("qdata", qids), ("data", cids)))
                 qa, ca = (np.asarray(x.to_pylist()) for x in (qids, cids))
                 start, stop = np.searchsorted(dists, low, "left"), np.searchsorted(dists, high, "right")
                 for at in range(0, len(q), max(1, 4_000_000 // len(c))):
@@ -250,6 +231,64 @@ def _read(k: int, min_score: float | None, exclude_self: bool, names: list[str])
     return run
 
 
+def _rings(k: int, exclude_self: bool, all_centres: dict[int, np.ndarray], names: list[str]):
+    """mapInArrow over the cells of a grid, each its query blocks first: the best k of what the rings of the blocks
+    that a query has not visited hold, and a row a query with what was read. The bound falls with what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, near = None, [], None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if near is None:
+                return
+            for q, c, s in near.found():
+                yield pa.RecordBatch.from_arrays([q, c, s, pa.nulls(len(q), pa.int64())], names=names)
+            at = np.flatnonzero(reads)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([near.ids.take(pa.array(at)), pa.nulls(len(at), id_type), pa.nulls(len(at), pa.float64()),
+                                                  pa.array(reads[at])], names=names)
+
+        for b in batches:
+            id_type = b.schema.field("ids").type.value_type
+            places = list(zip(*(b.column(c).to_pylist() for c in ("key", "dim", "_row", "_col"))))
+            cells = b.column("cell").to_pylist()
+            for i, at in enumerate(places):
+                if at != now:
+                    yield from finish()
+                    now, held, near = at, [], None
+                if b.column("qids")[i].is_valid:
+                    ids = b.column("qids")[i].values
+                    held.append((ids, vectors_of(b.column("data")[i], at[1], len(ids)),
+                                 *(np.frombuffer(b.column(x)[i].as_buffer(), np.float64) for x in EXTRA)))
+                    continue
+                if near is None:
+                    if not held:
+                        continue
+                    ids, m, kth, *first = zip(*held)
+                    near = Nearest(np.concatenate(m), pa.concat_arrays(ids), k, np.concatenate(kth), exclude_self, False)
+                    first = np.stack([np.concatenate(x) for x in first], axis=1)
+                    reads, held, unit = np.zeros(len(first), np.int64), [], _unit(near.q)
+                cell, ids = cells[i], b.column("ids")[i].values
+                dists = np.frombuffer(b.column("dists")[i].as_buffer(), np.float64)
+                data = vectors_of(b.column("data")[i], at[1], len(ids))
+                centre = all_centres[at[1]][cell:cell + 1]
+                for lo in range(0, len(near.q), 16_384):
+                    rows = np.arange(lo, min(lo + 16_384, len(near.q)))
+                    gap = _gaps(unit[rows], centre)[:, 0]
+                    reach = np.where(near.floor[rows] == -np.inf, 9.0, np.sqrt(np.maximum(0.0, 2 - 2 * near.floor[rows]))) + SLACK
+                    go = (gap - reach <= dists[-1]) & (gap + reach >= dists[0]) & (first[rows] != cell).all(axis=1)
+                    rows, gap, reach = rows[go], gap[go], reach[go]
+                    start, stop = np.searchsorted(dists, gap - reach, "left"), np.searchsorted(dists, gap + reach, "right")
+                    reads[rows] += stop - start
+                    if len(rows):
+                        ring = slice(int(start.min()), int(stop.max()))
+                        if ring.start < ring.stop:
+                            near.offer(data[ring], ids[ring], rows)
+        yield from finish()
+
+    return run
+
+
 def search(index: Index, queries: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "embedding", corpus_id: str = "chunk_id",
            key: Column | None = None, min_score: float | None = None, exclude_self: bool = False, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(hits, reads): each query's exact best k as ``query_id, <corpus_id>, similarity, rank``, the rows of
@@ -258,42 +297,57 @@ def search(index: Index, queries: DataFrame, k: int, *, query_id: str = "query_i
     rows = queries.select(F.col(query_id).alias("qid"), (key if key is not None else F.lit("")).alias("key"), F.col(query_vec).alias("vec"))
     qtype, ctype = queries.schema[query_id].dataType, index.blocks.schema["ids"].dataType.elementType
 
+    centres, radii, width = index.centres, index.radii, _width(rows)
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, at, m in _unit_rows(b.column("vec")):
-                some = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(some), b.column("key").take(some), pa.array(np.full(len(at), dim, np.int32)),
-                                                  pa.array([v.tobytes() for v in m], pa.binary())], names=["qid", "key", "dim", "vec"])
+            for dim, at, m in _usable(b.column("vec")):
+                if dim not in centres:
+                    continue
+                full = np.isfinite(radii[dim])
+                for lo in range(0, len(at), 1024):
+                    part, some = m[lo:lo + 1024], pa.array(at[lo:lo + 1024])
+                    near = np.argsort(_gaps(_unit(part), centres[dim]) + np.where(full, 0, 9), axis=1, kind="stable")[:, :FIRST]
+                    near = np.where(full[near], near, -1)
+                    near = np.pad(near, ((0, 0), (0, FIRST - near.shape[1])), constant_values=-1)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("qid").take(some), b.column("key").take(some), pa.array(np.full(len(part), dim, np.int32)),
+                         pa.array([v.tobytes() for v in part.astype(width)], pa.binary()),
+                         *(pa.array(x.astype(np.int32)) for x in near.T)], names=base.names)
 
     base = T.StructType([T.StructField("qid", qtype), T.StructField("key", T.StringType()), T.StructField("dim", T.IntegerType()),
-                         T.StructField("vec", T.BinaryType())])
+                         T.StructField("vec", T.BinaryType()), *(T.StructField(x, T.IntegerType()) for x in EXTRA[1:])])
     asked = materialise(rows.mapInArrow(units, base), "ivf-queries")
-    far = 9.0 if min_score is None else math.sqrt(max(0.0, 2 - 2 * min_score))
-    visit = T.StructType([*base.fields[:3], T.StructField("cell", T.IntegerType()), base.fields[3], T.StructField("low", T.DoubleType()),
-                          T.StructField("high", T.DoubleType())])
-    block = _block_type("qids", qtype, ["low", "high"], "qdata")
     out = T.StructType([T.StructField("query_id", qtype), T.StructField(corpus_id, ctype), T.StructField("similarity", T.DoubleType()),
                         T.StructField("read", T.LongType())])
-    order = ["key", "dim", "cell", "low", "qid"]
 
-    def look(asking: DataFrame, first: bool) -> DataFrame:
-        v = asking.mapInArrow(_visits(index.centres, index.radii, first), visit)
-        packed = materialise(v.repartitionByRange(*order).sortWithinPartitions(*order)
-                             .mapInArrow(_packer("qid", block, params, ("low", "high")), block), "ivf-visits")
-        c, q = salted(index.blocks.drop("n"), packed.drop("n"), ["key", "dim", "cell"])
-        pairs = c.join(q, ["key", "dim", "cell", "salt"]).where("ids_low <= qids_high AND ids_high >= qids_low")
-        return materialise(pairs.select("dim", "ids", "dists", "data", "qids", "low", "high", "qdata")
-                           .mapInArrow(_read(k, min_score, exclude_self, out.names), out), "ivf-found")
+    def packed(asking: DataFrame, extra: list[str], data: str) -> DataFrame:
+        block, order = _block_type("qids", qtype, extra, data), ["key", "dim", "cell", extra[0], "qid"]
+        return materialise(asking.select("qid", "key", "dim", "cell", "vec", *[F.col(x).cast("double").alias(x) for x in extra])
+                           .repartitionByRange(*order).sortWithinPartitions(*order)
+                           .mapInArrow(_packer("qid", block, params, tuple(extra)), block), "ivf-visits")
+
+    # the nearest cells, whole
+    visits = packed(asked.select("qid", "key", "dim", "vec", F.explode(F.array(*EXTRA[1:])).alias("cell"), F.lit(-9.0).alias("low"),
+                                 F.lit(9.0).alias("high")).where("cell >= 0"), ["low", "high"], "qdata")
+    c, q = salted(index.blocks.drop("n"), visits.drop("n"), ["key", "dim", "cell"])
+    one = materialise(c.join(q, ["key", "dim", "cell", "salt"]).select("dim", "ids", "dists", "data", "qids", "low", "high", "qdata")
+                      .mapInArrow(_read(k, min_score, exclude_self, out.names), out), "ivf-found")
 
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(corpus_id))
 
     def best(found: DataFrame) -> DataFrame:
         return found.where("read IS NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("read")
 
-    one = look(asked.withColumn("tau", F.lit(9.0)), True)
-    kth = best(one).where(F.col("rank") == k).select(F.col("query_id").alias("qid"),
-                                                     F.least(F.lit(far), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity")))).alias("tau"))
-    two = look(asked.join(kth, "qid", "left").withColumn("tau", F.coalesce("tau", F.lit(far))).select("qid", "key", "dim", "vec", "tau"), False)
+    # the rings of the others; a similarity may differ in its last bits from that of the first visit
+    least = F.lit(-math.inf if min_score is None else float(min_score))
+    kth = best(one).where(F.col("rank") == k).select(F.col("query_id").alias("qid"), (F.col("similarity") - 1e-12).alias("kth"))
+    rest = packed(asked.join(kth, "qid", "left").withColumn("kth", F.greatest(F.coalesce("kth", least), least)).withColumn("cell", F.lit(0)), list(EXTRA), "data")
+    q, c = grid(rest.select("key", "dim", "qids", "data", *EXTRA), index.blocks.select("key", "dim", "cell", "ids", "dists", "data"), ["key", "dim"])
+    place = ["key", "dim", "_row", "_col"]
+    met = (q.unionByName(c, allowMissingColumns=True).repartition(*place)
+           .sortWithinPartitions(*place, F.col("qids").isNull(), "cell"))     # its queries first
+    two = materialise(met.mapInArrow(_rings(k, exclude_self, centres, out.names), out), "ivf-found")
     both = one.unionByName(two)
     reads = both.where("read IS NOT NULL").groupBy("query_id").agg(F.sum("read").alias("vectors_read"))
     return best(both), reads
