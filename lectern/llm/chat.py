@@ -1,10 +1,10 @@
 """Operator 8: chat formatting by prefix-target expansion.
 
 Every assistant turn becomes one example: its context is everything formatted
-before it, and only its reply is trainable. Contexts share one formatted stream per
-conversation: an example row carries the part of the context that is new since the
-previous example, plus its reply, so the output is linear in the input however long
-a conversation is. ``example_texts`` spells the contexts out where that is wanted.
+before it, whole, and only its reply is trainable. The output is quadratic in the
+turns of a conversation by its nature. It is made by blocks of turn numbers: a block
+meets the turns of the blocks before it by a join, and its task spells the contexts of
+its own replies out. A long context comes in pieces, so no row is large.
 
 Template: ``<|turn|>`` role newline text ``<|end|>``. Control strings inside a role
 or text are escaped reversibly by one backslash after their opening character.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -29,8 +30,8 @@ _TAIL = r"(?:\||/?s>|/?INST\]|/?SYS>>)"
 _ESCAPE = regex.compile(rf"(<<|[<\[])(\\*)(?={_TAIL})")
 _UNESCAPE = regex.compile(rf"(<<|[<\[])\\(\\*)(?={_TAIL})")
 _PARSE = regex.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>", regex.S)
-BLOCK = 64               # turn numbers formatted together
-PIECE = 1 << 20          # characters of context that force a row
+BLOCK = 64               # turn numbers whose replies are expanded together
+PIECE = 1 << 20          # characters of context that close a piece of it
 
 
 def escape(text: str) -> str:
@@ -61,77 +62,90 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _PARSE.findall(formatted)]
 
 
+_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("seq", pa.int64()), ("piece", pa.int64()),
+                      ("context", pa.string()), ("reply", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()),
+                      ("whole", pa.bool_())])
+
+
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                         role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Examples (conv_id, block, seq, context, reply, loss_start, loss_end) in order of (block, seq).
-
-    ``reply`` is a formatted assistant turn and [loss_start, loss_end) its trainable characters; rows
-    without a reply (null) carry context that no reply of their block follows. Rows are ordered by turn
-    (null first), then role and text, so ties and repeated rows have a fixed order; null roles and texts
-    are empty; a null conversation id is a conversation of its own. Conversations are split by blocks of
-    turn numbers, so a long one is formatted by many tasks, each streaming its sorted rows.
+                         role_col: str = "role", text_col: str = "text", piece: int = PIECE) -> DataFrame:
+    """Examples (conv_id, block, seq, piece, context, reply, loss_start, loss_end, whole): one for each assistant turn,
+    numbered by (block, seq) in the order of the turns.
+
+    The ``context`` of an example is every turn of its conversation before the reply, formatted. One of more than
+    ``piece`` characters is cut between turns into rows numbered by ``piece``; the last of them has the ``reply``, a
+    formatted assistant turn, and [loss_start, loss_end), its trainable characters. A conversation that does not end
+    with a reply ends with an example without one (null). ``whole`` marks the rows of a conversation's last example:
+    context and reply are the whole conversation. Turns are ordered by number (null first), then role and text, so ties
+    and repeated rows have a fixed order; null roles and texts are empty; a null conversation id is a conversation of
+    its own. A long conversation is expanded by many tasks, one a block; each holds the formatted turns before it.
     """
     t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
                      F.coalesce(F.col(role_col), F.lit("")).alias("role"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                      F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62))) / BLOCK).alias("block"))
-    t = t.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    blocks = t.groupBy("conv_id", "block").agg(F.max(F.col("role") == "assistant").alias("replies"))
+    last = F.max("block").over(W.partitionBy("conv_id")) == F.col("block")
+    asking = (blocks.withColumn("last", last).where("replies OR last")
+              .select(F.col("conv_id").alias("conv"), F.col("block").alias("to"), "last"))
+    pairs = (blocks.join(asking, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("block") <= F.col("to")))
+             .select("conv", F.col("block").alias("of"), "to", "last"))
+    met = (t.join(pairs, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("block") == F.col("of")))
+           .repartition("conv_id", "to").sortWithinPartitions("conv_id", "to", "block", "turn", "role", "text")
+           .select("conv_id", "to", F.expr("block = to").alias("own"), "last", "role", "text"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, seq, pieces, tail, size = None, 0, [], [], 0
+        turns_in = chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(6))) for b in batches)
+        for one, after in pairwise(chain(turns_in, [None])):
+            key, (own, last, role, text) = one[:2], one[2:]
+            if key != now:
+                now, seq, pieces, tail, size = key, 0, [], [], 0
+            turn, lo, hi = format_turn(role, text)
+            replies, ends = role == "assistant", last and (after is None or after[:2] != key)
+            if not replies:
+                tail.append(turn)
+            if own and (replies or ends):
+                tail = ["".join(tail)]
+                for i, p in enumerate(pieces):
+                    yield *now, seq, i, p, None, None, None, ends
+                yield *now, seq, len(pieces), tail[0], *((turn, lo, hi) if replies else (None, None, None)), ends
+                seq += 1
+            if replies:
+                tail.append(turn)
+            size += len(turn)
+            if size >= piece:
+                pieces.append("".join(tail))
+                tail, size = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seq, context, size = None, 0, [], 0
-
-        def row(reply, lo, hi) -> tuple:
-            nonlocal seq, context, size
-            out = (*key, seq, "".join(context), reply, lo, hi)
-            seq, context, size = seq + 1, [], 0
-            return out
+        held, size = [], 0
+        for r in chain(rows(batches), [None]):
+            if r is not None:
+                held.append(r)
+                size += 100 + len(r[4]) + len(r[5] or "")
+            if held and (r is None or size >= PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _EXAMPLE)], schema=_EXAMPLE)
+                held, size = [], 0
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                              names=["conv_id", "block", "seq", "context", "reply",
-                                                     "loss_start", "loss_end"])
-
-        for b in batches:
-            rows = []
-            for conv, block, role, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if key != (conv, block):
-                    if context:
-                        rows.append(row(None, None, None))
-                    key, seq = (conv, block), 0
-                turn, lo, hi = format_turn(role, text)
-                if role == "assistant":
-                    rows.append(row(turn, lo, hi))
-                else:
-                    context.append(turn)
-                    size += len(turn)
-                    if size >= PIECE:
-                        rows.append(row(None, None, None))
-            if rows:
-                yield batch(rows)
-        if context:
-            yield batch([row(None, None, None)])
-
-    return t.select("conv_id", "block", "role", "text").mapInArrow(
-        run, "conv_id long, block long, seq long, context string, reply string, loss_start long, loss_end long")
+    return met.mapInArrow(run, "conv_id long, block long, seq long, piece long, context string, reply string, "
+                               "loss_start long, loss_end long, whole boolean")
 
 
 def example_texts(examples: DataFrame) -> DataFrame:
-    """(conv_id, block, seq, prompt, reply): each example with its whole context spelled out.
-    The output is quadratic in the turns of a conversation by its nature; use it on bounded ones."""
-    part = F.concat(F.col("context"), F.coalesce(F.col("reply"), F.lit("")))
-    before = W.partitionBy("conv_id").orderBy("block", "seq").rowsBetween(W.unboundedPreceding, -1)
-    prompt = F.concat(F.array_join(F.collect_list(part).over(before), ""), F.col("context"))
-    return (examples.select("conv_id", "block", "seq", prompt.alias("prompt"), "reply")
+    """(conv_id, block, seq, prompt, reply): each example with the pieces of its context put together."""
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("piece", "context"))), lambda x: x["context"])
+    return (examples.groupBy("conv_id", "block", "seq").agg(F.array_join(pieces, "").alias("prompt"), F.max("reply").alias("reply"))
             .where(F.col("reply").isNotNull()))
 
 
 def digest(examples: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted output: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars. A digest is sequential, so a conversation's formatted rows
-    are streamed, sorted, through one task with a running hash; nothing of it is held."""
-    rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "block", "seq")
+    loss_chars, loss_sha256, formatted_chars. The turns are those of its last example, whose context and reply
+    are the whole conversation, the loss is that of the replies of all examples. A digest is sequential, so these
+    rows are streamed, sorted, through one task with a running hash; nothing of them is held."""
+    rows = (examples.where("whole OR reply IS NOT NULL").withColumn("context", F.expr("IF(whole, context, NULL)"))
+            .repartition("conv_id").sortWithinPartitions("conv_id", "block", "seq", "piece"))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -144,27 +158,27 @@ def digest(examples: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for conv, context, reply, lo, hi in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for conv, context, reply, lo, hi, whole in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if not started or conv != key:
                     if started:
                         out.append(close())
                     key, started = conv, True
                     state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(context) + (parse(reply) if reply is not None else []):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if whole:
+                    for role, text in parse(context) + parse(reply or ""):
+                        state[0] += 1
+                        state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    state[4] += len(context) + len(reply or "")
                 if reply is not None:
                     loss = unescape(reply[lo:hi])
                     state[2] += len(loss)
                     state[3].update(loss.encode("utf-8", "surrogatepass"))
-                    state[4] += len(reply)
-                state[4] += len(context)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         if started:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(close(), kinds)], names=names)
 
-    return (rows.select("conv_id", "context", "reply", "loss_start", "loss_end")
+    return (rows.select("conv_id", "context", "reply", "loss_start", "loss_end", "whole")
             .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                              "loss_sha256 string, formatted_chars long"))
 

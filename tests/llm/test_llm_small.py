@@ -433,6 +433,36 @@ def test_chat_digest_equals_brute_force(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_every_reply_is_an_example_with_its_whole_context(spark):
+    rng = random.Random(18)
+    rows = [(1, t, "assistant" if t % 3 else "user", "x" * rng.randrange(90), 1) for t in range(0, 400, 2)]
+    rows += [(None, t, rng.choice(["user", "assistant"]), f"turn {t} </s>", 1) for t in (None, -70, 5, 5, 64, 1000)]
+    rows += [(2, 0, "user", "no reply", 1), (2, 70, "system", "at all", 1), (3, 0, "assistant", "first", 1)]
+    by = defaultdict(list)
+    for c, t, r, x, _ in rows:
+        by[c].append((-(1 << 62) if t is None else t, r, x))
+    df = spark.createDataFrame(rows, CHAT)
+    for piece in (chat.PIECE, 300):
+        examples = chat.format_conversations(df, piece=piece)
+        got = defaultdict(list)
+        for r in sorted(examples.collect(), key=lambda r: (r.block, r.seq, r.piece)):
+            at = got[r.conv_id]
+            if r.piece == 0:
+                at.append(["", None, r.whole])
+            assert at[-1][1] is None and at[-1][2] == r.whole and len(r.context) < piece + 150
+            at[-1][0] += r.context
+            at[-1][1] = r.reply
+        assert set(got) == set(by)
+        for c, turns in by.items():
+            turns.sort()
+            text = [chat.format_turn(r, x)[0] for _, r, x in turns]
+            want = [["".join(text[:i]), text[i], i == len(turns) - 1] for i, (_, r, _) in enumerate(turns) if r == "assistant"]
+            if turns[-1][1] != "assistant":
+                want.append(["".join(text), None, True])
+            assert got[c] == want
+        assert {r.conv_id: r.n_turns for r in chat.digest(examples).collect()} == {c: len(x) for c, x in by.items()}
+
+
 # -- 9 mixing ----------------------------------------------------------------------------------
 def test_rates_match_reachable_targets(spark):
     rng = random.Random(4)
