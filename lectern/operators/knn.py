@@ -27,6 +27,7 @@ GROUP = 4                # corpus blocks that share one copy of a query block (s
 ROWS, COLUMNS = 8, 6     # parts of a key's queries and corpus (grid), where bytes ask for no more
 HELD = 16 << 20          # bytes of query vectors that a task holds
 PASSING = 64 << 20       # and of corpus vectors that pass them
+PIECE = 16 << 10         # most bytes of vectors in a written row: Spark reads 4096 rows of a table at once
 
 
 def invalid_vectors(rows: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -37,10 +38,15 @@ def invalid_vectors(rows: DataFrame, vec: str = "embedding", dim: int | None = N
     return rows.where(F.coalesce(bad | (F.size(v) != dim) if dim else bad, F.lit(True)))
 
 
+def precision(rows: DataFrame, vec: str = "vec") -> type:
+    """Numpy type of the vectors of a table."""
+    return np.float32 if isinstance(rows.schema[vec].dataType.elementType, T.FloatType) else np.float64
+
+
 def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: int) -> DataFrame:
     """Blocks (key, dim, n, ids, data) of ``rows(key, id, vec)``, floats in single precision, other numbers in double;
-    null, empty and NaN vectors are left out."""
-    kind = np.float32 if isinstance(rows.schema["vec"].dataType.elementType, T.FloatType) else np.float64
+    null, empty and NaN vectors are left out. A block is a small piece; tasks put pieces together again (``_joined``)."""
+    kind = precision(rows)
     width = np.dtype(kind).itemsize
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("dim", T.IntegerType()),
                            T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
@@ -49,13 +55,20 @@ def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         size = 0
+        ready: list[tuple] = []
 
-        def out(at: tuple) -> pa.RecordBatch:
+        def out(at: tuple) -> None:
             ids, parts, n = held.pop(at)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([n], pa.int32()),
-                 pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
-                 pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=schema.names)
+            ready.append((*at, n, pa.concat_arrays(ids), np.concatenate(parts).tobytes()))
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if len(ready) >= least:
+                key, dims, n, ids, data = zip(*ready)
+                ready.clear()
+                ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.string()), pa.array(dims, pa.int32()), pa.array(n, pa.int32()),
+                     pa.ListArray.from_arrays(ends, pa.concat_arrays(ids)), pa.array(data, pa.binary())], names=schema.names)
 
         for b in batches:
             vec = b.column("vec")
@@ -68,7 +81,7 @@ def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: in
                 m = flat[offs[at][:, None] + np.arange(dim)]
                 fine = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
                 at, m = at[fine], m[fine]
-                limit = max(1, min(block_rows, block_bytes // (width * dim)))
+                limit = max(1, min(block_rows, min(block_bytes, PIECE) // (width * dim)))
                 for key in dict.fromkeys(keys[at].tolist()):
                     mine = np.flatnonzero(keys[at] == key)
                     while len(mine):
@@ -80,13 +93,17 @@ def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: in
                         size += width * dim * len(take)
                         if h[2] >= limit:
                             size -= width * dim * h[2]
-                            yield out((key, dim))
+                            out((key, dim))
+                            yield from flush(64)
             if size > 4 * block_bytes:                 # many keys: let all small blocks go
                 for at in list(held):
-                    yield out(at)
+                    out(at)
+                    yield from flush(64)
                 size = 0
         for at in list(held):
-            yield out(at)
+            out(at)
+            yield from flush(64)
+        yield from flush(1)
 
     return rows.mapInArrow(run, schema)
 
@@ -241,13 +258,31 @@ class Nearest:
             yield self.ids.take(pa.array(q)), seen.take(pa.array(at)), pa.array(s)
 
 
-def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, names: list[str]):
-    """mapInArrow over the cells of a grid, each its query blocks first: the best k of each cell's queries."""
+def _joined(pieces: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """The ids and vectors of some pieces, copied: a slice would keep the whole batch that it came in."""
+    ids = pa.concat_arrays([x for x, _ in pieces])
+    return ids.take(pa.array(np.arange(len(ids)))), np.concatenate([m for _, m in pieces])
+
+
+def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, names: list[str], rows: int, size: int):
+    """mapInArrow over the cells of a grid, each its query blocks first: the best k of each cell's queries. Corpus
+    blocks are offered together, up to ``rows`` vectors or ``size`` bytes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, near = None, [], None
+        passing, n = [], 0
+
+        def offer() -> None:
+            nonlocal n
+            if passing:
+                ids, m = _joined(passing)
+                near.offer(m, ids)
+                passing.clear()
+                n = 0
 
         def finish() -> Iterator[pa.RecordBatch]:
+            if near is not None:
+                offer()
             for cols in near.found() if near is not None else ():
                 yield pa.RecordBatch.from_arrays(list(cols), names=names)
 
@@ -264,25 +299,32 @@ def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, na
                     held.append((ids, m))
                     continue
                 if near is None and held:
-                    near = Nearest(np.concatenate([x for _, x in held]), pa.concat_arrays([x for x, _ in held]), k,
-                                   -np.inf if min_score is None else min_score, exclude_self, after)
+                    qids, q = _joined(held)
+                    near = Nearest(q, qids, k, -np.inf if min_score is None else min_score, exclude_self, after)
                     held = []
                 if near is not None:
-                    near.offer(m, ids)
+                    passing.append((ids, m))
+                    n += len(m)
+                    if n >= rows or n * m[0].nbytes >= size:
+                        offer()
+            offer()                                    # nothing of a batch is kept when the next one comes
+            held = [_joined(held)] if held else []
         yield from finish()
 
     return run
 
 
-def grid(asked: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def grid(asked: DataFrame, stored: DataFrame, keys: list[str], widths: tuple[int, int] = (8, 8)) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt over the cells (``_row``, ``_col``) of a grid for each of the ``keys`` that both have: a query
     block is in one row and copied to its columns, a corpus block in one column and copied to the rows.
-    A cell's vectors are bounded, and each block is copied about as often as the square root of the cells."""
-    def parts(blocks: DataFrame, name: str, most: int, size: int) -> DataFrame:
-        n = F.greatest(F.least(F.count(F.lit(1)), F.lit(most)), F.ceil(F.sum(F.length("data")) / size))
+    A cell's vectors are bounded, and each block is copied about as often as the square root of the cells.
+    ``widths``: bytes of a number on both sides; the vectors themselves are not read to find the sizes."""
+    def parts(blocks: DataFrame, name: str, most: int, size: int, width: int) -> DataFrame:
+        held = F.size("qids" if "qids" in blocks.columns else "ids") * F.col("dim") * F.lit(width)
+        n = F.greatest(F.least(F.count(F.lit(1)), F.lit(most)), F.ceil(F.sum(held.cast("long")) / size))
         return blocks.groupBy(*keys).agg(n.cast("int").alias(name))
 
-    cells = materialise(parts(asked, "_rows", ROWS, HELD).join(parts(stored, "_cols", COLUMNS, PASSING), keys), "knn-cells")
+    cells = materialise(parts(asked, "_rows", ROWS, HELD, widths[0]).join(parts(stored, "_cols", COLUMNS, PASSING, widths[1]), keys), "knn-cells")
     mine = lambda n: F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int")
     copy = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     return (asked.join(cells, keys).withColumn("_row", mine("_rows")).withColumn("_col", copy("_cols")).drop("_rows", "_cols"),
@@ -352,13 +394,14 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, params: Params = DEF
     keys = corpus_keys(F.col(corpus_semester), F.col(corpus_subject), kinds) if kinds - {""} else F.array(F.lit(""))
     stored = materialise(_pack(corpus.select(F.explode(keys).alias("key"), F.col(corpus_id).alias("id"),
                                              F.col(corpus_vec).alias("vec")), ctype, *limits), "knn-corpus")
-    q, c = grid(asked.select("key", "dim", F.col("ids").alias("qids"), "data"), stored.drop("n"), ["key", "dim"])
+    q, c = grid(asked.select("key", "dim", F.col("ids").alias("qids"), "data"), stored.drop("n"), ["key", "dim"],
+                widths=(np.dtype(precision(queries, query_vec)).itemsize, np.dtype(precision(corpus, corpus_vec)).itemsize))
     cell = ["key", "dim", "_row", "_col"]
     met = (q.unionByName(c, allowMissingColumns=True).repartition(*cell)
            .sortWithinPartitions(*cell, F.col("qids").isNull()))              # a cell's queries first
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField(corpus_id, ctype),
                            T.StructField("similarity", T.DoubleType())])
-    found = met.mapInArrow(_scorer(k, min_score, exclude_self, normalize == "after", schema.names), schema)
+    found = met.mapInArrow(_scorer(k, min_score, exclude_self, normalize == "after", schema.names, *limits), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())
     top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if carry:

@@ -343,7 +343,8 @@ def search(index: Index, queries: DataFrame, k: int, *, query_id: str = "query_i
     least = F.lit(-math.inf if min_score is None else float(min_score))
     kth = best(one).where(F.col("rank") == k).select(F.col("query_id").alias("qid"), (F.col("similarity") - 1e-12).alias("kth"))
     rest = packed(asked.join(kth, "qid", "left").withColumn("kth", F.greatest(F.coalesce("kth", least), least)).withColumn("cell", F.lit(0)), list(EXTRA), "data")
-    q, c = grid(rest.select("key", "dim", "qids", "data", *EXTRA), index.blocks.select("key", "dim", "cell", "ids", "dists", "data"), ["key", "dim"])
+    q, c = grid(rest.select("key", "dim", "qids", "data", *EXTRA), index.blocks.select("key", "dim", "cell", "ids", "dists", "data"), ["key", "dim"],
+                widths=(np.dtype(width).itemsize,) * 2)
     place = ["key", "dim", "_row", "_col"]
     met = (q.unionByName(c, allowMissingColumns=True).repartition(*place)
            .sortWithinPartitions(*place, F.col("qids").isNull(), "cell"))     # its queries first

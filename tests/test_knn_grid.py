@@ -41,6 +41,55 @@ def test_a_block_is_copied_to_one_side_of_the_grid(spark):
     assert {r.cells for r in c} == {1, knn.ROWS * knn.COLUMNS}
 
 
+def test_written_blocks_are_small_and_sized_without_their_vectors(spark, monkeypatch):
+    x = np.random.default_rng(5).integers(0, 9, size=(3000, 64)).astype(float)
+    rows = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>").coalesce(2).cache()
+    asks = rows.where("hash(chunk_id) % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    written, sizes, real = {}, [], knn.materialise
+
+    def spy(df, name):
+        if name == "knn-cells":
+            sizes.append(df._jdf.queryExecution().executedPlan().toString())
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(knn, "materialise", spy)
+    got = knn.knn_join(asks, rows, 5, normalize="after")
+    # Spark reads 4096 rows of a table at once: they have to fit a task, several times
+    assert written["knn-corpus"].agg(F.max(F.length("data"))).first()[0] <= knn.PIECE
+    assert written["knn-corpus"].agg(F.sum("n")).first()[0] == len(x)
+    assert sizes and "data" not in sizes[0]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    found = {(r.query_id, r["rank"]): r.chunk_id for r in got.collect()}
+    for i in sorted(int(q[1:]) for q, rank in found if rank == 1)[:20]:
+        s = unit @ unit[i]
+        want = sorted(range(len(x)), key=lambda j: (-round(s[j], 9), f"c{j}"))[:5]
+        assert [found[f"c{i}", rank] for rank in range(1, 6)] == [f"c{j}" for j in want]
+
+
+def test_pieces_of_a_batch_are_copied_and_offered_together(monkeypatch):
+    offered, n, k = [], 40, 3
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(4, 8)), rng.normal(size=(n * 4, 8))
+    real = knn.Nearest.offer
+
+    def spy(self, m, ids, rows=None):
+        offered.append((len(m), m.base is None))
+        return real(self, m, ids, rows)
+
+    monkeypatch.setattr(knn.Nearest, "offer", spy)
+    pieces = [(list(range(4)), None, q)] + [(None, list(range(4 * i, 4 * i + 4)), c[4 * i:4 * i + 4]) for i in range(n)]
+    batch = pa.RecordBatch.from_pylist(
+        [{"key": "", "dim": 8, "_row": 0, "_col": 0, "qids": a, "ids": b, "data": m.tobytes()} for a, b, m in pieces],
+        pa.schema([("key", pa.string()), ("dim", pa.int32()), ("_row", pa.int32()), ("_col", pa.int32()), ("qids", pa.list_(pa.int64())),
+                   ("ids", pa.list_(pa.int64())), ("data", pa.binary())]))
+    run = knn._scorer(k, None, False, False, ["query_id", "chunk_id", "similarity"], 64, 1 << 20)
+    rows = [r for b in run(iter([batch.slice(0, 21), batch.slice(21)])) for r in b.to_pylist()]
+    assert offered == [(64, True), (16, True), (64, True), (16, True)]
+    s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    assert {(r["query_id"], r["chunk_id"]) for r in rows} == {(i, int(j)) for i in range(4) for j in np.argsort(-s[i])[:k]}
+
+
 def test_queries_of_an_index_without_clusters_are_not_copied_to_every_cell(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(3).normal(size=(1500, 24)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4).cache()
