@@ -1,6 +1,6 @@
 """Embedding as a table operator.
 
-Default embedder: hashed bag of words, computed JVM-side. Each lower-cased
+Default embedder: hashed bag of words. Each lower-cased
 word goes to bucket ``int(md5(word)[:8], 16) % dim``; the vector holds the
 integer counts (cosine is scale-free, so callers normalise at scoring time,
 which keeps integer dot products exact). The dense vector is computed row by
@@ -16,15 +16,18 @@ dropped silently.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import WS_CLASS
+from lectern.functions.text import words
 from lectern.params import DEFAULT, Params
 
 
@@ -34,45 +37,34 @@ def hash_bucket(token, dim: int):
 
 def hashed_counts(df: DataFrame, id_cols: list[str], text_col: str, dim: int = DEFAULT.embed_dim) -> DataFrame:
     """Sparse form: ``(*ids, bucket, count)`` for every non-empty bucket."""
-    toks = df.select(*id_cols, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"[^{WS_CLASS}]+"), 0)).alias("tok"))
+    toks = df.select(*id_cols, F.explode(words(F.lower(F.col(text_col)))).alias("tok"))
     return toks.groupBy(*id_cols, hash_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def bucket_array(text, dim: int = DEFAULT.embed_dim):
-    """Bucket ids of a text's lower-cased words."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"[^{WS_CLASS}]+"), 0), lambda t: hash_bucket(t, dim))
-
-
-def _bincount_udf(dim: int):
-    @F.pandas_udf("array<double>")
-    def bincount(b: pd.Series) -> pd.Series:
-        # one np.bincount over the whole Arrow batch: row r, bucket j -> r * dim + j
-        lens = b.map(lambda x: 0 if x is None else len(x)).to_numpy(np.int64)
-        n = len(b)
-        out = [None] * n
-        if lens.sum():
-            vals = np.concatenate([np.asarray(x, np.int64) for x in b if x is not None and len(x)])
-            rows = np.repeat(np.arange(n), lens)
-            counts = np.bincount(rows * dim + vals, minlength=n * dim).reshape(n, dim).astype(np.float64)
-            for r in np.flatnonzero(lens):
-                out[r] = counts[r]
-        return pd.Series(out, dtype=object)
-    return bincount
-
-
-def counts_from_buckets(b, dim: int = DEFAULT.embed_dim):
-    """Dense counts of a bucket-id array column (NULL when there are no words)."""
-    return _bincount_udf(dim)(b)
+def _counts_udf(dim: int):
+    @F.arrow_udf("array<double>")
+    def counts(tokens: pa.Array) -> pa.Array:
+        # each distinct word of the Arrow batch is hashed once, then one np.bincount: row r, bucket j -> r * dim + j
+        lens = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.dictionary_encode(tokens.flatten().cast(pa.large_binary()))
+        if isinstance(found, pa.ChunkedArray):
+            found = found.combine_chunks()
+        bucket = np.array([int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:4], "big") % dim
+                           for w in found.dictionary.to_pylist()], np.int64)
+        full = np.flatnonzero(lens)
+        rows = np.repeat(np.arange(len(full)), lens[full])
+        sums = np.bincount(rows * dim + bucket[found.indices.to_numpy(zero_copy_only=False)], minlength=len(full) * dim).astype(np.float64)
+        ends = np.append(0, np.cumsum(np.where(lens > 0, dim, 0)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums), mask=pa.array(lens == 0))
+    return counts
 
 
 def hashed_embedding(df: DataFrame, id_cols: list[str], text_col: str, dim: int = DEFAULT.embed_dim,
                      out_col: str = "embedding") -> DataFrame:
     """Dense form: ``df`` plus ``array<double>`` of bucket counts (NULL for texts
-    without words), row by row with no shuffle: words are hashed JVM-side, and
-    each Arrow batch of bucket lists is counted with one ``np.bincount``."""
-    tmp = "__buckets"
-    return (df.withColumn(tmp, bucket_array(F.col(text_col), dim))
-            .withColumn(out_col, counts_from_buckets(F.col(tmp), dim)).drop(tmp))
+    without words), row by row with no shuffle: texts are split JVM-side, and
+    an Arrow batch of word lists is hashed and counted at once."""
+    return df.withColumn(out_col, _counts_udf(dim)(words(F.lower(F.col(text_col)))))
 
 
 def embed_with(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]],

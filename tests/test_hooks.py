@@ -79,3 +79,21 @@ def test_query_blocks_are_copied_within_their_own_key_only(spark):
     assert copies.pop("hot") == 2 * 11 and set(copies.values()) == {1}
     assert {r.salt for r in c.where("key <> 'hot'").collect()} == {0}
     assert {r.salt for r in c.where("key = 'hot'").collect()} <= set(range(11))
+
+
+def test_words_and_vectors_need_no_extraction_by_pattern(spark):
+    """A pattern extraction copies the whole text for each word; the words are those it would find."""
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import WS, WS_CLASS, token_count, words
+    from lectern.operators.embed import hash_bucket
+    rows = [(0, None), (1, ""), (2, WS), (3, "one"), (4, f"{WS}a{WS}B b{WS}"), (5, "x\u2003\u00c9t\u00e9\x1fA\U0001f600 \x00 a"), (6, " ".join(map(str, range(5000))))]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    found = F.regexp_extract_all("t", F.lit(f"[^{WS_CLASS}]+"), 0)
+    buckets = F.transform(F.regexp_extract_all(F.lower("t"), F.lit(f"[^{WS_CLASS}]+"), 0), lambda w: hash_bucket(w, 8))
+    vec = hashed_embedding(df, ["id"], "t", dim=8)
+    plan = vec.select("embedding", words(F.col("t")), token_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    for r in vec.select("*", words(F.col("t")).alias("w"), token_count(F.col("t")).alias("n"), found.alias("f"), buckets.alias("b")).collect():
+        assert r.w == r.f and r.n == (None if r.t is None else len(r.f))
+        assert r.embedding == ([float(r.b.count(i)) for i in range(8)] if r.b else None)
