@@ -25,6 +25,7 @@ from lectern.session import materialise
 
 GROUP = 4                # corpus blocks that share one copy of a query block (salted)
 ROWS, COLUMNS = 8, 6     # parts of a key's queries and corpus (grid), where bytes ask for no more
+SMALL = 4                # queries of less than one part in so many of their corpus are cut into fewer rows
 HELD = 16 << 20          # bytes of query vectors that a task holds
 PASSING = 64 << 20       # and of corpus vectors that pass them
 PIECE = 16 << 10         # most bytes of vectors in a written row: Spark reads 4096 rows of a table at once
@@ -43,9 +44,22 @@ def precision(rows: DataFrame, vec: str = "vec") -> type:
     return np.float32 if isinstance(rows.schema[vec].dataType.elementType, T.FloatType) else np.float64
 
 
+def narrow(m: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest of the types a block is written in."""
+    least, most = m.min(initial=0), m.max(initial=0)
+    for kind in (np.int8, np.int16, np.float32):
+        if m.dtype.itemsize > np.dtype(kind).itemsize and (kind is np.float32 or np.iinfo(kind).min <= least <= most <= np.iinfo(kind).max):
+            with np.errstate(all="ignore"):
+                x = m.astype(kind)
+            if (x == m).all():
+                return x
+    return m
+
+
 def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: int) -> DataFrame:
-    """Blocks (key, dim, n, ids, data) of ``rows(key, id, vec)``, floats in single precision, other numbers in double;
-    null, empty and NaN vectors are left out. A block is a small piece; tasks put pieces together again (``_joined``)."""
+    """Blocks (key, dim, n, ids, data) of ``rows(key, id, vec)``, floats in single precision, other numbers in double,
+    either in fewer bytes where that loses nothing (``narrow``: counts); null, empty and NaN vectors are left out. A
+    block is a small piece; tasks put pieces together again (``_joined``)."""
     kind = precision(rows)
     width = np.dtype(kind).itemsize
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("dim", T.IntegerType()),
@@ -59,7 +73,7 @@ def _pack(rows: DataFrame, id_type: T.DataType, block_rows: int, block_bytes: in
 
         def out(at: tuple) -> None:
             ids, parts, n = held.pop(at)
-            ready.append((*at, n, pa.concat_arrays(ids), np.concatenate(parts).tobytes()))
+            ready.append((*at, n, pa.concat_arrays(ids), narrow(np.concatenate(parts)).tobytes()))
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             if len(ready) >= least:
@@ -124,9 +138,9 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def vectors_of(data: pa.Scalar, dim: int, n: int) -> np.ndarray:
-    """The ``n`` vectors of a block, in single or double precision as they were given."""
+    """The ``n`` vectors of a block, in the type that it was written in."""
     buf = data.as_buffer()
-    return np.frombuffer(buf, np.float32 if buf.size == 4 * dim * n else np.float64).reshape(n, dim)
+    return np.frombuffer(buf, {1: np.int8, 2: np.int16, 4: np.float32, 8: np.float64}[buf.size // (dim * n)]).reshape(n, dim)
 
 
 def _tie_order(ids: pa.Array) -> np.ndarray:
@@ -317,14 +331,17 @@ def _scorer(k: int, min_score: float | None, exclude_self: bool, after: bool, na
 def grid(asked: DataFrame, stored: DataFrame, keys: list[str], widths: tuple[int, int] = (8, 8)) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt over the cells (``_row``, ``_col``) of a grid for each of the ``keys`` that both have: a query
     block is in one row and copied to its columns, a corpus block in one column and copied to the rows.
-    A cell's vectors are bounded, and each block is copied about as often as the square root of the cells.
+    A cell's vectors are bounded, and each block is copied about as often as the square root of the cells; a corpus
+    much larger than its queries is copied less, to as many rows as the queries' bytes need.
     ``widths``: bytes of a number on both sides; the vectors themselves are not read to find the sizes."""
-    def parts(blocks: DataFrame, name: str, most: int, size: int, width: int) -> DataFrame:
+    def sizes(blocks: DataFrame, side: str, width: int) -> DataFrame:
         held = F.size("qids" if "qids" in blocks.columns else "ids") * F.col("dim") * F.lit(width)
-        n = F.greatest(F.least(F.count(F.lit(1)), F.lit(most)), F.ceil(F.sum(held.cast("long")) / size))
-        return blocks.groupBy(*keys).agg(n.cast("int").alias(name))
+        return blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_n"), F.sum(held.cast("long")).alias(f"{side}_size"))
 
-    cells = materialise(parts(asked, "_rows", ROWS, HELD, widths[0]).join(parts(stored, "_cols", COLUMNS, PASSING, widths[1]), keys), "knn-cells")
+    few = F.ceil(F.col("q_size") * (SMALL * ROWS) / F.col("c_size"))       # a row more is a copy more of the whole corpus
+    cells = materialise(sizes(asked, "q", widths[0]).join(sizes(stored, "c", widths[1]), keys).select(
+        *keys, F.greatest(F.least("q_n", F.lit(ROWS), few), F.ceil(F.col("q_size") / HELD)).cast("int").alias("_rows"),
+        F.greatest(F.least("c_n", F.lit(COLUMNS)), F.ceil(F.col("c_size") / PASSING)).cast("int").alias("_cols")), "knn-cells")
     mine = lambda n: F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int")
     copy = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     return (asked.join(cells, keys).withColumn("_row", mine("_rows")).withColumn("_col", copy("_cols")).drop("_rows", "_cols"),

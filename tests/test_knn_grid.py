@@ -111,3 +111,26 @@ def test_queries_of_an_index_without_clusters_are_not_copied_to_every_cell(spark
     assert len(index.centres[24]) > 20 and reads.agg(F.avg("vectors_read")).first()[0] > 700        # nearly all cells matter
     copies = sum(p.agg(F.sum("n")).first()[0] for p in packed)
     assert copies <= 1500 * (vector_index.FIRST + 1)
+
+
+def test_counts_are_written_in_few_bytes_and_a_large_corpus_is_copied_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, size=(4000, 32)).astype(float)
+    x[5], x[6, 0], x[7, 0], x[8, 0] = 300, 1e9 + 1, 0.1, 2.0 ** -160
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>").coalesce(2).cache()
+    asks = rows.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    written, real = {}, knn.materialise
+    monkeypatch.setattr(knn, "materialise", lambda df, name: written.setdefault(name, real(df, name)))
+    got = knn.knn_join(asks, rows, 5, normalize="after")
+    stored = written["knn-corpus"]
+    assert stored.agg(F.sum(F.length("data"))).first()[0] < 2 * x.size
+    assert {r._rows for r in written["knn-cells"].collect()} == {1}
+    back = np.concatenate([knn.vectors_of(pa.scalar(bytes(r.data), pa.binary()), r.dim, r.n).astype(float)[np.argsort(r.ids)]
+                           for r in stored.orderBy(F.array_min("ids")).collect()])
+    assert sorted(map(tuple, back)) == sorted(map(tuple, x))
+    found = {(r.query_id, r["rank"]): (r.chunk_id, r.similarity) for r in got.collect()}
+    norm = np.sqrt((x * x).sum(axis=1))
+    for i in range(40):
+        s = (x @ x[i]) / (norm * norm[i])
+        want = np.sort(s)[::-1][:5]
+        assert np.allclose([found[i, rank][1] for rank in range(1, 6)], want, atol=1e-12)
