@@ -6,10 +6,12 @@ block, so the union of one range join a block misses no pair. Rotated coordinate
 the shares widened by the rounding, so that every block distance is exact and the same wherever it is computed.
 
 A block's range join: a k-d tree (splits fitted on a bounded random sample, every vector is indexed) gives each
-vector its home leaf; a vector also asks each leaf whose box lies within the block's share. An unordered pair
-meets once a block, in the later leaf (or, within a leaf, in the earlier chunk's question to the later one), and
-counts in the first block where it is within the share. Leaves are cut into chunks of about HOME vectors and
-their askers into groups of about ASK; one task's unit is a (block, leaf, chunk, group). Pairs are never
+vector its home leaf; a vector also asks leaves whose box lies within the block's share. An unordered pair
+meets once a block: in one of the two leaves, by turns the later and the earlier, and counts in the first block where
+it is within the share. The leaves below one of the tree's upper nodes make a part of about HELD bytes; a vector is
+copied once to each part in which it has a leaf to ask, and there it meets those leaves only. So the copies
+grow with the parts that a vector is near to, and not with the leaves. Parts beyond HELD are cut into chunks and
+their askers into groups; one task's unit is a (block, part, chunk, group). Pairs are never
 emitted: a unit returns link counts by vector and, for the components, one edge a vector to the smallest vector
 linked with it inside the unit. Equal vectors are one row from the start.
 """
@@ -23,14 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.ball_codes import _binary, _matrix
 from lectern.llm.common import discard, join_counted, load, written
 from lectern.llm.components import connected_components
 
 BLOCKS = 4                # blocks of rotated coordinates
-HOME = 8192               # vectors a home chunk, about
-ASK = 65536               # askers a group, about
+HOME = 8192               # vectors a leaf, about
+HELD = 96 << 20           # bytes of home vectors a chunk, about
+PARTS = 8                 # parts a block, at least, if there are as many leaves
+ASK = 65536               # vectors a group, or ASK_HOMES times those of its part
+ASK_HOMES = 4
 SAMPLE = 32768            # vectors the splits are fitted on, at most
 PER_LEAF = 16             # sampled vectors a leaf, at least
 GRID = 1 << 20            # integer steps a unit
@@ -82,8 +88,9 @@ def layout(dim: int, cosine: float, blocks: int) -> tuple[int, int, int]:
 class Tree:
     """Median splits of one block's coordinates, as a heap of (coordinate, value); equal values go right."""
 
-    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+    def __init__(self, sample: np.ndarray, leaves: int, parts: int = 1) -> None:
         self.depth = max(0, (max(1, leaves) - 1).bit_length())
+        self.below = self.depth - min(self.depth, (max(1, parts) - 1).bit_length())     # levels below a part's node
         size = 1 << self.depth
         self.axis, self.at = np.zeros(size, np.int64), np.full(size, -(1 << 40), np.int64)
         self.low = np.full((2 * size, sample.shape[1]), -(1 << 40), np.int64)
@@ -132,27 +139,35 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :]
 
 
-def links_between(x, xu, y, yu, block: int, width: int, limit: int, cosine: float, upper: bool) -> np.ndarray | None:
-    """Boolean links of askers x and homes y that block ``block`` is the first to find (``upper``: y is x with
-    the rows before it, only pairs above the diagonal count). None if there are none."""
-    s = slice(block * width, (block + 1) * width)
-    found = _distances(x[:, s], y[:, s]) <= limit
-    if upper is not False:
-        found &= upper
-    rows, cols = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
-    if not len(rows):
+def scaled(q: np.ndarray, block: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's coordinates in single precision (exact) and half their squared length."""
+    x = q[:, block * width:(block + 1) * width].astype(np.float64) / GRID
+    return x.astype(np.float32), (x * x).sum(axis=1) / 2
+
+
+def links_between(x, y, block: int, width: int, limit: int, cosine: float, first: int | None = None):
+    """(rows, columns, boolean links) of askers x and homes y that block ``block`` is the first to find, or None. Both
+    are (integer coordinates, vectors, what :func:`scaled` gives); ``first``: x is y's rows from there on, and a
+    pair counts in the earlier row only. A product in single precision leaves out what is surely beyond the share."""
+    (xq, xv, xs, xx), (yq, yv, ys, yy) = x, y
+    near = xs @ ys.T
+    near -= yy.astype(np.float32)[None, :]
+    margin = (width + 8) * 2.0 ** -22                       # blocks of unit vectors are no longer than 1
+    found = near >= (xx - limit / GRID / GRID / 2 - margin).astype(np.float32)[:, None]
+    if first is not None:
+        found &= np.arange(len(yq))[None, :] > first + np.arange(len(xq))[:, None]
+    at = np.flatnonzero(found.ravel())
+    if not len(at):
         return None
-    part = found[np.ix_(rows, cols)]
-    for b in range(block):
-        s = slice(b * width, (b + 1) * width)
-        part &= _distances(x[rows][:, s], y[cols][:, s]) > limit
+    rows, cols = np.unique(at // len(yq)), np.flatnonzero(found.any(axis=0))
+    part, a, b = found[np.ix_(rows, cols)], xq[rows].astype(np.float64), yq[cols].astype(np.float64)
+    for k in range(block + 1):
+        s = slice(k * width, (k + 1) * width)
+        within = _distances(a[:, s], b[:, s]) <= limit
+        part &= within if k == block else ~within
     if part.any():
-        part &= xu[rows] @ yu[cols].T >= cosine
-    if not part.any():
-        return None
-    found[:] = False
-    found[np.ix_(rows, cols)] = part
-    return found
+        part &= unit_rows(xv[rows].astype(np.float64)) @ unit_rows(yv[cols].astype(np.float64)).T >= cosine
+    return (rows, cols, part) if part.any() else None
 
 
 def _stars(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +201,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lab = new
 
 
-def _prepare(trees: dict[int, list[Tree]], cosine: float, blocks: int):
-    """mapInArrow: class rows to points (node, c, dim, q, u, home codes, asked codes); a code is block and leaf."""
+_POINT = ("node long, c long, dim int, q binary, v binary, "
+          "meets array<struct<code:int,own:int,leaves:array<int>>>")
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def _prepare(trees: dict[int, list[Tree]], cosine: float, blocks: int, kind: type):
+    """mapInArrow: class rows to points (node, c, dim, q, v, meets): for each part (``code``: part and block) that a
+    vector goes to, its home leaf (-1: it only asks) and the other leaves that it asks there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,34 +223,36 @@ def _prepare(trees: dict[int, list[Tree]], cosine: float, blocks: int):
                 at = np.flatnonzero(dims == dim)
                 for lo in range(0, len(at), max(1, (1 << 20) // dim)):
                     some = at[lo:lo + max(1, (1 << 20) // dim)]
-                    u = unit_rows(flat[offs[some][:, None] + np.arange(dim)])
-                    q = rotate(u)
+                    v = flat[offs[some][:, None] + np.arange(dim)]
+                    q = rotate(unit_rows(v))
                     m, width, limit = layout(dim, cosine, blocks)
-                    home, row, code = [], [], []
+                    n = len(some)
+                    entries = []                             # row, code, leaf (-1: home), home leaf
                     for k, tree in enumerate(trees[dim]):
                         x = q[:, k * width:(k + 1) * width]
                         own = tree.leaf(x)
                         r, leaf = tree.within(x, limit)
-                        later = leaf > own[r]
-                        home.append(own * m + k)
-                        row.append(r[later])
-                        code.append(leaf[later] * m + k)
-                    row, code = np.concatenate(row), np.concatenate(code)
-                    order = np.argsort(row, kind="stable")
-                    ends = np.searchsorted(row[order], np.arange(len(some) + 1)).astype(np.int32)
-                    n = len(some)
+                        turn = (leaf != own[r]) & ((leaf > own[r]) == ((leaf + own[r]) % 2 == 0))
+                        r, leaf = r[turn], leaf[turn]
+                        entries.append((np.arange(n), (own >> tree.below) * m + k, np.full(n, -1), own))
+                        entries.append((r, (leaf >> tree.below) * m + k, leaf, own[r]))
+                    row, code, leaf, own = (np.concatenate(x) for x in zip(*entries))
+                    order = np.lexsort((leaf, code, row))
+                    row, code, leaf, own = row[order], code[order], leaf[order], own[order]
+                    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+                    ends = np.append(0, np.cumsum(leaf >= 0))[np.append(new, len(row))]
+                    meets = pa.StructArray.from_arrays(
+                        [pa.array(code[new].astype(np.int32)), pa.array(np.where(leaf[new] < 0, own[new], -1).astype(np.int32)),
+                         _lists(ends, pa.array(leaf[leaf >= 0].astype(np.int32)))], names=["code", "own", "leaves"])
                     yield pa.RecordBatch.from_arrays(
                         [b.column("node").take(pa.array(some)), b.column("c").take(pa.array(some)), pa.array(np.full(n, dim, np.int32)),
-                         _binary(q), _binary(u),
-                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m),
-                                                  pa.array(np.stack(home, axis=1).ravel().astype(np.int32))),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(code[order].astype(np.int32)))],
-                        names=["node", "c", "dim", "q", "u", "home", "asks"])
+                         _binary(q), _binary(v.astype(kind)), _lists(np.searchsorted(row[new], np.arange(n + 1)), meets)],
+                        names=["node", "c", "dim", "q", "v", "meets"])
 
     return run
 
 
-def _units(cosine: float, blocks: int):
+def _units(cosine: float, blocks: int, kind: type):
     """mapInArrow over rows sorted by unit, homes first: (a, null, links) and edges (a, b, null)."""
 
     def out(a, b=None, n=None) -> pa.RecordBatch:
@@ -235,12 +261,28 @@ def _units(cosine: float, blocks: int):
                                            none if n is None else pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     def settle(unit) -> None:
-        """All homes are in: compare them with each other."""
-        if unit["homes"] is None:
-            unit["homes"] = tuple(np.concatenate(x) for x in zip(*unit.pop("parts")))
-            unit["links"] = np.zeros(len(unit["homes"][0]), np.int64)
-            if unit["first"]:
-                ask(unit, unit["homes"], True)
+        """All homes are in: sort them by leaf and compare them with each other."""
+        if unit["homes"] is not None:
+            return
+        parts = unit.pop("parts")
+        rows, own = tuple(np.concatenate(x) for x in zip(*(p[0] for p in parts))), np.concatenate([p[1] for p in parts])
+        past = np.append(0, np.cumsum([len(p[1]) for p in parts]))
+        row, leaf = (np.concatenate(x) for x in zip(*((p[2] + lo, p[3]) for p, lo in zip(parts, past))))
+        parts.clear()
+        order = np.argsort(own, kind="stable")
+        unit["homes"] = tuple(x[order] for x in rows)
+        unit["scaled"] = scaled(unit["homes"][2], unit["block"], unit["width"])
+        unit["links"] = np.zeros(len(own), np.int64)
+        leaves, start = np.unique(own[order], return_index=True)
+        ends = [*start[1:].tolist(), len(own)]
+        unit["leaves"] = dict(zip(leaves.tolist(), zip(start.tolist(), ends)))
+        if unit["first"]:
+            for lo, hi in unit["leaves"].values():
+                for at in range(lo, hi, SLICE):
+                    meet(unit, unit["homes"], unit["scaled"], np.arange(at, min(at + SLICE, hi)), at, hi, unit["links"], True)
+            place = np.empty(len(own), np.int64)
+            place[order] = np.arange(len(own))
+            ask(unit, unit["homes"], unit["scaled"], place[row], leaf, unit["links"])
 
     def finish(unit) -> Iterator[pa.RecordBatch]:
         if unit:
@@ -251,27 +293,36 @@ def _units(cosine: float, blocks: int):
             if unit["edges"]:
                 yield out(*_forest(*(np.concatenate(e) for e in zip(*unit["edges"]))))
 
-    def ask(unit, rows, upper: bool) -> np.ndarray:
-        """Link counts of the askers; those of the homes and the edges stay with the unit."""
-        hn, hc, hq, hu = unit["homes"]
-        an, ac, aq, au = rows
-        _, width, limit = layout(unit["dim"], cosine, blocks)
-        links = np.zeros(len(an), np.int64)
-        for at in range(0, len(an), SLICE):
-            s = slice(at, at + SLICE)
-            above = np.arange(len(hn))[None, :] > np.arange(len(an))[s, None] if upper else False
-            found = links_between(aq[s], au[s], hq, hu, unit["block"], width, limit, cosine, above)
-            if found is None:
+    def ask(unit, rows, own_scaled, row: np.ndarray, leaf: np.ndarray, links: np.ndarray) -> None:
+        """Row ``row[i]`` of the askers asks leaf ``leaf[i]``; adds to the askers' links."""
+        order = np.argsort(leaf, kind="stable")
+        row, leaf = row[order], leaf[order]
+        found, start = np.unique(leaf, return_index=True)
+        for i, lo, hi in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(leaf)]):
+            if i in unit["leaves"]:
+                for at in range(lo, hi, SLICE):
+                    meet(unit, rows, own_scaled, row[at:min(at + SLICE, hi)], *unit["leaves"][i], links)
+
+    def meet(unit, rows, own_scaled, at: np.ndarray, lo: int, hi: int, links: np.ndarray, upper: bool = False) -> None:
+        """Askers ``at`` meet the homes from ``lo`` to ``hi`` (``upper``: they are homes, the first of them at ``lo``)."""
+        hn, hc, hq, hv = unit["homes"]
+        hs, hh = unit["scaled"]
+        an, ac = rows[0][at], rows[1][at]
+        x = (rows[2][at], rows[3][at], own_scaled[0][at], own_scaled[1][at])
+        for b in range(lo, hi, HOME):
+            s = slice(b, min(b + HOME, hi))
+            got = links_between(x, (hq[s], hv[s], hs[s], hh[s]), unit["block"], unit["width"], unit["limit"], cosine, lo - b if upper else None)
+            if got is None:
                 continue
+            i, j, found = got
             weight = found.astype(np.float64)
-            links[s] += (weight @ hc).astype(np.int64)
-            unit["links"] += (ac[s] @ weight).astype(np.int64)
-            unit["edges"].append(_stars(found, an[s], hn))
-            if sum(len(e[0]) for e in unit["edges"]) > 1 << 20:
+            links[at[i]] += (weight @ hc[s][j]).astype(np.int64)
+            unit["links"][b + j] += (ac[i] @ weight).astype(np.int64)
+            unit["edges"].append(_stars(found, an[i], hn[s][j]))
+            unit["held"] += len(unit["edges"][-1][0])
+            if unit["held"] > 1 << 20:
                 unit["edges"] = [_forest(*(np.concatenate(e) for e in zip(*unit["edges"])))]
-        if upper:
-            unit["links"] += links
-        return links
+                unit["held"] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, unit = None, None
@@ -281,20 +332,24 @@ def _units(cosine: float, blocks: int):
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
                 if hi == lo:
                     continue
-                dim, code, chunk, grp, kind = keys[lo].tolist()
+                dim, code, chunk, grp, asks = keys[lo].tolist()
                 if (dim, code, chunk, grp) != key:
                     yield from finish(unit)
                     key = (dim, code, chunk, grp)
-                    m, _, _ = layout(dim, cosine, blocks)
-                    unit = {"dim": dim, "block": code % m, "parts": [], "homes": None, "edges": [], "first": grp == 0}
+                    m, width, limit = layout(dim, cosine, blocks)
+                    unit = {"block": code % m, "width": width, "limit": limit, "parts": [], "homes": None, "edges": [], "held": 0,
+                            "first": grp == 0}
                 part = b.slice(lo, hi - lo)
                 rows = (part.column("node").to_numpy(), part.column("c").to_numpy().astype(np.float64),
-                        _matrix(part.column("q"), padded(dim), np.int32).astype(np.float64), _matrix(part.column("u"), dim, np.float64))
-                if kind == 0:
-                    unit["parts"].append(rows)
+                        _matrix(part.column("q"), padded(dim), np.int32), _matrix(part.column("v"), dim, kind))
+                leaves = part.column("leaves")
+                row, leaf = np.repeat(np.arange(hi - lo), np.diff(leaves.offsets.to_numpy())), leaves.flatten().to_numpy()
+                if asks == 0:
+                    unit["parts"].append((tuple(x.copy() for x in rows), part.column("own").to_numpy().copy(), row, leaf.copy()))
                     continue
                 settle(unit)
-                links = ask(unit, rows, False)
+                links = np.zeros(len(rows[0]), np.int64)
+                ask(unit, rows, scaled(rows[2], unit["block"], unit["width"]), row, leaf, links)
                 if (links > 0).any():
                     yield out(rows[0][links > 0], n=links[links > 0])
         yield from finish(unit)
@@ -319,7 +374,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"))
                       .select(F.monotonically_increasing_id().alias("node"), "v", "c", "lo"), "classes")
     trees = _trees(classes, cosine, blocks)
-    edges, links = _links(classes, trees, cosine, blocks)
+    single = isinstance(getattr(vectors.select(vec_col).schema[0].dataType, "elementType", None), T.FloatType)
+    edges, links = _links(classes, trees, cosine, blocks, np.float32 if single else np.float64)
     labels = connected_components(edges)
     named = classes.select("node", "lo").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "lo")
     tops = written(named.groupBy("label").agg(F.min("lo").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
@@ -345,39 +401,42 @@ def _trees(classes: DataFrame, cosine: float, blocks: int) -> dict[int, list[Tre
             table = some.toArrow().column("v").combine_chunks()
             flat = table.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             q = rotate(unit_rows(flat)) if len(flat) else q
-        trees[dim] = [Tree(q[:, k * width:(k + 1) * width], leaves if len(q) else 1) for k in range(m)]
+        parts = max(min(PARTS, leaves), -(-n * 8 * dim // HELD))
+        trees[dim] = [Tree(q[:, k * width:(k + 1) * width], leaves if len(q) else 1, parts) for k in range(m)]
     return trees
 
 
-def _links(classes: DataFrame, trees: dict[int, list[Tree]], cosine: float, blocks: int) -> tuple[DataFrame, DataFrame]:
+def _links(classes: DataFrame, trees: dict[int, list[Tree]], cosine: float, blocks: int, kind: type) -> tuple[DataFrame, DataFrame]:
     """(edges (a, b) that keep the components, links by node)."""
-    points = written(classes.select("node", "c", "v").mapInArrow(
-        _prepare(trees, cosine, blocks), "node long, c long, dim int, q binary, u binary, home array<int>, asks array<int>"), "points")
-    sizes = points.select("dim", F.explode("home").alias("code"), F.lit(1).alias("h"), F.lit(0).alias("a")).unionByName(
-        points.select("dim", F.explode("asks").alias("code"), F.lit(0).alias("h"), F.lit(1).alias("a")))
-    units = written(sizes.groupBy("dim", "code").agg(F.sum("h").alias("h"), F.sum("a").alias("a")).where("h > 0")
-                    .select("dim", "code", F.ceil(F.col("h") / HOME).cast("int").alias("chunks"),
-                            F.ceil((F.col("h") + F.col("a")) / ASK).cast("int").alias("grps")), "units")
+    points = written(classes.select("node", "c", "v").mapInArrow(_prepare(trees, cosine, blocks, kind), _POINT), "points")
+    # a leaf and a chunk may be crowded whatever the trees are: limits hold for what was counted
+    most = F.greatest(F.lit(HOME), F.floor(F.lit(HELD) / (8 * F.col("dim"))))
+    units = written(points.select("dim", F.explode("meets").alias("m")).groupBy("dim", F.col("m.code").alias("code"))
+                    .agg(F.sum((F.col("m.own") >= 0).cast("long")).alias("h"), F.count(F.lit(1)).alias("n")).where("h > 0")
+                    .select("dim", "code", F.ceil(F.col("h") / most).cast("int").alias("chunks"),
+                            F.ceil(F.col("n") / F.greatest(F.lit(ASK), F.col("h") * ASK_HOMES)).cast("int").alias("grps")), "units")
     count = units.agg(F.sum(F.col("chunks") * F.col("grps"))).first()[0] or 1
 
     def spread(n: str, salt: int):
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
 
-    payload = ["node", "c", "dim", "q", "u"]
+    payload = ["node", "c", "dim", "q", "v", "code", "own"]
     # a tree has at most SAMPLE // PER_LEAF leaves: the unit table is bounded whatever the input
-    home = (points.select(*payload, F.explode("home").alias("code")).join(F.broadcast(units), ["dim", "code"])
-            .withColumn("chunk", spread("chunks", 1)))
-    every = F.explode(F.sequence(F.lit(0), F.col("grps") - 1)).alias("grp")
-    homes = home.select(*payload, "code", "chunk", every, F.lit(0).alias("kind"))
-    later = (home.where("chunk + 1 < chunks").withColumn("grp", spread("grps", 2))
-             .select(*payload, "code", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), "grp", F.lit(1).alias("kind")))
-    asks = (points.select(*payload, F.explode("asks").alias("code")).join(F.broadcast(units), ["dim", "code"])
-            .withColumn("grp", spread("grps", 2))
-            .select(*payload, "code", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "grp", F.lit(1).alias("kind")))
-    rows = homes.unionByName(later).unionByName(asks)
+    met = (points.select("node", "c", "dim", "q", "v", F.explode("meets").alias("m")).select("node", "c", "dim", "q", "v", "m.*")
+           .join(F.broadcast(units), ["dim", "code"]))
+    home = met.where("own >= 0").withColumn("chunk", spread("chunks", 1))
+    homes = home.select(*payload, "leaves", "chunk", F.explode(F.sequence(F.lit(0), F.col("grps") - 1)).alias("grp"), F.lit(0).alias("kind"))
+    # homes of other chunks: the leaves asked, and the own leaf in later chunks
+    other = (home.where("chunks > 1").withColumn("grp", spread("grps", 2)).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .where(F.col("to") != F.col("chunk"))
+             .withColumn("leaves", F.when(F.col("to") > F.col("chunk"), F.concat("leaves", F.array("own"))).otherwise(F.col("leaves")))
+             .where(F.size("leaves") > 0).select(*payload, "leaves", F.col("to").alias("chunk"), "grp", F.lit(1).alias("kind")))
+    asks = (met.where("own < 0").withColumn("grp", spread("grps", 2))
+            .select(*payload, "leaves", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "grp", F.lit(1).alias("kind")))
+    rows = homes.unionByName(other).unionByName(asks)
     keys = ["dim", "code", "chunk", "grp"]
     found = written(rows.repartition(min(int(count), 100_000), *keys).sortWithinPartitions(*keys, "kind")
-                    .mapInArrow(_units(cosine, blocks), "a long, b long, n long"), "links")
+                    .mapInArrow(_units(cosine, blocks, kind), "a long, b long, n long"), "links")
     discard(points)
     return (found.where("b IS NOT NULL").select("a", "b"),
             found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")))

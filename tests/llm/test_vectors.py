@@ -153,6 +153,36 @@ def test_hot_copies_and_a_hot_near_group(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == plain_links(rows, 0.95)
 
 
+@pytest.mark.parametrize("held, parts", [(40 * 8 * 16, 2), (1 << 30, 1), (90 * 8 * 16, 4)])
+def test_links_by_parts_chunks_and_groups(spark, monkeypatch, held, parts):
+    for name, value in (("HOME", 20), ("HELD", held), ("PARTS", parts), ("ASK", 50), ("ASK_HOMES", 1)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rows = cloud(4)
+    got = vector_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_links(rows, 0.95)
+
+
+def test_a_vector_is_copied_to_parts_and_not_to_leaves(spark, monkeypatch):
+    """Isotropic vectors are near nearly every leaf; what is shuffled may not grow with the leaves."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), 0) for i in range(1000)]
+    points, real = {}, vector_dedup.written
+
+    def spy(df, name, *more):
+        out = real(df, name, *more)
+        if name == "points":
+            points["rows"] = out.select("dim", F.explode("meets")).count()
+            points["asked"] = out.select(F.explode("meets.leaves").alias("x")).agg(F.sum(F.size("x"))).first()[0]
+        return out
+
+    monkeypatch.setattr(vector_dedup, "written", spy)
+    monkeypatch.setattr(vector_dedup, "HOME", 16)
+    monkeypatch.setattr(vector_dedup, "PARTS", 2)
+    got = vector_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert points["asked"] > 10_000 and points["rows"] <= 1000 * vector_dedup.BLOCKS * vector_dedup.PARTS
+    assert sorted((tuple(r) for r in got), key=str) == plain_links(rows, 0.95)
+
+
 def test_every_close_pair_is_asked_for():
     rng = np.random.default_rng(5)
     q = rng.integers(-1000, 1000, (400, 4)).astype(np.int32)
